@@ -1,0 +1 @@
+"""Intentionally empty: every source is a bounded table and every job is a batch job."""
