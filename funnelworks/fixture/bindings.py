@@ -81,7 +81,8 @@ def user_transactions(orders: DataFrame) -> DataFrame:
     """Orders as deposits and withdrawals, with the running balance per user.
 
     The running sum is taken within a user's day and the day's opening balance is joined on, so no
-    task has to sort all rows of one user.
+    task has to sort all rows of one user. As a left join on unique keys it is dropped from plans
+    that do not read the balance.
     """
     deposit = F.col("o_orderstatus") != "F"
     amount = (F.col("o_totalprice") / 100).cast("decimal(18,4)")
@@ -97,7 +98,7 @@ def user_transactions(orders: DataFrame) -> DataFrame:
         "user_id", "_day", F.coalesce(F.sum("_net").over(earlier), F.lit(0)).alias("_opening")
     )
     in_day = Window.partitionBy("user_id", "_day").orderBy("tx_id").rowsBetween(Window.unboundedPreceding, 0)
-    running = tx.withColumn("_running", F.sum("_signed").over(in_day)).join(opening, ["user_id", "_day"])
+    running = tx.withColumn("_running", F.sum("_signed").over(in_day)).join(opening, ["user_id", "_day"], "left")
     return running.select(
         "tx_id", "user_id", F.col("_day").cast("timestamp_ntz").alias("transaction_timestamp"),
         "transaction_type", "amount_usd",

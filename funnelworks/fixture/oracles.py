@@ -1,7 +1,8 @@
 """Check SQL (DuckDB) for every query that SQL can express, written apart from the Spark jobs.
 
 ``_VIEWS`` are named building blocks with the blocks they read. A query is the chain of blocks it
-needs, followed by its final SELECT.
+needs, followed by its final SELECT. Doubles are rounded half up to 6 digits by plain arithmetic,
+because the engines' own rounding functions treat an exact half differently.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ def _corr(x: str, y: str) -> str:
     both = f"FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
     return (
         f"CASE WHEN stddev_samp({x}) {both} > 0 AND stddev_samp({y}) {both} > 0 "
-        f"THEN round(corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE)) {both}, 6) END"
+        f"THEN floor(CAST(corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE)) {both} AS DOUBLE) * 1e6 + 0.5) / 1e6 END"
     )
 
 
@@ -26,7 +27,7 @@ def _ratio(num: str, den: str, scale: str = "") -> str:
 
 
 def _round(*columns: str) -> str:
-    return ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in columns)
+    return ", ".join(f"floor(CAST({c} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS {c}" for c in columns)
 
 
 def _big(*columns: str) -> str:
@@ -124,12 +125,13 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                      {_ratio('registrations', 'installs')} AS install_to_reg_rate, {_ratio('clicks', 'impressions')} AS CTR,
                      {_ratio('spend', 'clicks')} AS CPC, {_ratio('spend', 'impressions', '1000')} AS CPM,
                      {_ratio('installs', 'clicks')} AS click_to_install, {_ratio('registrations', 'clicks')} AS click_to_reg,
-                     coalesce(v.avg_rev_30d_per_reg, 0.0) AS avg_rev_30d_per_reg, coalesce(v.revenue_30d_total, 0.0) AS revenue_30d_total
+                     coalesce(v.reg_users, 0) AS reg_users, coalesce(v.avg_rev_30d_per_reg, 0.0) AS avg_rev_30d_per_reg,
+                     coalesce(v.revenue_30d_total, 0.0) AS revenue_30d_total
               FROM (SELECT channel, coalesce(campaign_id, '__NO_CAMPAIGN__') AS campaign_id, sum(spend) AS spend, sum(impressions) AS impressions,
                            sum(clicks) AS clicks, sum(installs) AS installs, sum(registrations) AS registrations
                     FROM panel GROUP BY 1, 2) p
               LEFT JOIN campaign_rev v ON p.channel IS NOT DISTINCT FROM v.channel AND p.campaign_id = v.campaign_id)"""),
-    "channel_rev": (("reg_rev",), "SELECT channel, avg(revenue_30d) AS avg_rev_30d_per_reg FROM reg_rev GROUP BY channel"),
+    "channel_rev": (("reg_rev",), "SELECT channel, count(*) AS reg_users, avg(revenue_30d) AS avg_rev_30d_per_reg FROM reg_rev GROUP BY channel"),
     "channel_kpi": (("campaign_kpi", "channel_rev"), f"""
         SELECT *, reg_share - spend_share AS reg_minus_spend_share
         FROM (SELECT *, {_ratio('CAC', 'avg_rev_30d_per_reg')} AS payback_months, {_ratio('revenue_30d_total', 'spend')} AS roas_30d,
@@ -137,7 +139,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
               FROM (SELECT p.*, {_ratio('spend', 'installs')} AS CPI, {_ratio('spend', 'registrations')} AS CAC,
                            {_ratio('registrations', 'installs')} AS install_to_reg_rate, {_ratio('clicks', 'impressions')} AS CTR,
                            {_ratio('spend', 'clicks')} AS CPC, {_ratio('spend', 'impressions', '1000')} AS CPM,
-                           coalesce(v.avg_rev_30d_per_reg, 0.0) AS avg_rev_30d_per_reg
+                           coalesce(v.reg_users, 0) AS reg_users, coalesce(v.avg_rev_30d_per_reg, 0.0) AS avg_rev_30d_per_reg
                     FROM (SELECT channel, sum(spend) AS spend, sum(impressions) AS impressions, sum(clicks) AS clicks, sum(installs) AS installs,
                                  sum(registrations) AS registrations, sum(revenue_30d_total) AS revenue_30d_total
                           FROM campaign_kpi GROUP BY channel) p
@@ -285,6 +287,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 
 _KPIS = ["CPI", "CAC", "install_to_reg_rate", "CTR", "CPC", "CPM", "payback_months", "roas_30d", "avg_rev_30d_per_reg", "revenue_30d_total"]
 _COUNTS = ["impressions", "clicks", "installs", "registrations"]
+_STAT_COUNTS = [*_COUNTS, "reg_users"]
 
 
 def _lag_table(shift: str) -> str:
@@ -308,7 +311,7 @@ def _halo_table() -> str:
 
 def _shift_table() -> str:
     parts = [
-        f"SELECT CAST({k} AS BIGINT) AS shift_days, {_corr('x', 'y')} AS corr, round(avg(abs(CAST(x - y AS DOUBLE))), 6) AS mae FROM "
+        f"SELECT CAST({k} AS BIGINT) AS shift_days, {_corr('x', 'y')} AS corr, floor(CAST(avg(abs(CAST(x - y AS DOUBLE))) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS mae FROM "
         f"(SELECT lag(skan_installs_total, {k}) OVER (ORDER BY event_date) AS x, lastclick_paid_installs_total AS y FROM skan_ts)"
         for k in range(5)
     ]
@@ -317,8 +320,8 @@ def _shift_table() -> str:
 
 def _regression_table() -> str:
     parts = [
-        f"SELECT CAST({k} AS BIGINT) AS lag_days, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, "
-        f"round(regr_r2(y, x), 6) AS r2, CAST(regr_count(y, x) AS BIGINT) AS n FROM "
+        f"SELECT CAST({k} AS BIGINT) AS lag_days, floor(CAST(regr_slope(y, x) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS slope, floor(CAST(regr_intercept(y, x) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS intercept, "
+        f"floor(CAST(regr_r2(y, x) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS r2, CAST(regr_count(y, x) AS BIGINT) AS n FROM "
         f"(SELECT x, CAST(lead(y, {k}) OVER (ORDER BY event_date) AS DOUBLE) AS y FROM halo_ts)"
         for k in (0, 1, 3, 7)
     ]
@@ -365,35 +368,35 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     "panel_keys": (("keys",), "SELECT * FROM keys"),
     "panel_daily_kpi": (("panel",), f"""
         SELECT event_date, channel, campaign_id, campaign_name, {_round('spend')}, {_big(*_COUNTS)},
-               round({_ratio('spend', 'installs')}, 6) AS CPI, round({_ratio('spend', 'registrations')}, 6) AS CAC,
-               round({_ratio('clicks', 'impressions', '100')}, 6) AS CTR, round({_ratio('spend', 'clicks')}, 6) AS CPC,
-               round({_ratio('spend', 'impressions', '1000')}, 6) AS CPM
+               floor(CAST({_ratio('spend', 'installs')} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS CPI, floor(CAST({_ratio('spend', 'registrations')} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS CAC,
+               floor(CAST({_ratio('clicks', 'impressions', '100')} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS CTR, floor(CAST({_ratio('spend', 'clicks')} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS CPC,
+               floor(CAST({_ratio('spend', 'impressions', '1000')} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS CPM
         FROM panel"""),
     "first_registration": (("reg_users",), "SELECT * FROM reg_users"),
     "user_revenue_30d": (("user_rev",), f"SELECT user_id, {_round('revenue_30d')} FROM user_rev"),
     "revenue_by_campaign": (("campaign_rev",), f"SELECT channel, campaign_id, {_big('reg_users')}, {_round('avg_rev_30d_per_reg', 'revenue_30d_total')} FROM campaign_rev"),
     "campaign_stats": (("campaign_kpi",), f"""
-        SELECT channel, campaign_id, {_round('spend', *_KPIS, 'click_to_install', 'click_to_reg')}, {_big(*_COUNTS)} FROM campaign_kpi"""),
+        SELECT channel, campaign_id, {_round('spend', *_KPIS, 'click_to_install', 'click_to_reg')}, {_big(*_STAT_COUNTS)} FROM campaign_kpi"""),
     "channel_stats": (("channel_kpi",), f"""
-        SELECT channel, {_round('spend', *_KPIS, 'spend_share', 'reg_share', 'reg_minus_spend_share')}, {_big(*_COUNTS)} FROM channel_kpi"""),
+        SELECT channel, {_round('spend', *_KPIS, 'spend_share', 'reg_share', 'reg_minus_spend_share')}, {_big(*_STAT_COUNTS)} FROM channel_kpi"""),
     "paid_channel_ranking": (("channel_kpi",), f"""
         SELECT channel, {_round('CAC', 'payback_months')} FROM channel_kpi WHERE channel IS DISTINCT FROM 'Organic' ORDER BY channel_kpi.CAC NULLS LAST, channel"""),
     "organic_paid_by_platform": (("app_events",), f"""
-        SELECT *, round(installs_organic / nullif(installs_total, 0), 6) AS organic_share,
-               round({_ratio('installs_organic', 'installs_paid')}, 6) AS organic_to_paid_ratio
+        SELECT *, floor(CAST(installs_organic / nullif(installs_total, 0) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS organic_share,
+               floor(CAST({_ratio('installs_organic', 'installs_paid')} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS organic_to_paid_ratio
         FROM (SELECT platform, count(DISTINCT user_id) AS installs_total, count(DISTINCT user_id) FILTER (WHERE source = 'Organic') AS installs_organic,
                      count(DISTINCT user_id) FILTER (WHERE source IS DISTINCT FROM 'Organic') AS installs_paid
               FROM app_events WHERE event_name = 'install' AND platform IS NOT NULL GROUP BY platform)"""),
-    "organic_share_by_tracking": (("by_tracking",), "SELECT *, round(organic_installs / nullif(installs, 0), 6) AS organic_share FROM by_tracking"),
+    "organic_share_by_tracking": (("by_tracking",), "SELECT *, floor(CAST(organic_installs / nullif(installs, 0) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS organic_share FROM by_tracking"),
     "organic_share_pivot": (("by_tracking",), """
         SELECT platform,
-               round(coalesce(max(organic_installs / nullif(installs, 0)) FILTER (WHERE tracking_bucket = 'Tracking OFF'), 0.0), 6) AS "Tracking OFF",
-               round(coalesce(max(organic_installs / nullif(installs, 0)) FILTER (WHERE tracking_bucket = 'Tracking ON'), 0.0), 6) AS "Tracking ON",
-               round(coalesce(max(organic_installs / nullif(installs, 0)) FILTER (WHERE tracking_bucket = 'Unknown'), 0.0), 6) AS "Unknown"
+               floor(CAST(coalesce(max(organic_installs / nullif(installs, 0)) FILTER (WHERE tracking_bucket = 'Tracking OFF'), 0.0) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS "Tracking OFF",
+               floor(CAST(coalesce(max(organic_installs / nullif(installs, 0)) FILTER (WHERE tracking_bucket = 'Tracking ON'), 0.0) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS "Tracking ON",
+               floor(CAST(coalesce(max(organic_installs / nullif(installs, 0)) FILTER (WHERE tracking_bucket = 'Unknown'), 0.0) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS "Unknown"
         FROM by_tracking GROUP BY platform"""),
     "paid_mix_share": (("installs_u",), """
         SELECT platform, tracking_bucket, source, installs_paid,
-               round(installs_paid / sum(installs_paid) OVER (PARTITION BY platform, tracking_bucket), 6) AS share_within_group
+               floor(CAST(installs_paid / sum(installs_paid) OVER (PARTITION BY platform, tracking_bucket) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS share_within_group
         FROM (SELECT platform, tracking_bucket, source, count(DISTINCT user_id) AS installs_paid FROM installs_u
               WHERE source <> 'Organic' AND platform IS NOT NULL GROUP BY ALL)
         ORDER BY platform, tracking_bucket, installs_paid DESC, source LIMIT 30"""),
@@ -402,9 +405,9 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
         for s in ("Google App Campaigns", "Google Brand Search", "Google Non-Brand Search", "Meta", "Organic", "Referral", "TikTok")
     ) + " FROM installs_dps GROUP BY event_date, platform"),
     "organic_share_daily": (("organic_d",), f"""
-        SELECT event_date, platform, {_big('organic_installs')}, CAST(organic_installs + paid_only AS BIGINT) AS paid_installs, round(share_published, 6) AS organic_share FROM organic_d"""),
+        SELECT event_date, platform, {_big('organic_installs')}, CAST(organic_installs + paid_only AS BIGINT) AS paid_installs, floor(CAST(share_published AS DOUBLE) * 1e6 + 0.5) / 1e6 AS organic_share FROM organic_d"""),
     "organic_share_daily_fixed": (("organic_d",), f"""
-        SELECT event_date, platform, {_big('organic_installs')}, CAST(paid_only AS BIGINT) AS paid_installs, round(share_fixed, 6) AS organic_share FROM organic_d"""),
+        SELECT event_date, platform, {_big('organic_installs')}, CAST(paid_only AS BIGINT) AS paid_installs, floor(CAST(share_fixed AS DOUBLE) * 1e6 + 0.5) / 1e6 AS organic_share FROM organic_d"""),
     "lag_corr_spend_organic": (("organic_ts",), _lag_table("lag")),
     "lag_corr_spend_organic_forward": (("organic_ts",), _lag_table("lead")),
     "organic_share_anomalies": (("organic_z",), f"""
@@ -433,12 +436,12 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
               FROM voice WINDOW w AS (ORDER BY week))"""),
     "campaign_media": (("media",), f"SELECT channel, campaign_id, campaign_name, {_round('spend', 'CTR', 'CPC', 'CPM')}, {_big('impressions', 'clicks')} FROM media"),
     "campaign_funnel": (("funnel",), f"""
-        SELECT channel, campaign_id, campaign_name, {_big(*_COUNTS)},
+        SELECT channel, campaign_id, campaign_name, {_big(*_STAT_COUNTS)},
                {_round('spend', *_KPIS, 'click_to_install', 'click_to_reg', 'install_rate_per_click', 'reg_rate_per_click')} FROM funnel"""),
     "campaign_roles": (("roles",), f"SELECT channel, campaign_id, campaign_name, {_round('spend')}, campaign_role FROM roles"),
     "role_mix": (("roles",), """
-        SELECT channel, campaign_role, round(CAST(s AS DOUBLE), 6) AS role_spend,
-               round(CAST(s AS DOUBLE) / nullif(CAST(sum(s) OVER (PARTITION BY channel) AS DOUBLE), 0), 6) AS role_spend_share
+        SELECT channel, campaign_role, floor(CAST(CAST(s AS DOUBLE) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS role_spend,
+               floor(CAST(CAST(s AS DOUBLE) / nullif(CAST(sum(s) OVER (PARTITION BY channel) AS DOUBLE), 0) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS role_spend_share
         FROM (SELECT channel, campaign_role, sum(spend) AS s FROM roles WHERE channel IS NOT NULL GROUP BY ALL)"""),
     "role_profile": (("roles",), f"""
         SELECT channel, campaign_role, {_big('campaigns')}, {_round('spend', 'CAC', 'payback', 'CPM', 'CTR', 'install_to_reg', 'roas_30d')}
@@ -447,7 +450,7 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
               FROM roles WHERE channel IS NOT NULL GROUP BY channel, campaign_role)"""),
     "media_bubble": (("roles",), f"""
         SELECT channel, campaign_id, campaign_name, {_round('CPM', 'CTR')},
-               round(least(greatest(CAST(spend AS DOUBLE) / 2000.0, 10.0), 200.0), 6) AS bubble_size
+               floor(CAST(least(greatest(CAST(spend AS DOUBLE) / 2000.0, 10.0), 200.0) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS bubble_size
         FROM roles WHERE CPM IS NOT NULL AND CTR IS NOT NULL"""),
     "eligible_installs": (("eligible",), "SELECT * FROM eligible"),
     "ltv_labels": (("labels_u",), f"SELECT user_id, {_round('rev_0_14', 'rev_0_H', 'y_rev_14_H')} FROM labels_u"),
@@ -459,14 +462,14 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     "ltv_features": (("features",), f"SELECT {_FEATURE_SELECT} FROM features"),
     "ltv_dataset": (("dataset",), f"SELECT {_FEATURE_SELECT}, {_round('y_rev_14_H', 'rev_0_14')}, is_train FROM dataset"),
     "residuals_by_channel_fixed_score": (("scored",), """
-        SELECT channel, round(avg(residual), 6) AS mean_resid, round(median(residual), 6) AS median_resid, count(*) AS n
+        SELECT channel, floor(CAST(avg(residual) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS mean_resid, floor(CAST(median(residual) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS median_resid, count(*) AS n
         FROM scored WHERE channel IS NOT NULL GROUP BY channel"""),
     "channel_value_fixed_score": (("value",), f"SELECT {_VALUE_SELECT} FROM value"),
     "ltv_over_cac_fixed_score": (("over_cac",), f"SELECT {_VALUE_SELECT}, {_round('CAC', 'LTV_over_CAC')}, is_free_channel FROM over_cac"),
     "skan_ios_value": (("features", "labels_u", "skan"), """
         SELECT network, CAST(sum(installs) AS BIGINT) AS installs, CAST(coalesce(sum(installs) FILTER (WHERE mean_value IS NOT NULL), 0) AS BIGINT) AS calibrated_installs,
-               round(sum(installs * mean_value), 6) AS estimated_value,
-               round(sum(installs * mean_value) / nullif(coalesce(sum(installs) FILTER (WHERE mean_value IS NOT NULL), 0), 0), 6) AS value_per_install
+               floor(CAST(sum(installs * mean_value) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS estimated_value,
+               floor(CAST(sum(installs * mean_value) / nullif(coalesce(sum(installs) FILTER (WHERE mean_value IS NOT NULL), 0), 0) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS value_per_install
         FROM (SELECT network, conversion_value, sum(install_count) AS installs FROM skan GROUP BY ALL) s
         LEFT JOIN (SELECT CAST(least(63, floor(greatest(l.rev_0_14, 0.0))) AS INT) AS conversion_value, avg(l.rev_0_H) AS mean_value
                    FROM features f JOIN labels_u l ON f.user_id = l.user_id WHERE f.platform = 'android' GROUP BY 1) c
@@ -474,15 +477,15 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
         GROUP BY network"""),
     "halo_regression": (("halo_ts",), _regression_table()),
     "channel_funnel_role": (("channel_kpi",), f"""
-        SELECT channel, {_round('CPM', 'CTR', 'click_to_reg')}, round(score, 6) AS intent_score,
+        SELECT channel, {_round('CPM', 'CTR', 'click_to_reg')}, floor(CAST(score AS DOUBLE) * 1e6 + 0.5) / 1e6 AS intent_score,
                CASE WHEN score >= 2.0 / 3 THEN 'bottom' WHEN score >= 1.0 / 3 THEN 'mid' ELSE 'top' END AS funnel_role
         FROM (SELECT *, (percent_rank() OVER (ORDER BY CPM NULLS FIRST) + percent_rank() OVER (ORDER BY CTR NULLS FIRST)
                          + percent_rank() OVER (ORDER BY click_to_reg NULLS FIRST)) / 3.0 AS score
               FROM (SELECT channel, CPM, CTR, {_ratio('registrations', 'clicks')} AS click_to_reg FROM channel_kpi WHERE channel IS DISTINCT FROM 'Organic'))"""),
     "predicted_payback_fixed_score": (("over_cac",), f"""
-        SELECT channel, {_round('CAC', 'pred_mean')}, round(CASE WHEN pred_mean <> 0 THEN CAC / (pred_mean / (166 / 30.0)) END, 6) AS predicted_payback_months FROM over_cac"""),
+        SELECT channel, {_round('CAC', 'pred_mean')}, floor(CAST(CASE WHEN pred_mean <> 0 THEN CAC / (pred_mean / (166 / 30.0)) END AS DOUBLE) * 1e6 + 0.5) / 1e6 AS predicted_payback_months FROM over_cac"""),
     "campaign_triage_fixed_score": (("scored", "campaign_kpi"), """
-        SELECT v.channel, v.campaign_id, round(v.pred_mean, 6) AS pred_mean, v.n, round(c.CAC, 6) AS CAC, round(v.pred_mean / c.CAC, 6) AS LTV_over_CAC
+        SELECT v.channel, v.campaign_id, floor(CAST(v.pred_mean AS DOUBLE) * 1e6 + 0.5) / 1e6 AS pred_mean, v.n, floor(CAST(c.CAC AS DOUBLE) * 1e6 + 0.5) / 1e6 AS CAC, floor(CAST(v.pred_mean / c.CAC AS DOUBLE) * 1e6 + 0.5) / 1e6 AS LTV_over_CAC
         FROM (SELECT channel, coalesce(campaign_id, '__NO_CAMPAIGN__') AS campaign_id, avg(y_pred) AS pred_mean, count(*) AS n FROM scored GROUP BY 1, 2) v
         JOIN campaign_kpi c ON v.channel IS NOT DISTINCT FROM c.channel AND v.campaign_id = c.campaign_id
         WHERE c.CAC > 0"""),

@@ -1,4 +1,4 @@
-"""Time helpers for zone-less timestamps; none depends on the session time zone."""
+"""Time helpers for zone-less timestamps. Run the session in UTC, where every local hour exists once."""
 
 from __future__ import annotations
 

@@ -54,17 +54,19 @@ def spend_daily_campaign(spend: DataFrame) -> DataFrame:
     )
 
 
-def _conversions(events: DataFrame) -> DataFrame:
-    """Installs and registrations per day and campaign from one scan and one distinct."""
+def _conversion_rows(events: DataFrame) -> DataFrame:
+    """One row per converting user, day, campaign and kind, flagged 1 as an install or a registration."""
     kind = F.col("event_name")
     users = (
         events.filter(kind.isin("install", "registration"))
         .select(day(F.col("event_timestamp")).alias("event_date"), F.col("source").alias("channel"), "campaign_id", "event_name", "user_id")
         .distinct()
     )
-    return users.groupBy(*PANEL_KEYS).agg(
-        F.count(F.when(kind == "install", F.col("user_id"))).alias("installs"),
-        F.count(F.when(kind == "registration", F.col("user_id"))).alias("registrations"),
+    known = F.col("user_id").isNotNull()
+    return users.select(
+        *PANEL_KEYS,
+        (known & (kind == "install")).cast("bigint").alias("installs"),
+        (known & (kind == "registration")).cast("bigint").alias("registrations"),
     )
 
 
@@ -79,10 +81,10 @@ def panel_keys(events: DataFrame, spend: DataFrame) -> DataFrame:
 def daily_panel(events: DataFrame, spend: DataFrame) -> DataFrame:
     """Spend and conversions side by side per (day, channel, campaign).
 
-    Both sides are stacked and summed once instead of joined: NULL keys group together by
-    themselves, and raw spend rows are combined map-side in the same shuffle.
+    Spend rows and distinct users are stacked and summed once instead of joined: NULL keys group
+    together by themselves, both sides are combined map-side, and one shuffle serves them all.
     """
-    stacked = _spend_rows(spend).unionByName(_conversions(events), allowMissingColumns=True)
+    stacked = _spend_rows(spend).unionByName(_conversion_rows(events), allowMissingColumns=True)
     return stacked.groupBy(*PANEL_KEYS).agg(
         *[fill(F.sum(m)).alias(m) for m in MEASURES], F.min("campaign_name").alias("campaign_name")
     )
@@ -163,25 +165,20 @@ def campaign_stats(panel: DataFrame, campaign_revenue: DataFrame) -> DataFrame:
         "click_to_install": guarded_ratio("installs", "clicks"),
         "click_to_reg": guarded_ratio("registrations", "clicks"),
     })
-    value = campaign_revenue.select("channel", "campaign_id", "avg_rev_30d_per_reg", "revenue_30d_total")
-    valued = null_safe_join(kpis, value, ["channel", "campaign_id"]).withColumns({
+    return _with_value(null_safe_join(kpis, campaign_revenue, ["channel", "campaign_id"]).withColumns({
+        "reg_users": fill("reg_users"),
         "avg_rev_30d_per_reg": fill("avg_rev_30d_per_reg", 0.0),
         "revenue_30d_total": fill("revenue_30d_total", 0.0),
-    })
-    return _with_value(valued)
+    }))
 
 
-def channel_stats(campaigns: DataFrame, campaign_revenue: DataFrame) -> DataFrame:
+def channel_stats(campaigns: DataFrame) -> DataFrame:
     """KPIs per channel, with each channel's share of spend and of registrations."""
-    totals = campaigns.groupBy("channel").agg(*[F.sum(m).alias(m) for m in [*MEASURES, "revenue_30d_total"]])
+    totals = campaigns.groupBy("channel").agg(*[F.sum(m).alias(m) for m in [*MEASURES, "reg_users", "revenue_30d_total"]])
     # The mean per registered user follows from campaign totals, without another pass over users.
-    value = campaign_revenue.groupBy("channel").agg(
-        guarded_ratio(F.sum("revenue_30d_total"), F.sum("reg_users")).alias("avg_rev_30d_per_reg")
-    )
-    valued = null_safe_join(totals.withColumns(_efficiency()), value, ["channel"]).withColumn(
-        "avg_rev_30d_per_reg", fill("avg_rev_30d_per_reg", 0.0)
-    )
-    shared = share_of_total(share_of_total(_with_value(valued), "spend", "spend_share"), "registrations", "reg_share")
+    mean = fill(guarded_ratio("revenue_30d_total", "reg_users"), 0.0)
+    valued = _with_value(totals.withColumns({**_efficiency(), "avg_rev_30d_per_reg": mean}))
+    shared = share_of_total(share_of_total(valued, "spend", "spend_share"), "registrations", "reg_share")
     return shared.withColumn("reg_minus_spend_share", F.col("reg_share") - F.col("spend_share"))
 
 
@@ -190,7 +187,7 @@ def channel_performance(events: DataFrame, spend: DataFrame, tx: DataFrame) -> t
     registrations = first_registration(events)
     revenue = revenue_by_campaign(registered_revenue(registrations, user_revenue(registrations, tx)))
     campaigns = campaign_stats(daily_panel(events, spend), revenue)
-    return campaigns, channel_stats(campaigns, revenue)
+    return campaigns, channel_stats(campaigns)
 
 
 def paid_channel_ranking(channels: DataFrame, by: str = "CAC", keep: Sequence[str] = ("CAC", "payback_months")) -> DataFrame:
