@@ -90,7 +90,7 @@ def exact_quantiles(
 
 
 def modes(levels: DataFrame, by: Sequence[str], value: str, count: str) -> DataFrame:
-    """Most frequent value per group from counted levels; the smallest value wins a tie."""
+    """Most frequent value (smallest on a tie) and number of values per group, from counted values."""
     return levels.filter(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.min_by(value, F.struct(-F.col(count), F.col(value))).alias("mode")
+        F.min_by(value, F.struct(-F.col(count), F.col(value))).alias("mode"), F.count(F.lit(1)).alias("levels")
     )

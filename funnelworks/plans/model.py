@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from funnelworks.functions.ratios import plain_ratio
 from funnelworks.functions.stats import r2
-from funnelworks.operators.order_stats import exact_quantiles, with_row_index
+from funnelworks.operators.order_stats import exact_quantiles, modes, with_row_index
 from funnelworks.plans.ltv import FEATURES, TARGET
 from funnelworks.sources.storage import checkpoint_root
 
@@ -43,9 +43,8 @@ def fill_values(train: DataFrame, numeric: Sequence[str], categorical: Sequence[
         fills |= {r["feature"]: r["median"] for r in exact_quantiles(long, ["feature"], "value", {"median": 0.5}).collect()}
     if categorical:
         long = train.select(*[F.col(c).cast("string").alias(c) for c in categorical]).unpivot([], list(categorical), "feature", "level")
-        counted = long.dropna().groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n"))
-        smallest_of_most_frequent = F.min_by("level", F.struct(-F.col("n"), F.col("level")))
-        for row in counted.groupBy("feature").agg(smallest_of_most_frequent.alias("mode"), F.count(F.lit(1)).alias("levels")).collect():
+        counted = long.groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n"))
+        for row in modes(counted, ["feature"], "level", "n").collect():
             if row["levels"] > max_levels:
                 raise ValueError(f"{row['feature']} has {row['levels']} levels, more than max_levels={max_levels}")
             fills[row["feature"]] = row["mode"]
