@@ -381,6 +381,9 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT channel, {_round('spend', *_KPIS, 'spend_share', 'reg_share', 'reg_minus_spend_share')}, {_big(*_STAT_COUNTS)} FROM channel_kpi"""),
     "paid_channel_ranking": (("channel_kpi",), f"""
         SELECT channel, {_round('CAC', 'payback_months')} FROM channel_kpi WHERE channel IS DISTINCT FROM 'Organic' ORDER BY channel_kpi.CAC NULLS LAST, channel"""),
+    "paid_channel_payback_ranking": (("channel_kpi",), f"""
+        SELECT channel, {_round('CAC', 'payback_months')} FROM channel_kpi WHERE channel IS DISTINCT FROM 'Organic'
+        ORDER BY channel_kpi.payback_months NULLS LAST, channel"""),
     "organic_paid_by_platform": (("app_events",), f"""
         SELECT *, floor(CAST(installs_organic / nullif(installs_total, 0) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS organic_share,
                floor(CAST({_ratio('installs_organic', 'installs_paid')} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS organic_to_paid_ratio
@@ -400,6 +403,11 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT platform, tracking_bucket, source, count(DISTINCT user_id) AS installs_paid FROM installs_u
               WHERE source <> 'Organic' AND platform IS NOT NULL GROUP BY ALL)
         ORDER BY platform, tracking_bucket, installs_paid DESC, source LIMIT 30"""),
+    "daily_installs": (("installs_dps",), "SELECT * FROM installs_dps"),
+    "spend_daily_channel": (("marketing_spend",), f"""
+        SELECT event_date, channel, {_round('spend')}, {_big('impressions', 'clicks')}
+        FROM (SELECT date AS event_date, channel, sum(spend) AS spend, sum(impressions) AS impressions, sum(clicks) AS clicks
+              FROM marketing_spend WHERE date IS NOT NULL AND channel IS NOT NULL GROUP BY date, channel)"""),
     "daily_installs_pivot": (("installs_dps",), "SELECT event_date, platform, " + ", ".join(
         f"CAST(coalesce(sum(installs) FILTER (WHERE source = '{s}'), 0) AS BIGINT) AS \"{s}\""
         for s in ("Google App Campaigns", "Google Brand Search", "Google Non-Brand Search", "Meta", "Organic", "Referral", "TikTok")
@@ -410,6 +418,8 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT event_date, platform, {_big('organic_installs')}, CAST(paid_only AS BIGINT) AS paid_installs, floor(CAST(share_fixed AS DOUBLE) * 1e6 + 0.5) / 1e6 AS organic_share FROM organic_d"""),
     "lag_corr_spend_organic": (("organic_ts",), _lag_table("lag")),
     "lag_corr_spend_organic_forward": (("organic_ts",), _lag_table("lead")),
+    "organic_share_scores": (("organic_z",), f"""
+        SELECT event_date, platform, {_round('organic_share', 'z_organic_share', 'paid_spend_total')} FROM organic_z"""),
     "organic_share_anomalies": (("organic_z",), f"""
         SELECT event_date, platform, {_round('organic_share', 'z_organic_share', 'paid_spend_total')} FROM organic_z
         WHERE abs(z_organic_share) >= 2.0 ORDER BY organic_z.z_organic_share DESC, event_date, platform LIMIT 20"""),
@@ -419,11 +429,14 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
               QUALIFY row_number() OVER (PARTITION BY platform ORDER BY abs(z_organic_share) DESC, event_date) <= 10) t
         ORDER BY t.abs_z DESC, event_date, platform LIMIT 20"""),
     "skan_daily_network": (("skan_d",), f"SELECT event_date, network, {_big('install_count')} FROM skan_d"),
+    "skan_series": (("skan_ts",), f"SELECT event_date, {_big('skan_installs_total', 'lastclick_paid_installs_total')} FROM skan_ts"),
     "skan_vs_lastclick": (("skan_ts",), """
         SELECT event_date, CAST(skan_installs_total AS BIGINT) AS skan_installs_total, CAST(lastclick_paid_installs_total AS BIGINT) AS lastclick_paid_installs_total,
                CAST(skan_installs_total - lastclick_paid_installs_total AS BIGINT) AS skan_minus_lastclick
         FROM skan_ts ORDER BY 4 DESC, event_date LIMIT 15"""),
     "skan_shift_fit": (("skan_ts",), _shift_table()),
+    "halo_series": (("halo_ts",), """
+        SELECT event_date, floor(CAST(x AS DOUBLE) * 1e6 + 0.5) / 1e6 AS paid_spend_total, CAST(y AS BIGINT) AS organic_installs FROM halo_ts"""),
     "halo_lag_corr": (("halo_diff",), _halo_table()),
     "weekly_spend_share": (("spend_w",), f"SELECT week, channel, {_round('spend', 'spend_share')} FROM spend_w"),
     "weekly_paid_install_share": (("paid_w",), f"SELECT week, source, installs, {_round('paid_install_share')} FROM paid_w"),

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from funnelworks.fixture.bindings import SOURCES, bound_tables
 from funnelworks.plans import channel, extensions, gaps, ltv, model, roles, series
-from funnelworks.sources import Tables, table_profile
+from funnelworks.sources import Tables, materialise, table_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,8 +35,12 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def _performance(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return channel.channel_performance(t.app_events, t.marketing_spend, t.user_transactions)
+def _campaigns(t: Tables) -> DataFrame:
+    return channel.campaign_performance(t.app_events, t.marketing_spend, t.user_transactions)
+
+
+def _channels(t: Tables) -> DataFrame:
+    return channel.channel_stats(_campaigns(t))
 
 
 def _registered(t: Tables) -> DataFrame:
@@ -62,7 +66,7 @@ def _halo(t: Tables) -> DataFrame:
 
 
 def _roles(t: Tables) -> DataFrame:
-    funnel = roles.campaign_funnel(_performance(t)[0], roles.campaign_media(t.marketing_spend), MIN_REGISTRATIONS)
+    funnel = roles.campaign_funnel(_campaigns(t), roles.campaign_media(t.marketing_spend), MIN_REGISTRATIONS)
     return roles.campaign_roles(funnel)
 
 
@@ -102,25 +106,31 @@ RELATIONAL: dict[str, Callable[[Tables], DataFrame]] = {
     "first_registration": lambda t: channel.first_registration(t.app_events),
     "user_revenue_30d": lambda t: channel.user_revenue(channel.first_registration(t.app_events), t.user_transactions),
     "revenue_by_campaign": lambda t: channel.revenue_by_campaign(_registered(t)),
-    "campaign_stats": lambda t: _performance(t)[0],
-    "channel_stats": lambda t: _performance(t)[1],
-    "paid_channel_ranking": lambda t: channel.paid_channel_ranking(_performance(t)[1]),
+    "campaign_stats": _campaigns,
+    "channel_stats": _channels,
+    "paid_channel_ranking": lambda t: channel.paid_channel_ranking(_channels(t)),
+    "paid_channel_payback_ranking": lambda t: channel.paid_channel_ranking(_channels(t), by="payback_months"),
     "organic_paid_by_platform": lambda t: gaps.organic_paid_by_platform(t.app_events),
     "organic_share_by_tracking": lambda t: gaps.organic_share_by_tracking(gaps.install_users(t.app_events, t.user_profiles)),
     "organic_share_pivot": lambda t: gaps.organic_share_pivot(
         gaps.organic_share_by_tracking(gaps.install_users(t.app_events, t.user_profiles))
     ),
     "paid_mix_share": lambda t: gaps.paid_mix_share(gaps.install_users(t.app_events, t.user_profiles)),
+    "daily_installs": lambda t: series.daily_installs(t.app_events),
+    "spend_daily_channel": lambda t: series.spend_daily_channel(t.marketing_spend),
     "daily_installs_pivot": lambda t: series.daily_installs_pivot(series.daily_installs(t.app_events), SOURCES),
     "organic_share_daily": lambda t: series.organic_share_daily(series.daily_installs(t.app_events)),
     "organic_share_daily_fixed": lambda t: series.organic_share_daily(series.daily_installs(t.app_events), organic_in_paid=False),
     "lag_corr_spend_organic": lambda t: series.lag_corr_spend_organic(_organic(t)),
     "lag_corr_spend_organic_forward": lambda t: series.lag_corr_spend_organic(_organic(t), forward=True),
+    "organic_share_scores": lambda t: series.organic_share_scores(_organic(t)),
     "organic_share_anomalies": lambda t: series.organic_share_anomalies(_organic(t), Z_THRESHOLD),
     "organic_share_extremes": lambda t: series.organic_share_extremes(_organic(t)),
     "skan_daily_network": lambda t: series.skan_daily_network(t.skan_attribution_ios),
+    "skan_series": _skan,
     "skan_vs_lastclick": lambda t: series.skan_vs_lastclick(_skan(t)),
     "skan_shift_fit": lambda t: series.skan_shift_fit(_skan(t)),
+    "halo_series": _halo,
     "halo_lag_corr": lambda t: series.halo_lag_corr(_halo(t)),
     "weekly_spend_share": lambda t: series.weekly_spend_share(t.marketing_spend),
     "weekly_paid_install_share": lambda t: series.weekly_paid_install_share(series.weekly_installs(t.app_events)),
@@ -131,7 +141,7 @@ RELATIONAL: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "campaign_media": lambda t: roles.campaign_media(t.marketing_spend),
     "campaign_funnel": lambda t: roles.campaign_funnel(
-        _performance(t)[0], roles.campaign_media(t.marketing_spend), MIN_REGISTRATIONS
+        _campaigns(t), roles.campaign_media(t.marketing_spend), MIN_REGISTRATIONS
     ),
     "campaign_roles": lambda t: _roles(t).select("channel", "campaign_id", "campaign_name", "spend", "campaign_role"),
     "role_mix": lambda t: roles.role_mix(_roles(t)),
@@ -149,15 +159,15 @@ RELATIONAL: dict[str, Callable[[Tables], DataFrame]] = {
     # What is read off a model, fed with a score that SQL can repeat.
     "residuals_by_channel_fixed_score": lambda t: model.residuals_by_channel(_fixed_score(t)),
     "channel_value_fixed_score": lambda t: model.channel_value(_fixed_score(t)),
-    "ltv_over_cac_fixed_score": lambda t: model.ltv_over_cac(model.channel_value(_fixed_score(t)), _performance(t)[1]),
+    "ltv_over_cac_fixed_score": lambda t: model.ltv_over_cac(model.channel_value(_fixed_score(t)), _channels(t)),
     # Methods described in words only.
     "skan_ios_value": lambda t: extensions.skan_ios_value(_features(t), t.skan_attribution_ios),
     "halo_regression": lambda t: extensions.halo_regression(_halo(t)),
-    "channel_funnel_role": lambda t: extensions.channel_funnel_role(_performance(t)[1]),
+    "channel_funnel_role": lambda t: extensions.channel_funnel_role(_channels(t)),
     "predicted_payback_fixed_score": lambda t: extensions.predicted_payback(
-        model.ltv_over_cac(model.channel_value(_fixed_score(t)), _performance(t)[1])
+        model.ltv_over_cac(model.channel_value(_fixed_score(t)), _channels(t))
     ),
-    "campaign_triage_fixed_score": lambda t: extensions.campaign_triage(_fixed_score(t), _performance(t)[0]),
+    "campaign_triage_fixed_score": lambda t: extensions.campaign_triage(_fixed_score(t), _campaigns(t)),
 }
 
 
@@ -169,14 +179,14 @@ class _Study:
         data = _dataset(t)
         self.train, self.test = data.filter("is_train"), data.filter("NOT is_train")
         self.model = model.fit_ltv(self.train, max_iter=MAX_ITER)
-        self.scored = model.score(self.model, self.test)
+        self.scored = materialise(model.score(self.model, self.test), "scored")
 
     def median_scored(self) -> DataFrame:
         median = model.fit_ltv(self.train, loss="absolute", max_iter=MAX_ITER)
         return model.score(median, self.test)
 
     def over_cac(self) -> DataFrame:
-        return model.ltv_over_cac(model.channel_value(self.scored), _performance(self.tables)[1])
+        return model.ltv_over_cac(model.channel_value(self.scored), _channels(self.tables))
 
 
 _studies: dict[tuple[str, str], _Study] = {}
@@ -197,7 +207,7 @@ MODELLED: dict[str, Callable[[_Study], DataFrame]] = {
     "ltv_over_cac": lambda s: s.over_cac(),
     "median_model_mae": lambda s: model.mean_absolute_error(s.median_scored()),
     "predicted_payback": lambda s: extensions.predicted_payback(s.over_cac()),
-    "campaign_triage": lambda s: extensions.campaign_triage(s.scored, _performance(s.tables)[0]),
+    "campaign_triage": lambda s: extensions.campaign_triage(s.scored, _campaigns(s.tables)),
 }
 
 

@@ -4,6 +4,7 @@ from funnelworks.operators.events import daily_users, first_event, null_safe_joi
 from funnelworks.operators.intervals import (
     account_instants,
     fee_revenue_interval,
+    heavy_users,
     interval_fees,
     windowed_instants,
 )
@@ -12,7 +13,7 @@ from funnelworks.operators.series import lag_correlation, rolling_zscore, shift_
 from funnelworks.operators.shares import mix_share, organic_paid_ratio, share_of_total
 
 __all__ = [
-    "account_instants", "daily_users", "exact_quantiles", "fee_revenue_interval", "first_event",
+    "account_instants", "daily_users", "exact_quantiles", "fee_revenue_interval", "first_event", "heavy_users",
     "interval_fees", "lag_correlation", "mix_share", "modes", "null_safe_join",
     "organic_paid_ratio", "rolling_zscore", "share_of_total", "shift_fit", "top_extremes",
     "windowed_instants", "with_row_index",

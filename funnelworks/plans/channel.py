@@ -44,16 +44,23 @@ def _spend_rows(spend: DataFrame) -> DataFrame:
     )
 
 
-def spend_daily_campaign(spend: DataFrame) -> DataFrame:
-    """Spend, impressions, clicks per day and campaign; the smallest campaign name stands for the key."""
-    return _spend_rows(spend).groupBy(*PANEL_KEYS).agg(
-        fill(F.sum("spend")).alias("spend"),
-        fill(F.sum("impressions")).alias("impressions"),
-        fill(F.sum("clicks")).alias("clicks"),
-        F.min("campaign_name").alias("campaign_name"),
+def _with_smallest_name(rows: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """Sums per panel key, with the smallest campaign name standing for the key.
+
+    Summing per name first keeps the large step a hash aggregation: a text minimum would make
+    Spark sort all rows instead.
+    """
+    per_name = rows.groupBy(*PANEL_KEYS, "campaign_name").agg(*[F.sum(m).alias(m) for m in measures])
+    return per_name.groupBy(*PANEL_KEYS).agg(
+        *[fill(F.sum(m)).alias(m) for m in measures], F.min("campaign_name").alias("campaign_name")
     )
 
 
+def spend_daily_campaign(spend: DataFrame) -> DataFrame:
+    """Spend, impressions and clicks per day and campaign."""
+    return _with_smallest_name(_spend_rows(spend), ["spend", "impressions", "clicks"])
+
+
 def _conversion_rows(events: DataFrame) -> DataFrame:
     """One row per converting user, day, campaign and kind, flagged 1 as an install or a registration."""
     kind = F.col("event_name")
@@ -78,21 +85,18 @@ def panel_keys(events: DataFrame, spend: DataFrame) -> DataFrame:
     return _spend_rows(spend).select(*PANEL_KEYS).unionByName(converted).distinct()
 
 
-def daily_panel(events: DataFrame, spend: DataFrame) -> DataFrame:
-    """Spend and conversions side by side per (day, channel, campaign).
+def panel_rows(events: DataFrame, spend: DataFrame) -> DataFrame:
+    """Spend rows and distinct converting users stacked on the panel's columns, not yet summed.
 
-    Spend rows and distinct users are stacked and summed once instead of joined: NULL keys group
-    together by themselves, both sides are combined map-side, and one shuffle serves them all.
+    Stacking replaces the joins of the three measure sets: NULL keys group together by themselves,
+    and any grain needs one shuffle with a map-side combine.
     """
-    stacked = _spend_rows(spend).unionByName(_conversion_rows(events), allowMissingColumns=True)
-    return stacked.groupBy(*PANEL_KEYS).agg(
-        *[fill(F.sum(m)).alias(m) for m in MEASURES], F.min("campaign_name").alias("campaign_name")
-    )
+    return _spend_rows(spend).unionByName(_conversion_rows(events), allowMissingColumns=True)
 
 
 def panel_daily_kpi(events: DataFrame, spend: DataFrame) -> DataFrame:
-    """The panel with daily unit costs; CTR is in percent here."""
-    return daily_panel(events, spend).withColumns({
+    """Measures and unit costs per (day, channel, campaign); CTR is in percent here."""
+    return _with_smallest_name(panel_rows(events, spend), MEASURES).withColumns({
         "CPI": guarded_ratio("spend", "installs"),
         "CAC": guarded_ratio("spend", "registrations"),
         **media_ratios("spend", "impressions", "clicks", ctr_scale=100),
@@ -151,7 +155,7 @@ def _with_value(stats: DataFrame) -> DataFrame:
 
 
 def campaign_stats(panel: DataFrame, campaign_revenue: DataFrame) -> DataFrame:
-    """KPIs per (channel, campaign) over the full period.
+    """KPIs per (channel, campaign) over the full period, from the daily panel or its unsummed rows.
 
     ``installs`` sums daily distinct users, so a user installing on two days counts twice.
     """
@@ -182,12 +186,11 @@ def channel_stats(campaigns: DataFrame) -> DataFrame:
     return shared.withColumn("reg_minus_spend_share", F.col("reg_share") - F.col("spend_share"))
 
 
-def channel_performance(events: DataFrame, spend: DataFrame, tx: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(campaign_stats, channel_stats) straight from the input tables."""
+def campaign_performance(events: DataFrame, spend: DataFrame, tx: DataFrame) -> DataFrame:
+    """``campaign_stats`` straight from the input tables; ``channel_stats`` takes it from there."""
     registrations = first_registration(events)
     revenue = revenue_by_campaign(registered_revenue(registrations, user_revenue(registrations, tx)))
-    campaigns = campaign_stats(daily_panel(events, spend), revenue)
-    return campaigns, channel_stats(campaigns)
+    return campaign_stats(panel_rows(events, spend), revenue)
 
 
 def paid_channel_ranking(channels: DataFrame, by: str = "CAC", keep: Sequence[str] = ("CAC", "payback_months")) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,7 @@ from funnelworks.functions.ratios import clip, fill
 from funnelworks.functions.text import as_text, normalised
 from funnelworks.functions.time import add_days, whole_days
 from funnelworks.operators.events import null_safe_join, tie_columns
-from funnelworks.operators.intervals import (
-    BUCKET_DAYS,
-    FEE_RATE,
-    account_instants,
-    interval_fees,
-    windowed_instants,
-)
+from funnelworks.operators.intervals import FEE_RATE, interval_fees, windowed_instants
 from funnelworks.operators.order_stats import with_row_index
 from funnelworks.plans.channel import media_ratios
 
@@ -68,14 +64,14 @@ def account_summary(
     early_days: int = EARLY_DAYS,
     fee_rate: float = FEE_RATE,
     tie: str = "tx_id",
-    bucket_days: int = BUCKET_DAYS,
+    heavy: Sequence | None = None,
 ) -> DataFrame:
     """Revenue of both windows and early account activity per user, from one pass over ``tx``."""
     start = F.col("install_date")
     windows = eligible.select(
         "user_id", "install_date", add_days(start, early_days).alias("end_14"), add_days(start, h_days).alias("end_H")
     )
-    points = windowed_instants(account_instants(tx, tie), windows, "install_date", "end_H", bucket_days)
+    points = windowed_instants(tx, windows, "install_date", "end_H", tie, heavy=heavy)
 
     early, known = F.col("ts") <= F.col("end_14"), F.col("known_balance")
     early_known = F.when(early & known.isNotNull(), F.col("ts"))

@@ -27,15 +27,23 @@ def daily_installs(events: DataFrame) -> DataFrame:
     return daily_users(events, "install", "installs", by=("platform", "source"), keep_null_keys=False)
 
 
-def daily_spend(spend: DataFrame) -> DataFrame:
-    """Total spend per day over all channels that are named."""
-    return (
-        spend.select(day(F.col("date")).alias("event_date"), "channel", "spend")
-        .dropna(subset=["event_date", "channel"])
-        .groupBy("event_date").agg(fill(F.sum("spend")).alias("paid_spend_total"))
+def _named_spend(spend: DataFrame) -> DataFrame:
+    rows = spend.select(day(F.col("date")).alias("event_date"), "channel", "spend", "impressions", "clicks")
+    return rows.dropna(subset=["event_date", "channel"])
+
+
+def spend_daily_channel(spend: DataFrame) -> DataFrame:
+    """Spend, impressions and clicks per day and named channel."""
+    return _named_spend(spend).groupBy("event_date", "channel").agg(
+        *[fill(F.sum(m)).alias(m) for m in ("spend", "impressions", "clicks")]
     )
 
 
+def daily_spend(spend: DataFrame) -> DataFrame:
+    """Total spend per day over the named channels."""
+    return _named_spend(spend).groupBy("event_date").agg(fill(F.sum("spend")).alias("paid_spend_total"))
+
+
 def daily_installs_pivot(daily: DataFrame, sources: Sequence[str] | None = None) -> DataFrame:
     """One row per day and platform, one column per source, 0 where there was none.
 

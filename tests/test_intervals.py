@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from funnelworks.functions import add_days
-from funnelworks.operators import fee_revenue_interval
+from funnelworks.operators import fee_revenue_interval, heavy_users
 from tests.frames import tx, ts
 
 FEE = 0.005 / 365.0
@@ -68,8 +68,8 @@ def test_missing_user_or_time_is_ignored(spark):
     assert set(out) == {1}
 
 
-@pytest.mark.parametrize("bucket_days", [1, 7, 400])
-def test_against_brute_force_with_a_user_that_owns_most_rows(spark, bucket_days):
+@pytest.mark.parametrize(("bucket_hours", "heavy"), [(1, []), (168, None), (168, [1, 5]), (9600, [1])])
+def test_against_brute_force_with_a_user_that_owns_most_rows(spark, bucket_hours, heavy):
     rng = random.Random(3)
     base = datetime(2024, 1, 1)
     raw, by_user = [], {}
@@ -81,7 +81,7 @@ def test_against_brute_force_with_a_user_that_owns_most_rows(spark, bucket_days)
         by_user.setdefault(user, []).append((at, i, balance))
     starts = {u: base + timedelta(hours=rng.randrange(0, 24 * 40)) for u in by_user}
     w = windows(spark, *[(u, s.isoformat()) for u, s in starts.items()])
-    out = fees(fee_revenue_interval(tx(spark, raw), w, "start", ENDS, bucket_days=bucket_days))
+    out = fees(fee_revenue_interval(tx(spark, raw), w, "start", ENDS, bucket_hours=bucket_hours, heavy=heavy))
     for user, start in starts.items():
         expected = tuple(brute_force(by_user[user], start, start + timedelta(days=d)) for d in (14, 30))
         assert out.get(user, (0.0, 0.0)) == pytest.approx(expected, abs=1e-9), user
@@ -95,6 +95,11 @@ def test_a_transaction_that_keeps_the_balance_changes_nothing(spark):
     assert after[1] == pytest.approx(before[1])
 
 
+def test_heavy_users_are_found(spark):
+    t = tx(spark, [(i, 1 if i % 3 else 10 + i, "2024-01-02", "deposit", 5, 50) for i in range(300)] + [(999, None, "2024-01-02", "deposit", 5, 50)])
+    assert heavy_users(t, min_rows=100) == [1] and heavy_users(t.limit(0), min_rows=1) == []
+
+
 def test_hot_user_is_spread_before_any_per_user_step(spark):
     """No exchange by user alone may carry transaction rows."""
     t = tx(spark, [(1, 1, "2024-01-02", "deposit", 5, 50)])

@@ -48,7 +48,7 @@ def test_rows_of_one_instant_count_in_file_order(tables):
 
 
 def test_jobs_run_on_csv(tables):
-    campaigns, _ = channel.channel_performance(tables.app_events, tables.marketing_spend, tables.user_transactions)
+    campaigns = channel.campaign_performance(tables.app_events, tables.marketing_spend, tables.user_transactions)
     meta = campaigns.filter("campaign_id = 'm1'").first()
     assert float(meta["spend"]) == 13.75 and meta["installs"] == 1 and meta["revenue_30d_total"] > 0
 
