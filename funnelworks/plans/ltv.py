@@ -34,20 +34,25 @@ def user_journeys(events: DataFrame, tie: str = "event_id") -> DataFrame:
     """First install of each user, with the time of the first registration if there is one.
 
     Both come from one pass and one shuffle over events; every map task sends one row per user.
+    Times are aggregated apart from labels, so that a plan reading only times keeps no text.
     """
     ts, kind = F.col("event_timestamp"), F.col("event_name")
+    installed = kind == "install"
     ties = tie_columns(events, tie, ["platform", "source", "campaign_id", "country"])
     # Missing timestamps sort last: the flag goes before the value.
-    earliest = F.when(kind == "install", F.struct(ts.isNull().alias("late"), ts, *ties))
-    install = F.struct(
-        ts.alias("install_date"), F.col("platform"), F.col("source").alias("channel"), F.col("campaign_id"), F.col("country")
-    )
+    earliest = F.when(installed, F.struct(ts.isNull().alias("late"), ts, *ties))
+    labels = F.struct("platform", F.col("source").alias("channel"), "campaign_id", "country")
     return (
         events.filter(kind.isin("install", "registration"))
         .groupBy("user_id")
-        .agg(F.min_by(install, earliest).alias("first"), F.min(F.when(kind == "registration", ts)).alias("reg_date"))
-        .filter(F.col("first").isNotNull())
-        .select("user_id", "first.*", "reg_date")
+        .agg(
+            F.min(F.when(installed, ts)).alias("install_date"),
+            F.min(F.when(kind == "registration", ts)).alias("reg_date"),
+            F.count_if(installed).alias("installs"),
+            F.min_by(labels, earliest).alias("first"),
+        )
+        .filter(F.col("installs") > 0)
+        .select("user_id", "install_date", "first.*", "reg_date")
     )
 
 
