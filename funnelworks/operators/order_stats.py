@@ -60,6 +60,8 @@ def exact_quantiles(
     Small groups use the built-in percentile. Once any group is larger, its distinct values are
     counted, sorted across the cluster, and read off at the wanted cumulative counts.
     """
+    if not by:
+        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, rows_in_memory).drop("_all")
     rows = df.select(*by, F.col(value).cast("double").alias("_value")).filter(F.col("_value").isNotNull())
     largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
     if largest <= rows_in_memory:
@@ -75,7 +77,7 @@ def exact_quantiles(
         "_from": F.col("_start") + F.col("_upto") - F.col("_count"),
     })
     groups = ranked.groupBy(*by).agg(F.min("_from").alias("_first"), F.sum("_count").alias("_n"))
-    placed = null_safe_join(ranked, groups, by) if by else ranked.join(F.broadcast(groups))
+    placed = null_safe_join(ranked, groups, by)
 
     def at(position: Column, weight: Column) -> Column:
         wanted = F.col("_first") + position

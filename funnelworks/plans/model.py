@@ -25,6 +25,8 @@ MAX_ITER, MAX_BINS, MIN_LEAF_ROWS = 100, 255, 20
 REPEATS = 5
 ZERO_PREDICTION = 1e-6
 
+# Trees keep one number per one-hot column and row, so wide features stay a single categorical column.
+ONE_HOT_LEVELS = 64
 # Levels of a categorical feature end up in driver memory and in every task of the model.
 MAX_LEVELS = 100_000
 
@@ -35,9 +37,11 @@ def column_kinds(df: DataFrame, features: Sequence[str]) -> tuple[list[str], lis
     return [f for f in features if f not in categorical], categorical
 
 
-def fill_values(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], max_levels: int = MAX_LEVELS) -> dict:
-    """Exact median per numeric and most frequent level per categorical feature (one row per feature)."""
+def fill_values(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[dict, dict[str, int]]:
+    """(fills, levels): exact median per numeric and most frequent level per categorical feature, and
+    the number of levels of the latter. One row per feature comes back to the driver."""
     fills: dict = {c: 0.0 for c in numeric} | {c: "" for c in categorical}
+    levels = {c: 0 for c in categorical}
     if numeric:
         long = train.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot([], list(numeric), "feature", "value")
         fills |= {r["feature"]: r["median"] for r in exact_quantiles(long, ["feature"], "value", {"median": 0.5}).collect()}
@@ -45,10 +49,8 @@ def fill_values(train: DataFrame, numeric: Sequence[str], categorical: Sequence[
         long = train.select(*[F.col(c).cast("string").alias(c) for c in categorical]).unpivot([], list(categorical), "feature", "level")
         counted = long.groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n"))
         for row in modes(counted, ["feature"], "level", "n").collect():
-            if row["levels"] > max_levels:
-                raise ValueError(f"{row['feature']} has {row['levels']} levels, more than max_levels={max_levels}")
-            fills[row["feature"]] = row["mode"]
-    return fills
+            fills[row["feature"]], levels[row["feature"]] = row["mode"], row["levels"]
+    return fills, levels
 
 
 @dataclass(frozen=True)
@@ -80,26 +82,39 @@ def fit_ltv(
     loss: Literal["squared", "absolute"] = "squared",
     max_iter: int = MAX_ITER,
     seed: int = SEED,
+    one_hot_levels: int = ONE_HOT_LEVELS,
     max_levels: int = MAX_LEVELS,
 ) -> LtvModel:
-    """Impute, one-hot encode and boost trees on ``log1p(target)``.
+    """Impute, encode and boost trees on ``log1p(target)``.
 
-    ``absolute`` loss fits the conditional median. Levels unseen in training encode to all zeros.
-    ``train`` is read many times: pass a materialised table.
+    Features with up to ``one_hot_levels`` levels are one-hot encoded, and a level unseen in training
+    becomes all zeros; wider ones are split on sets of levels. ``absolute`` loss fits the conditional
+    median. ``train`` is read many times: pass a materialised table.
     """
     checkpoint_root(train.sparkSession)
     numeric, categorical = column_kinds(train, features)
-    fills = fill_values(train, numeric, categorical, max_levels)
-    index, onehot = [f"{c}__index" for c in categorical], [f"{c}__levels" for c in categorical]
-    stages = [
-        StringIndexer(inputCols=categorical, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=index, outputCols=onehot, dropLast=True),
-    ] if categorical else []
+    fills, levels = fill_values(train, numeric, categorical)
+    too_wide = {c: n for c, n in levels.items() if n > max_levels}
+    if too_wide:
+        raise ValueError(f"more than max_levels={max_levels} levels: {too_wide}")
+
+    index = {c: f"{c}__index" for c in categorical}
+    narrow = [c for c in categorical if levels[c] <= one_hot_levels]
+    wide = [c for c in categorical if c not in narrow]
+    onehot = [f"{c}__levels" for c in narrow]
+    stages = []
+    if categorical:
+        stages.append(StringIndexer(
+            inputCols=categorical, outputCols=list(index.values()), handleInvalid="keep", stringOrderType="alphabetAsc"
+        ))
+    if narrow:
+        stages.append(OneHotEncoder(inputCols=[index[c] for c in narrow], outputCols=onehot, dropLast=True))
     stages += [
-        VectorAssembler(inputCols=[*numeric, *onehot], outputCol="features"),
+        VectorAssembler(inputCols=[*numeric, *onehot, *[index[c] for c in wide]], outputCol="features"),
         GBTRegressor(
             labelCol="label", lossType=loss, maxDepth=MAX_DEPTH, stepSize=LEARNING_RATE, maxIter=max_iter,
-            maxBins=MAX_BINS, minInstancesPerNode=MIN_LEAF_ROWS, seed=seed, checkpointInterval=10, maxMemoryInMB=512,
+            maxBins=max([MAX_BINS, *[levels[c] + 1 for c in wide]]), minInstancesPerNode=MIN_LEAF_ROWS, seed=seed,
+            checkpointInterval=10, maxMemoryInMB=512,
         ),
     ]
     prepared = _prepare(train, numeric, categorical, fills).withColumn("label", F.log1p(target))
@@ -176,9 +191,9 @@ def permutation_importance(
     per_repeat = model.predict_log(variants).groupBy("_feature", "_repeat").agg(
         r2(F.col("_truth"), F.col("prediction")).alias("shuffled")
     )
-    drop = F.col("base") - F.col("shuffled")
-    out = per_repeat.crossJoin(F.broadcast(base)).groupBy(F.col("_feature").alias("feature")).agg(
-        F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std")
+    drops = per_repeat.withColumn("drop", base.scalar() - F.col("shuffled"))
+    out = drops.groupBy(F.col("_feature").alias("feature")).agg(
+        F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std")
     ).orderBy(F.col("importance_mean").desc_nulls_last(), "feature")
     return out if limit is None else out.limit(limit)
 

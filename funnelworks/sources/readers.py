@@ -48,8 +48,9 @@ def read_table(
     tie-breaker for tables without a row id, where rows of one instant count in file order.
     """
     if fmt == "csv":
-        # Without a schema every column is read as text, so no inference pass over the data runs.
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        # Every column is read as text, so no inference pass over the data runs; a part file whose
+        # header differs from the first one's is refused instead of read by position.
+        raw = spark.read.options(header=True, inferSchema=False, enforceSchema=False).csv(path)
     elif fmt == "parquet":
         raw = spark.read.parquet(path)
     else:

@@ -95,6 +95,14 @@ def test_a_transaction_that_keeps_the_balance_changes_nothing(spark):
     assert after[1] == pytest.approx(before[1])
 
 
+def test_a_longer_window_never_earns_less_on_positive_balances(spark):
+    rng = random.Random(11)
+    raw = [(i, rng.randrange(20), (datetime(2024, 1, 1) + timedelta(hours=rng.randrange(1400))).isoformat(), "deposit", 1, rng.randrange(100)) for i in range(500)]
+    w = windows(spark, *[(u, "2024-01-05") for u in range(20)])
+    out = fees(fee_revenue_interval(tx(spark, raw), w, "start", ENDS))
+    assert len(out) == 20 and all(0 <= short <= long for short, long in out.values())
+
+
 def test_heavy_users_are_found(spark):
     t = tx(spark, [(i, 1 if i % 3 else 10 + i, "2024-01-02", "deposit", 5, 50) for i in range(300)] + [(999, None, "2024-01-02", "deposit", 5, 50)])
     assert heavy_users(t, min_rows=100) == [1] and heavy_users(t.limit(0), min_rows=1) == []

@@ -40,13 +40,23 @@ def test_fill_values(spark):
         [(1.0, "b", True, None, None), (2.0, "a", False, None, None), (3.0, "b", None, None, None), (10.0, "a", None, None, None), (None, None, False, None, None)],
         "x double, c string, f boolean, void double, blank string",
     )
-    assert model.fill_values(df, ["x", "void"], ["c", "f", "blank"]) == {"x": 2.5, "c": "a", "f": "false", "void": 0.0, "blank": ""}
+    fills, levels = model.fill_values(df, ["x", "void"], ["c", "f", "blank"])
+    assert fills == {"x": 2.5, "c": "a", "f": "false", "void": 0.0, "blank": ""}
+    assert levels == {"c": 2, "f": 2, "blank": 0}
 
 
-def test_too_many_levels_are_refused(spark):
-    df = spark.createDataFrame([(str(i),) for i in range(5)], "c string")
-    with pytest.raises(ValueError, match="5 levels"):
-        model.fill_values(df, [], ["c"], max_levels=4)
+def test_too_many_levels_are_refused(spark, study):
+    with pytest.raises(ValueError, match="'kind': 3"):
+        model.fit_ltv(study[0], FEATURES, "y", max_levels=2)
+
+
+def test_wide_features_stay_one_column(spark, study):
+    train, test, _ = study
+    fitted = model.fit_ltv(train, FEATURES, "y", max_iter=12, one_hot_levels=2)
+    assert fitted.pipeline.stages[-1].numFeatures == 3 + 2 + 1
+    odd = test.limit(1).withColumn("kind", F.lit("never seen"))
+    assert model.score(fitted, odd, "y").first()["y_pred"] is not None
+    assert model.model_metrics(model.score(fitted, test, "y")).first()["r2_log"] > 0.5
 
 
 def test_model_beats_the_mean_and_repeats(spark, study):

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from funnelworks.operators import account_instants
 from funnelworks.plans import channel
-from funnelworks.sources import checkpoint_root, materialise, read_tables, table_profile
+from funnelworks.sources import checkpoint_root, materialise, read_table, read_tables, table_profile
+from funnelworks.sources.schemas import SCHEMAS
 from tests.frames import rows, ts
 
 FILES = {
@@ -61,6 +62,23 @@ def test_parquet_round_trip(spark, tables, tmp_path):
     assert float(account_instants(again.user_transactions).first()["balance"]) == 20.0
 
 
+def test_part_files_with_another_header_are_refused(spark, tmp_path):
+    folder = tmp_path / "skan_attribution_ios.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("postback_date,network,install_count\n2024-01-03,Meta,5\n")
+    (folder / "b.csv").write_text("network,postback_date,install_count\nMeta,2024-01-03,5\n")
+    with pytest.raises(Exception, match="header"):
+        read_table(spark, str(folder), SCHEMAS["skan_attribution_ios"]).collect()
+
+
+def test_filters_and_columns_reach_the_scan(spark, tables, tmp_path):
+    tables.app_events.drop("event_id").write.parquet(str(tmp_path / "e.parquet"))
+    e = read_table(spark, str(tmp_path / "e.parquet"), SCHEMAS["app_events"], "parquet")
+    plan = channel.installs_daily(e)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_name,install)" in plan.split("PushedFilters")[1]
+    assert "platform" not in plan.split("ReadSchema")[1] and "country" not in plan.split("ReadSchema")[1]
+
+
 def test_unknown_format_is_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="csv or parquet"):
         read_tables(spark, str(tmp_path), "xml")
