@@ -1,24 +1,21 @@
-"""Every job as a query over the bound test tables."""
+"""Every report as a query over the bound test tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from funnelworks.fixture.bindings import SOURCES, bound_tables
-from funnelworks.plans import channel, extensions, gaps, ltv, model, roles, series
-from funnelworks.sources import Tables, materialise, table_profile
+from funnelworks.plans import extensions, ltv, model
+from funnelworks.study import MODELLED, RELATIONAL, Report, Settings, Study
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Thresholds suited to the test tables; the library defaults stay as published.
-MIN_REGISTRATIONS = 20
-Z_THRESHOLD = 2.0
-MAX_ITER = 20
+# Thresholds that suit the test tables, where campaigns are small and series short.
+SETTINGS = Settings(min_registrations=20, z_threshold=2.0, max_iter=20, sources=SOURCES)
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -35,187 +32,42 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def _campaigns(t: Tables) -> DataFrame:
-    return channel.campaign_performance(t.app_events, t.marketing_spend, t.user_transactions)
-
-
-def _channels(t: Tables) -> DataFrame:
-    return channel.channel_stats(_campaigns(t))
-
-
-def _registered(t: Tables) -> DataFrame:
-    registrations = channel.first_registration(t.app_events)
-    return channel.registered_revenue(registrations, channel.user_revenue(registrations, t.user_transactions))
-
-
-def _profiles(t: Tables) -> DataFrame:
-    named = [table_profile(df).withColumn("table_name", F.lit(name)) for name, df in t._asdict().items()]
-    return reduce(DataFrame.unionByName, named)
-
-
-def _organic(t: Tables) -> DataFrame:
-    return series.organic_series(t.app_events, t.marketing_spend)
-
-
-def _skan(t: Tables) -> DataFrame:
-    return series.skan_series(t.skan_attribution_ios, t.app_events)
-
-
-def _halo(t: Tables) -> DataFrame:
-    return series.halo_series(t.app_events, t.marketing_spend)
-
-
-def _roles(t: Tables) -> DataFrame:
-    funnel = roles.campaign_funnel(_campaigns(t), roles.campaign_media(t.marketing_spend), MIN_REGISTRATIONS)
-    return roles.campaign_roles(funnel)
-
-
-def _eligible(t: Tables) -> DataFrame:
-    return ltv.eligible_installs(ltv.user_journeys(t.app_events), t.user_transactions)
-
-
-def _summary(t: Tables) -> DataFrame:
-    return ltv.account_summary(t.user_transactions, _eligible(t))
-
-
-def _features(t: Tables) -> DataFrame:
-    eligible = _eligible(t)
-    summary = ltv.account_summary(t.user_transactions, eligible)
-    return ltv.ltv_features(eligible, t.marketing_spend, summary, t.user_profiles)
-
-
-def _dataset(t: Tables) -> DataFrame:
-    return ltv.ltv_dataset(t.app_events, t.marketing_spend, t.user_transactions, t.user_profiles)
-
-
-def _fixed_score(t: Tables) -> DataFrame:
+def _fixed_score(s: Study) -> DataFrame:
     """Test rows with a score that SQL can repeat: twice the early revenue."""
-    test = _dataset(t).filter(~F.col("is_train"))
-    return model.with_residual(test.select(
+    return model.with_residual(s.test.select(
         "user_id", "channel", "campaign_id", F.col(ltv.TARGET).alias("y_true"), (F.col("rev_0_14") * 2).alias("y_pred")
     ))
 
 
-RELATIONAL: dict[str, Callable[[Tables], DataFrame]] = {
-    "table_profile": _profiles,
-    "installs_daily": lambda t: channel.installs_daily(t.app_events),
-    "registrations_daily": lambda t: channel.registrations_daily(t.app_events),
-    "spend_daily_campaign": lambda t: channel.spend_daily_campaign(t.marketing_spend),
-    "panel_keys": lambda t: channel.panel_keys(t.app_events, t.marketing_spend),
-    "panel_daily_kpi": lambda t: channel.panel_daily_kpi(t.app_events, t.marketing_spend),
-    "first_registration": lambda t: channel.first_registration(t.app_events),
-    "user_revenue_30d": lambda t: channel.user_revenue(channel.first_registration(t.app_events), t.user_transactions),
-    "revenue_by_campaign": lambda t: channel.revenue_by_campaign(_registered(t)),
-    "campaign_stats": _campaigns,
-    "channel_stats": _channels,
-    "paid_channel_ranking": lambda t: channel.paid_channel_ranking(_channels(t)),
-    "paid_channel_payback_ranking": lambda t: channel.paid_channel_ranking(_channels(t), by="payback_months"),
-    "organic_paid_by_platform": lambda t: gaps.organic_paid_by_platform(t.app_events),
-    "organic_share_by_tracking": lambda t: gaps.organic_share_by_tracking(gaps.install_users(t.app_events, t.user_profiles)),
-    "organic_share_pivot": lambda t: gaps.organic_share_pivot(
-        gaps.organic_share_by_tracking(gaps.install_users(t.app_events, t.user_profiles))
-    ),
-    "paid_mix_share": lambda t: gaps.paid_mix_share(gaps.install_users(t.app_events, t.user_profiles)),
-    "daily_installs": lambda t: series.daily_installs(t.app_events),
-    "spend_daily_channel": lambda t: series.spend_daily_channel(t.marketing_spend),
-    "daily_installs_pivot": lambda t: series.daily_installs_pivot(series.daily_installs(t.app_events), SOURCES),
-    "organic_share_daily": lambda t: series.organic_share_daily(series.daily_installs(t.app_events)),
-    "organic_share_daily_fixed": lambda t: series.organic_share_daily(series.daily_installs(t.app_events), organic_in_paid=False),
-    "lag_corr_spend_organic": lambda t: series.lag_corr_spend_organic(_organic(t)),
-    "lag_corr_spend_organic_forward": lambda t: series.lag_corr_spend_organic(_organic(t), forward=True),
-    "organic_share_scores": lambda t: series.organic_share_scores(_organic(t)),
-    "organic_share_anomalies": lambda t: series.organic_share_anomalies(_organic(t), Z_THRESHOLD),
-    "organic_share_extremes": lambda t: series.organic_share_extremes(_organic(t)),
-    "skan_daily_network": lambda t: series.skan_daily_network(t.skan_attribution_ios),
-    "skan_series": _skan,
-    "skan_vs_lastclick": lambda t: series.skan_vs_lastclick(_skan(t)),
-    "skan_shift_fit": lambda t: series.skan_shift_fit(_skan(t)),
-    "halo_series": _halo,
-    "halo_lag_corr": lambda t: series.halo_lag_corr(_halo(t)),
-    "weekly_spend_share": lambda t: series.weekly_spend_share(t.marketing_spend),
-    "weekly_paid_install_share": lambda t: series.weekly_paid_install_share(series.weekly_installs(t.app_events)),
-    "weekly_organic_share": lambda t: series.weekly_organic_share(series.weekly_installs(t.app_events)),
-    "share_of_voice": lambda t: series.share_of_voice(t.marketing_spend, t.app_events),
-    "share_of_voice_delta_corr": lambda t: series.share_of_voice_delta_corr(
-        series.share_of_voice(t.marketing_spend, t.app_events)
-    ),
-    "campaign_media": lambda t: roles.campaign_media(t.marketing_spend),
-    "campaign_funnel": lambda t: roles.campaign_funnel(
-        _campaigns(t), roles.campaign_media(t.marketing_spend), MIN_REGISTRATIONS
-    ),
-    "campaign_roles": lambda t: _roles(t).select("channel", "campaign_id", "campaign_name", "spend", "campaign_role"),
-    "role_mix": lambda t: roles.role_mix(_roles(t)),
-    "role_profile": lambda t: roles.role_profile(_roles(t)),
-    "media_bubble": lambda t: roles.media_bubble(_roles(t)),
-    "eligible_installs": lambda t: _eligible(t).drop("reg_date"),
-    "ltv_labels": lambda t: ltv.ltv_labels(_eligible(t), _summary(t)),
-    "campaign_media_features": lambda t: ltv.campaign_media_features(t.marketing_spend),
-    "registration_features": lambda t: ltv.registration_features(_eligible(t)).select(
-        "user_id", "install_date", "reg_date", "reg_within_14d", "days_to_reg"
-    ),
-    "tx_features_14d": lambda t: ltv.tx_features_14d(_summary(t)),
-    "ltv_features": lambda t: _features(t).select(*ltv.KEYS, *ltv.FEATURES[:-1]),
-    "ltv_dataset": lambda t: _dataset(t).drop("row_index"),
-    # What is read off a model, fed with a score that SQL can repeat.
-    "residuals_by_channel_fixed_score": lambda t: model.residuals_by_channel(_fixed_score(t)),
-    "channel_value_fixed_score": lambda t: model.channel_value(_fixed_score(t)),
-    "ltv_over_cac_fixed_score": lambda t: model.ltv_over_cac(model.channel_value(_fixed_score(t)), _channels(t)),
-    # Methods described in words only.
-    "skan_ios_value": lambda t: extensions.skan_ios_value(_features(t), t.skan_attribution_ios),
-    "halo_regression": lambda t: extensions.halo_regression(_halo(t)),
-    "channel_funnel_role": lambda t: extensions.channel_funnel_role(_channels(t)),
-    "predicted_payback_fixed_score": lambda t: extensions.predicted_payback(
-        model.ltv_over_cac(model.channel_value(_fixed_score(t)), _channels(t))
-    ),
-    "campaign_triage_fixed_score": lambda t: extensions.campaign_triage(_fixed_score(t), _campaigns(t)),
-}
-
-
-class _Study:
-    """Data set and model of one session and table set: fitted once, read by several queries."""
-
-    def __init__(self, t: Tables):
-        self.tables = t
-        data = _dataset(t)
-        self.train, self.test = data.filter("is_train"), data.filter("NOT is_train")
-        self.model = model.fit_ltv(self.train, max_iter=MAX_ITER)
-        self.scored = materialise(model.score(self.model, self.test), "scored")
+def _fixed_over_cac(s: Study) -> DataFrame:
+    return model.ltv_over_cac(model.channel_value(_fixed_score(s)), s.channels)
 
-    def median_scored(self) -> DataFrame:
-        median = model.fit_ltv(self.train, loss="absolute", max_iter=MAX_ITER)
-        return model.score(median, self.test)
-
-    def over_cac(self) -> DataFrame:
-        return model.ltv_over_cac(model.channel_value(self.scored), _channels(self.tables))
 
+# What is read off a model, fed with the fixed score so that it can be checked.
+FIXED_SCORE: dict[str, Report] = {
+    "residuals_by_channel_fixed_score": lambda s: model.residuals_by_channel(_fixed_score(s)),
+    "channel_value_fixed_score": lambda s: model.channel_value(_fixed_score(s)),
+    "ltv_over_cac_fixed_score": _fixed_over_cac,
+    "predicted_payback_fixed_score": lambda s: extensions.predicted_payback(_fixed_over_cac(s)),
+    "campaign_triage_fixed_score": lambda s: extensions.campaign_triage(_fixed_score(s), s.campaigns),
+}
 
-_studies: dict[tuple[str, str], _Study] = {}
+_fitted: dict[tuple[str, str], Study] = {}
 
 
-def _study(spark: SparkSession, sf_dir: str) -> _Study:
+def _fitted_study(spark: SparkSession, sf_dir: str) -> Study:
+    """One study per session and folder, so that the model is fitted once for all queries on it."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _studies:
-        _studies[key] = _Study(bound_tables(spark, sf_dir))
-    return _studies[key]
-
-
-MODELLED: dict[str, Callable[[_Study], DataFrame]] = {
-    "ltv_model_metrics": lambda s: model.model_metrics(s.scored),
-    "ltv_feature_importance": lambda s: model.permutation_importance(s.model, s.test),
-    "residuals_by_channel": lambda s: model.residuals_by_channel(s.scored),
-    "channel_value": lambda s: model.channel_value(s.scored),
-    "ltv_over_cac": lambda s: s.over_cac(),
-    "median_model_mae": lambda s: model.mean_absolute_error(s.median_scored()),
-    "predicted_payback": lambda s: extensions.predicted_payback(s.over_cac()),
-    "campaign_triage": lambda s: extensions.campaign_triage(s.scored, _campaigns(s.tables)),
-}
+    if key not in _fitted:
+        _fitted[key] = Study(bound_tables(spark, sf_dir), SETTINGS)
+    return _fitted[key]
 
 
 def all_queries() -> dict[str, Query]:
-    def relational(job) -> Query:
-        return lambda spark, sf_dir: comparable(job(bound_tables(spark, sf_dir)))
+    def fresh(report: Report) -> Query:
+        return lambda spark, sf_dir: comparable(report(Study(bound_tables(spark, sf_dir), SETTINGS)))
 
-    def modelled(job) -> Query:
-        return lambda spark, sf_dir: comparable(job(_study(spark, sf_dir)))
+    def fitted(report: Report) -> Query:
+        return lambda spark, sf_dir: comparable(report(_fitted_study(spark, sf_dir)))
 
-    return {n: relational(j) for n, j in RELATIONAL.items()} | {n: modelled(j) for n, j in MODELLED.items()}
+    return {n: fresh(r) for n, r in (RELATIONAL | FIXED_SCORE).items()} | {n: fitted(r) for n, r in MODELLED.items()}

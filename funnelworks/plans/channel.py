@@ -186,13 +186,6 @@ def channel_stats(campaigns: DataFrame) -> DataFrame:
     return shared.withColumn("reg_minus_spend_share", F.col("reg_share") - F.col("spend_share"))
 
 
-def campaign_performance(events: DataFrame, spend: DataFrame, tx: DataFrame) -> DataFrame:
-    """``campaign_stats`` straight from the input tables; ``channel_stats`` takes it from there."""
-    registrations = first_registration(events)
-    revenue = revenue_by_campaign(registered_revenue(registrations, user_revenue(registrations, tx)))
-    return campaign_stats(panel_rows(events, spend), revenue)
-
-
 def paid_channel_ranking(channels: DataFrame, by: str = "CAC", keep: Sequence[str] = ("CAC", "payback_months")) -> DataFrame:
     """Channels other than organic, cheapest first by ``by``."""
     return channels.filter(is_not("channel", "Organic")).select("channel", *keep).orderBy(

@@ -146,10 +146,3 @@ def time_split(df: DataFrame, order: str = "install_date", tie: str = "user_id",
     indexed = with_row_index(df, [F.col(order).asc_nulls_last(), F.col(tie).asc_nulls_last(), rest])
     split_at = int(indexed.count() * frac)
     return indexed.withColumn("is_train", F.col("row_index") < split_at)
-
-
-def ltv_dataset(events: DataFrame, spend: DataFrame, tx: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The modelling table straight from the inputs, materialised in time order and split."""
-    eligible = eligible_installs(user_journeys(events), tx)
-    features = ltv_features(eligible, spend, account_summary(tx, eligible), profiles)
-    return time_split(features.drop("rev_0_H"))

@@ -3,9 +3,15 @@ from __future__ import annotations
 import pytest
 
 from funnelworks.plans import channel
+from funnelworks.sources import Tables
+from funnelworks.study import Study
 from tests.frames import events, rows, spend, tx
 
 
+def study(e, s, t):
+    return Study(Tables(e, s, None, t, None))
+
+
 @pytest.fixture(scope="module")
 def e(spark):
     return events(spark, [
@@ -62,7 +68,7 @@ def test_panel_equals_null_safe_join_of_its_parts(e, s):
 
 def test_stats_and_payback(spark, e, s):
     t = tx(spark, [(1, 2, "2024-01-01 11:00", "deposit", 1000, 1000), (2, 9, "2024-01-01", "deposit", 1, 1)])
-    campaigns = channel.campaign_performance(e, s, t)
+    campaigns = study(e, s, t).campaigns
     channels = channel.channel_stats(campaigns)
     c = {(r["channel"], r["campaign_id"]): r for r in campaigns.collect()}
     m1 = c["Meta", "m1"]
@@ -92,14 +98,14 @@ def test_mean_revenue_counts_users_without_transactions(spark):
 
 def test_no_spend_at_all_gives_null_shares(spark, e):
     none = spend(spark, [("2024-01-01", "Meta", "m1", "A", 0, 0, 0)])
-    channels = channel.channel_stats(channel.campaign_performance(e, none, tx(spark, [(1, 1, "2024-01-01", "deposit", 1, 1)])))
+    channels = study(e, none, tx(spark, [(1, 1, "2024-01-01", "deposit", 1, 1)])).channels
     assert {r["spend_share"] for r in channels.collect()} == {None}
 
 
 def test_partitioning_of_the_input_does_not_matter(spark, e, s):
     t = tx(spark, [(i, i % 4, f"2024-01-0{1 + i % 5}", "deposit", 1, i) for i in range(40)])
-    one = channel.channel_stats(channel.campaign_performance(e.coalesce(1), s.coalesce(1), t.coalesce(1))).collect()
-    many = channel.channel_stats(channel.campaign_performance(e.repartition(5), s.repartition(3), t.repartition(7))).collect()
+    one = study(e.coalesce(1), s.coalesce(1), t.coalesce(1)).channels.collect()
+    many = study(e.repartition(5), s.repartition(3), t.repartition(7)).channels.collect()
     key = lambda r: str(r["channel"])
     for a, b in zip(sorted(one, key=key), sorted(many, key=key)):
         assert a.asDict() == pytest.approx(b.asDict())

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from funnelworks.plans import ltv
+from funnelworks.sources import Tables
+from funnelworks.study import Study
 from tests.frames import events, profiles, rows, spend, ts, tx
 
 FEE = 0.005 / 365.0
@@ -99,7 +101,7 @@ def test_split_is_by_time_and_dense(spark):
 
 def test_dataset_columns(inputs):
     e, s, t, p = inputs
-    out = ltv.ltv_dataset(e, s, t, p)
+    out = Study(Tables(e, s, p, t, None)).data
     assert out.columns == [*ltv.KEYS, *ltv.FEATURES, ltv.TARGET, "row_index", "is_train"]
     assert out.count() == 5 and out.filter("is_train").count() == 4
     assert out.filter(F.col("reg_within_14d").isNull()).count() == 0

@@ -7,19 +7,20 @@ import re
 import pytest
 
 from funnelworks.fixture.bindings import bound_tables
-from funnelworks.fixture.queries import RELATIONAL
+from funnelworks.fixture.queries import SETTINGS
+from funnelworks.study import RELATIONAL, Study
 
-EAGER = {"ltv_dataset", *[n for n in RELATIONAL if n.endswith("_fixed_score")]}
+EAGER = {"ltv_dataset"}  # written out before the plan is complete
 
 
 @pytest.fixture(scope="module")
 def plans(spark, sf_dir):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        tables = bound_tables(spark, sf_dir)
+        study = Study(bound_tables(spark, sf_dir), SETTINGS)
         return {
-            name: job(tables)._jdf.queryExecution().executedPlan().toString()
-            for name, job in RELATIONAL.items() if name not in EAGER
+            name: report(study)._jdf.queryExecution().executedPlan().toString()
+            for name, report in RELATIONAL.items() if name not in EAGER
         }
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

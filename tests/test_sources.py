@@ -7,6 +7,7 @@ from funnelworks.operators import account_instants
 from funnelworks.plans import channel
 from funnelworks.sources import checkpoint_root, materialise, read_table, read_tables, table_profile
 from funnelworks.sources.schemas import SCHEMAS
+from funnelworks.study import Study
 from tests.frames import rows, ts
 
 FILES = {
@@ -49,7 +50,7 @@ def test_rows_of_one_instant_count_in_file_order(tables):
 
 
 def test_jobs_run_on_csv(tables):
-    campaigns = channel.campaign_performance(tables.app_events, tables.marketing_spend, tables.user_transactions)
+    campaigns = Study(tables).campaigns
     meta = campaigns.filter("campaign_id = 'm1'").first()
     assert float(meta["spend"]) == 13.75 and meta["installs"] == 1 and meta["revenue_30d_total"] > 0
 
