@@ -1,15 +1,18 @@
-"""Time helpers for zone-less timestamps. Run the session in UTC, where every local hour exists once."""
+"""Time helpers for zone-less timestamps; differences and days do not depend on the session time zone."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MICROS_PER_DAY = 86_400_000_000.0
+SECONDS_PER_DAY = 86_400.0
 
 
 def parse_timestamp(c: Column, fmt: str | None = None) -> Column:
-    """Timestamp without zone; text that does not parse becomes NULL instead of an error."""
+    """Timestamp without zone; text that does not parse becomes NULL instead of an error.
+
+    A format goes through the session time zone: keep it at UTC, where every local hour exists.
+    """
     if fmt is None:
         return c.try_cast("timestamp_ntz")
     return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
@@ -30,7 +33,9 @@ def add_days(c: Column, days: int) -> Column:
 
 
 def fractional_days(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end).cast("double") / F.lit(MICROS_PER_DAY)
+    """Length of [start, end] in days; a day has 24 hours whatever the session time zone does."""
+    seconds = (end - start).cast("interval second").cast("decimal(20,6)")
+    return seconds.cast("double") / F.lit(SECONDS_PER_DAY)
 
 
 def whole_days(start: Column, end: Column) -> Column:

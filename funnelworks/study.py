@@ -35,12 +35,18 @@ class Settings:
 
 class Study:
     """Frames that several reports share. All are lazy but the data set, the model and its scores,
-    which are written or fitted when first needed and then reused."""
+    which are written or fitted when first needed and then reused.
 
-    def __init__(self, tables: Tables, settings: Settings = Settings()):
+    Reports read installs and registrations only, a small part of all events. With ``extract`` these
+    are written to the checkpoint folder once, so that many reports need one scan of all events.
+    """
+
+    def __init__(self, tables: Tables, settings: Settings = Settings(), extract: bool = False):
         self.settings = settings
-        self.events, self.spend, self.profiles, self.tx, self.skan = tables
         self.tables = tables
+        self.events, self.spend, self.profiles, self.tx, self.skan = tables
+        if extract:
+            self.events = materialise(self.events.filter(F.col("event_name").isin("install", "registration")), "conversions")
 
     # Channel performance and roles.
     @cached_property
@@ -247,8 +253,9 @@ def main(argv: Sequence[str] | None = None) -> None:
         parser.error(f"unknown reports: {', '.join(unknown)}")
 
     spark = SparkSession.builder.appName("funnelworks").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    study = Study(read_tables(spark, args.data, args.format))
-    for name in args.reports or REPORTS:
+    names = args.reports or list(REPORTS)
+    study = Study(read_tables(spark, args.data, args.format), extract=len(names) > 1)
+    for name in names:
         df = REPORTS[name](study)
         if args.write:
             df.write.mode("overwrite").parquet(f"{args.write.rstrip('/')}/{name}")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from funnelworks.functions import (
-    clip, guarded_ratio, is_not, normalised, parse_timestamp, plain_ratio, r2, safe_corr, week_start, whole_days,
+    clip, fractional_days, guarded_ratio, is_not, normalised, parse_timestamp, plain_ratio, r2, safe_corr, week_start, whole_days,
 )
 from tests.frames import ts
 
@@ -81,6 +81,19 @@ def test_whole_days_floor_below_zero(spark):
     assert one(spark, c, a=at, b=(ts("2024-01-11 12:00"), "timestamp_ntz")) == 1
 
 
+def test_durations_ignore_daylight_saving(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Amsterdam")
+    try:
+        for a, b, hours in (("2024-03-31 01:30", "2024-03-31 02:30", 1), ("2024-03-31 02:30", "2024-03-31 03:30", 1),
+                            ("2024-10-26 12:00", "2024-10-27 12:00", 24), ("2024-10-27 02:30:00.000001", "2024-10-27 02:30", 0)):
+            c = fractional_days(F.col("a"), F.col("b"))
+            got = one(spark, c, a=(ts(a), "timestamp_ntz"), b=(ts(b), "timestamp_ntz"))
+            assert got == pytest.approx(hours / 24, abs=1e-9) and (hours or got < 0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_normalised_strips_all_white_space_and_spells_missing(spark):
     assert one(spark, normalised(F.col("s")), s=("\t iOS\n", "string")) == "ios"
     assert one(spark, normalised(F.col("s")), s=(None, "string")) == "nan"

@@ -30,6 +30,13 @@ def test_csv_study_equals_bound_study(spark, sf_dir, folder, name):
     assert from_csv.columns == bound.columns and rows(from_csv) == rows(bound)
 
 
+@pytest.mark.parametrize("name", ["channel_stats", "organic_share_daily", "ltv_features", "table_profile"])
+def test_extract_changes_no_result(spark, sf_dir, name):
+    tables = bound_tables(spark, sf_dir)
+    plain, extracted = (comparable(REPORTS[name](Study(tables, SETTINGS, extract=e))) for e in (False, True))
+    assert rows(extracted) == rows(plain)
+
+
 def test_defaults_are_the_published_ones():
     s = Settings()
     assert (s.min_registrations, s.z_threshold, s.max_iter, s.voice_channel) == (200, 3.0, 100, "TikTok")
