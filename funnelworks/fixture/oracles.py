@@ -180,7 +180,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT event_date, sum(install_count) AS n FROM skan_d GROUP BY event_date) s
         FULL JOIN (SELECT event_date, sum(u) AS n
                    FROM (SELECT event_date, source, count(DISTINCT user_id) AS u FROM app_events
-                         WHERE event_name = 'install' AND platform = 'ios' AND source <> 'Organic' GROUP BY event_date, source)
+                         WHERE event_name = 'install' AND platform = 'ios' AND source <> 'Organic' AND event_date IS NOT NULL GROUP BY event_date, source)
                    GROUP BY event_date) c ON s.event_date = c.event_date"""),
     "halo_ts": (("app_events", "marketing_spend"), """
         SELECT s.event_date, s.x, coalesce(o.y, 0) AS y
@@ -195,7 +195,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
               WHERE channel IS NOT NULL GROUP BY ALL)"""),
     "installs_w": (("app_events",), """
         SELECT CAST(date_trunc('week', event_timestamp) AS DATE) AS week, source, count(DISTINCT user_id) AS installs
-        FROM app_events WHERE event_name = 'install' AND source IS NOT NULL GROUP BY ALL"""),
+        FROM app_events WHERE event_name = 'install' AND source IS NOT NULL AND event_timestamp IS NOT NULL GROUP BY ALL"""),
     "paid_w": (("installs_w",), """
         SELECT week, source, installs, installs / sum(installs) OVER (PARTITION BY week) AS paid_install_share
         FROM installs_w WHERE source <> 'Organic'"""),
@@ -249,30 +249,30 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT user_id, install_date, reg_date, within AS reg_within_14d,
                CASE WHEN within THEN CAST(floor(date_diff('microsecond', install_date, reg_date) / 86400000000.0) AS BIGINT) END AS days_to_reg
         FROM (SELECT e.user_id, e.install_date, r.reg_date, coalesce(r.reg_date <= e.install_date + INTERVAL 14 DAY, false) AS within
-              FROM eligible e LEFT JOIN reg_users r ON e.user_id = r.user_id)"""),
+              FROM eligible e LEFT JOIN reg_users r ON e.user_id IS NOT DISTINCT FROM r.user_id)"""),
     "tx_feat": (("user_transactions", "eligible"), """
         SELECT *, dep_sum - wdr_sum AS net_flow
         FROM (SELECT t.user_id, count(*) AS tx_count,
                      coalesce(sum(amount_usd) FILTER (WHERE transaction_type = 'deposit'), 0) AS dep_sum, count(*) FILTER (WHERE transaction_type = 'deposit') AS dep_cnt,
                      coalesce(sum(amount_usd) FILTER (WHERE transaction_type = 'withdrawal'), 0) AS wdr_sum, count(*) FILTER (WHERE transaction_type = 'withdrawal') AS wdr_cnt,
                      max(running_balance_usd) AS bal_max, CAST(sum(running_balance_usd) AS DOUBLE) / count(running_balance_usd) AS bal_mean,
-                     last(running_balance_usd ORDER BY transaction_timestamp, tx_id) AS bal_last
+                     last(running_balance_usd ORDER BY transaction_timestamp, tx_id) FILTER (WHERE running_balance_usd IS NOT NULL) AS bal_last
               FROM user_transactions t JOIN eligible e ON t.user_id = e.user_id
               WHERE t.transaction_timestamp BETWEEN e.install_date AND e.install_date + INTERVAL 14 DAY
               GROUP BY t.user_id)"""),
     "features": (("eligible", "reg_feat", "camp", "tx_feat", "user_profiles"), """
         SELECT e.user_id, e.install_date, e.platform, e.channel, e.campaign_id, e.country, r.reg_within_14d, r.days_to_reg, c.camp_CTR, c.camp_CPM, c.camp_CPC,
-               lower(trim(e.platform)) AS platform_norm, coalesce(e.channel, 'nan') || '__' || lower(trim(e.platform)) AS channel_platform,
+               lower(trim(coalesce(e.platform, 'nan'))) AS platform_norm, coalesce(e.channel, 'nan') || '__' || lower(trim(coalesce(e.platform, 'nan'))) AS channel_platform,
                coalesce(t.tx_count, 0) AS tx_count, coalesce(t.dep_sum, 0) AS dep_sum, coalesce(t.dep_cnt, 0) AS dep_cnt, coalesce(t.wdr_sum, 0) AS wdr_sum,
                coalesce(t.wdr_cnt, 0) AS wdr_cnt, coalesce(t.bal_max, 0) AS bal_max, coalesce(t.bal_mean, 0) AS bal_mean, coalesce(t.bal_last, 0) AS bal_last,
                coalesce(t.net_flow, 0) AS net_flow, p.age, p.gender, p.tracking_enabled
-        FROM eligible e JOIN reg_feat r ON e.user_id = r.user_id
+        FROM eligible e JOIN reg_feat r ON e.user_id IS NOT DISTINCT FROM r.user_id
         LEFT JOIN camp c ON e.channel IS NOT DISTINCT FROM c.channel AND e.campaign_id IS NOT DISTINCT FROM c.campaign_id
-        LEFT JOIN tx_feat t ON e.user_id = t.user_id LEFT JOIN user_profiles p ON e.user_id = p.user_id"""),
+        LEFT JOIN tx_feat t ON e.user_id = t.user_id LEFT JOIN user_profiles p ON e.user_id IS NOT DISTINCT FROM p.user_id"""),
     "dataset": (("features", "labels_u"), """
         SELECT f.*, l.y_rev_14_H, l.rev_0_14,
                row_number() OVER (ORDER BY f.install_date, f.user_id) <= CAST(floor(0.8 * count(*) OVER ()) AS BIGINT) AS is_train
-        FROM features f JOIN labels_u l ON f.user_id = l.user_id"""),
+        FROM features f JOIN labels_u l ON f.user_id IS NOT DISTINCT FROM l.user_id"""),
     "scored": (("dataset",), """
         SELECT user_id, channel, campaign_id, y_rev_14_H AS y_true, rev_0_14 * 2 AS y_pred, y_rev_14_H - rev_0_14 * 2 AS residual
         FROM dataset WHERE NOT is_train"""),
@@ -485,7 +485,7 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
                floor(CAST(sum(installs * mean_value) / nullif(coalesce(sum(installs) FILTER (WHERE mean_value IS NOT NULL), 0), 0) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS value_per_install
         FROM (SELECT network, conversion_value, sum(install_count) AS installs FROM skan GROUP BY ALL) s
         LEFT JOIN (SELECT CAST(least(63, floor(greatest(l.rev_0_14, 0.0))) AS INT) AS conversion_value, avg(l.rev_0_H) AS mean_value
-                   FROM features f JOIN labels_u l ON f.user_id = l.user_id WHERE f.platform = 'android' GROUP BY 1) c
+                   FROM features f JOIN labels_u l ON f.user_id IS NOT DISTINCT FROM l.user_id WHERE f.platform = 'android' GROUP BY 1) c
           ON s.conversion_value = c.conversion_value
         GROUP BY network"""),
     "halo_regression": (("halo_ts",), _regression_table()),

@@ -11,7 +11,7 @@ from funnelworks.operators.events import null_safe_join
 from funnelworks.sources.storage import materialise
 
 # A group up to this size fits the built-in exact percentile, which keeps its distinct values in memory.
-ROWS_IN_MEMORY = 500_000
+ROWS_IN_MEMORY = 100_000
 
 
 def _sorted_table(df: DataFrame, order: Sequence[Column], label: str) -> DataFrame:
