@@ -63,6 +63,7 @@ def marketing_spend(lineitem: DataFrame) -> DataFrame:
 
 
 def user_profiles(customer: DataFrame) -> DataFrame:
+    # Ten customers make one user; the first of the ten gives the profile, so every user has one.
     user = "CAST(floor(c_custkey / 10.0D) AS BIGINT)"
     return customer.filter("c_custkey % 10 = 0").selectExpr(
         f"{user} AS user_id",
