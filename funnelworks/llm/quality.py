@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelworks.llm import columns as C
+from funnelworks.sources.storage import materialise
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,9 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", rul
     NULL or empty text has no words and fails. NULL is a host like others. Every input row gives one
     row; repeated rows get equal verdicts. Extra columns only travel in ``row``, so no name can clash.
     """
-    frequent = frequent_lines(docs, text, host, rules)
+    # Written first, so that its size is known before the texts are moved: Spark sends it out if it is
+    # under its threshold and else joins by shuffle.
+    frequent = materialise(frequent_lines(docs, text, host, rules), "frequent-lines")
     base = docs.select(F.struct(*map(C.name, docs.columns)).alias("row"), C.name(host).alias("of"), C.text_of(text).alias("t"))
     joined = base.join(frequent, F.col("of").eqNullSafe(F.col("host")), "left")
     kept_lines = F.filter(C.lines(F.col("t")), lambda x: ~F.array_contains(F.col("frequent"), C.hex_long(normalised(x))))
