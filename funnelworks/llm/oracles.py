@@ -95,6 +95,26 @@ def quality_cte(docs: str) -> str:
 OP10 = f"""WITH {quality_cte("documents")}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"""
 
+def jaccard_cte(docs: str) -> str:
+    """CTEs up to ``comp`` (doc_id, n_shingles, component_id) over rows (doc_id, text) of ``docs``."""
+    words = rf"regexp_extract_all({_fold("coalesce(text, '')")}, '[^\x20\x09-\x0D]+')"
+    return rf"""
+    jw AS (SELECT doc_id, {words} AS w FROM {docs}),
+    sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+           FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM jw WHERE len(w) > 0)),
+    sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    inter AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+    linked AS (SELECT a, b FROM inter JOIN sz p ON p.doc_id = a JOIN sz q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+    way AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM jw UNION SELECT r.a, w.b FROM reach r JOIN way w ON r.b = w.a),
+    comp AS (SELECT doc_id, coalesce(n, 0) AS n_shingles, m AS component_id
+             FROM (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1) LEFT JOIN sz USING (doc_id))"""
+
+
+OP9 = f"""WITH RECURSIVE {jaccard_cte("documents")}
+SELECT doc_id, n_shingles, component_id FROM comp"""
+
 ORACLES = {
+    "op9_ngram_jaccard_join": OP9,
     "op5_line_dedup": OP5, "op7_chat_formatting": OP7, "op8_benchmark_decontamination": OP8, "op10_quality_rules": OP10,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.llm import chat, decontaminate, huffman, linededup, packing, quality
+from funnelworks.llm import chat, decontaminate, huffman, linededup, ngramjoin, packing, quality
 from funnelworks.llm.ship import ship
 
 
@@ -59,10 +59,15 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngramjoin.jaccard_join(docs).withColumnRenamed("id", "doc_id")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality.quality_rules(docs).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_line_dedup, op6_token_id_output, op7_chat_formatting, op8_benchmark_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_packing, op5_line_dedup, op6_token_id_output, op7_chat_formatting, op8_benchmark_decontamination, op9_ngram_jaccard_join, op10_quality_rules)}
