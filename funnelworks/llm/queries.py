@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.llm import chat, decontaminate, huffman, linededup, ngramjoin, packing, quality
+from funnelworks.llm import chat, decontaminate, huffman, linededup, lpf, maxent, ngramjoin, packing, quality, secretscan
 from funnelworks.llm.ship import ship
 
 
@@ -18,6 +18,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = maxent.held_out("doc_id")
+    model, counts = maxent.fit(docs.filter(~out).select(F.coalesce("text", F.lit("")).alias("t")))
+    scored = maxent.score(docs, model, counts).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"),
+                         "base_score", "score")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.pack(docs, public_tokenizers.path(VOCABULARY))
@@ -25,6 +34,27 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset", "sequence_length", "tier", "step_group")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lpf.remove_repeats(docs).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secretscan.scan(docs, secretscan.learn(docs))
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+    return found.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"),
+                        F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), count("format"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -70,4 +100,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_line_dedup, op6_token_id_output, op7_chat_formatting, op8_benchmark_decontamination, op9_ngram_jaccard_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_lm_scoring, op2_packing, op3_suffix_array_dedup, op4_secret_scan, op5_line_dedup, op6_token_id_output, op7_chat_formatting,
+    op8_benchmark_decontamination, op9_ngram_jaccard_join, op10_quality_rules)}
