@@ -7,7 +7,7 @@ lie more than r apart as seen from a pivot are more than r apart. The join uses
 * Regions: shingles are put in a fixed order, rare ones first by a count sketch of bounded size. Two sets with
   Jaccard >= t share one of the first |x| - ceil(t |x|) + 1 shingles of both. Each such shingle is a region,
   and a document lies in the regions of its own first shingles: the windows in which a partner may be.
-* In every region the member of the least (size-independent) rank is the pivot. Members are measured
+* In every region the member of the least rank is the pivot, in later rounds some more. Members are measured
   against their pivots only, each pair once however many regions it shares; those within r link to it.
 * A region is then cut into rings by the distance to its pivot, ring k holding k r <= d < (k + 1) r.
   Documents of neighbouring rings may still be partners, so each ring's members are
@@ -36,7 +36,7 @@ from funnelworks.llm.tokens import in_chunks, raw
 from funnelworks.sources.storage import materialise
 
 SKETCH_BITS = 18  # 2**18 counters, 1 MiB, are what executors get of the corpus counts
-PIVOTS = (1, 16)  # of a region in the first and in later rounds; smaller regions are settled at once
+PIVOTS = (1, 64)  # of a region, some, in the first and in later rounds; smaller regions are settled at once
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -204,9 +204,9 @@ def components(links: DataFrame) -> DataFrame:
         before = mark
 
 
-def _rank(id_: Column) -> Column:
-    """A random number from 0 to 1 that each id always has."""
-    return F.pmod(F.xxhash64(id_), F.lit(1_000_000_007)) / 1_000_000_007
+def _rank(id_: Column, turn: int = 0) -> Column:
+    """A random number from 0 to 1 that an id always has in this turn."""
+    return F.pmod(F.xxhash64(id_, F.lit(turn)), F.lit(1_000_000_007)) / 1_000_000_007
 
 
 def _size_windows(regions: DataFrame, percent: int) -> DataFrame:
@@ -217,14 +217,14 @@ def _size_windows(regions: DataFrame, percent: int) -> DataFrame:
     return regions.select("region", "id", F.explode(near).alias("x")).select(F.xxhash64("region", "x.w").alias("region"), "id", "x.own")
 
 
-def _open_regions(live: DataFrame, comps: DataFrame, pivots: int) -> DataFrame:
+def _open_regions(live: DataFrame, comps: DataFrame, pivots: int, turn: int) -> DataFrame:
     """Members of the regions that may still hold an unknown link: two components or more, and a member of its own."""
     named = live.join(comps, "id", "left").withColumn("c", F.coalesce("component", "id"))
     kept = named.groupBy("region").agg(
         F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("some"),
-        F.min(F.struct(_rank(F.col("id")).alias("rank"), F.col("id").alias("id"))).alias("f"),
+        F.min(F.struct(_rank(F.col("id"), turn).alias("rank"), F.col("id").alias("id"))).alias("f"),
     ).filter("lo < hi AND some").select("region", "m", F.col("f.id").alias("first"))
-    rank = _rank(F.col("id"))
+    rank = _rank(F.col("id"), turn)  # drawn anew each turn, or those left over would all rank high
     chosen = (F.col("id") == F.col("first")) | (rank * F.col("m") < pivots) if pivots > 1 else F.col("id") == F.col("first")
     return live.join(kept, "region").select("region", "id", "first", chosen.alias("pivot"))
 
@@ -267,7 +267,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     comps = components(links)
     measured = None
     for k in range(1 << 30):
-        members = materialise(_open_regions(live, comps, PIVOTS[min(k, len(PIVOTS) - 1)]), "members")
+        members = materialise(_open_regions(live, comps, PIVOTS[min(k, len(PIVOTS) - 1)], k), "members")
         if members.isEmpty():
             break
         pairs = _pairs(members)
