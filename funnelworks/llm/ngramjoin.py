@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from funnelworks.llm import columns as C
@@ -36,7 +36,7 @@ from funnelworks.llm.tokens import in_chunks, raw
 from funnelworks.sources.storage import materialise
 
 SKETCH_BITS = 18  # 2**18 counters, 1 MiB, are what executors get of the corpus counts
-PIVOTS = (1, 64)  # of a region, some, in the first and in later rounds; smaller regions are settled at once
+PIVOTS = (1, 256)  # of a region, some, in the first and in later rounds; smaller regions are settled at once
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -184,8 +184,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each pass points all neighbours of an id to the smallest among them; passes go on until nothing changes, each on a written table.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    before = None
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    edges, before = materialise(edges, "links"), None
     while True:
         # Large star: all larger neighbours point to the smallest neighbour.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -193,15 +193,16 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: an id's smaller neighbours and itself point to the smallest of them.
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(floor, "a").select("b", "m", "a")
-        step = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            floor.select("a", F.col("m").alias("b"))).distinct()
+        small = large.join(floor, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        seen = Observation()
+        step = small.unionByName(floor.select("a", F.col("m").alias("b"))).distinct().observe(
+            seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
         edges = materialise(step, "links")
-        mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if mark == before:
-            return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id").unionByName(
-                edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        before = mark
+        if not seen.get["n"] or seen.get == before:
+            break
+        before = seen.get
+    roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
 def _rank(id_: Column, turn: int = 0) -> Column:
@@ -276,8 +277,8 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         new = materialise(_distances(pairs, texts, n), "distances")
         measured = new if measured is None else measured.unionByName(new)
-        found = new.filter(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")
-        comps = components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
+        linked = new.filter(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")
+        comps = components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(linked))
         live = _rings(members, measured, percent)
 
     node = F.when(F.col("n_shingles") > 0, F.coalesce("component", "key"))
