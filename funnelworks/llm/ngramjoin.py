@@ -247,6 +247,20 @@ def _rings(members: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
     return rest.select("region", "id", F.explode(near).alias("x")).select(F.xxhash64("region", "x.w").alias("region"), "id", "x.own")
 
 
+def _linked(measured: DataFrame, percent: int) -> DataFrame:
+    return measured.filter(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(id, component): for each linked id the lowest-ranked one two steps away. Equal labels are in one component;
+    that different ones are not is left to the rounds, so that no round has to follow long chains."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    own, other = (F.struct(_rank(F.col(c)).alias("rank"), F.col(c).alias("id")) for c in ("a", "b"))
+    one = both.groupBy("a").agg(F.min(other).alias("m")).select("a", F.least(own, F.col("m")).getField("id").alias("up"))
+    one = materialise(one, "labels")
+    return one.join(one.select(F.col("a").alias("up"), F.col("up").alias("component")), "up").select(F.col("a").alias("id"), "component")
+
+
 def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id), one row per document row.
 
@@ -265,10 +279,10 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     live = materialise(_size_windows(dense.join(shared, "region").distinct(), percent), "live")
     texts = materialise(_texts(rows, live.select("id").distinct(), n), "texts")
 
-    comps = components(links)
     measured = None
+    labels = links.select(F.col("a").alias("id"), F.col("a").alias("component")).filter("false")
     for k in range(1 << 30):
-        members = materialise(_open_regions(live, comps, PIVOTS[min(k, len(PIVOTS) - 1)], k), "members")
+        members = materialise(_open_regions(live, labels, PIVOTS[min(k, len(PIVOTS) - 1)], k), "members")
         if members.isEmpty():
             break
         pairs = _pairs(members)
@@ -277,9 +291,9 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         new = materialise(_distances(pairs, texts, n), "distances")
         measured = new if measured is None else measured.unionByName(new)
-        linked = new.filter(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")
-        comps = components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(linked))
-        live = _rings(members, measured, percent)
+        labels = materialise(_labels(_linked(measured, percent)), "labels")
+        live = materialise(_rings(members, measured, percent), "live")
+    comps = components(links if measured is None else links.unionByName(_linked(measured, percent)))
 
     node = F.when(F.col("n_shingles") > 0, F.coalesce("component", "key"))
     whole = per_row.join(comps.withColumnRenamed("id", "key"), "key", "left").select("id", "n_shingles", node.alias("node"))
