@@ -63,10 +63,13 @@ def marketing_spend(lineitem: DataFrame) -> DataFrame:
 
 
 def user_profiles(customer: DataFrame) -> DataFrame:
-    # Ten customers make one user; the first of the ten gives the profile, so every user has one.
+    # Ten customers make one user; its profile is put together from all of them.
     user = "CAST(floor(c_custkey / 10.0D) AS BIGINT)"
-    return customer.filter("c_custkey % 10 = 0").selectExpr(
-        f"{user} AS user_id",
+    ten = customer.selectExpr(f"{user} AS user_id", "c_custkey", "c_nationkey", "c_mktsegment").groupBy("user_id").agg(
+        F.min("c_custkey").alias("c_custkey"), F.min("c_nationkey").alias("c_nationkey"), F.max_by("c_mktsegment", "c_custkey").alias("c_mktsegment"))
+    user = "user_id"
+    return ten.selectExpr(
+        "user_id",
         "CAST(18 + c_custkey % 50 AS INT) AS age",
         "CASE WHEN c_nationkey % 2 = 0 THEN 'female' ELSE 'male' END AS gender",
         f"{_platform(user)} AS platform",
@@ -101,10 +104,11 @@ def user_transactions(orders: DataFrame) -> DataFrame:
 
 
 def skan_attribution_ios(lineitem: DataFrame) -> DataFrame:
-    return lineitem.filter("l_returnflag = 'R'").selectExpr(
+    # A postback of a line that was not returned carries no conversion value, as below the privacy threshold.
+    return lineitem.selectExpr(
         f"{_january('l_orderkey', 30)} AS postback_date",
         f"{_label('l_suppkey % 3', NETWORKS)} AS network",
-        "CAST(l_quantity AS INT) AS conversion_value",
+        "CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS INT) END AS conversion_value",
         "CAST(l_linenumber AS BIGINT) AS install_count",
     )
 

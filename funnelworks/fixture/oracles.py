@@ -69,7 +69,8 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN c_nationkey % 2 = 0 THEN 'female' ELSE 'male' END AS gender,
                CASE WHEN CAST(floor(c_custkey / 10.0) AS BIGINT) % 5 < 2 THEN 'ios' ELSE 'android' END AS platform,
                CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN true WHEN c_mktsegment = 'FURNITURE' THEN NULL ELSE false END AS tracking_enabled
-        FROM customer WHERE c_custkey % 10 = 0"""),
+        FROM (SELECT min(c_custkey) AS c_custkey, min(c_nationkey) AS c_nationkey, arg_max(c_mktsegment, c_custkey) AS c_mktsegment
+              FROM customer GROUP BY floor(c_custkey / 10.0))"""),
     "user_transactions": ((), """
         SELECT tx_id, user_id, transaction_timestamp, transaction_type, amount_usd,
                CAST(sum(CASE WHEN transaction_type = 'deposit' THEN amount_usd ELSE -amount_usd END)
@@ -82,8 +83,8 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "skan": ((), """
         SELECT DATE '2024-01-01' + CAST(l_orderkey % 30 AS INT) AS postback_date,
                CASE l_suppkey % 3 WHEN 0 THEN 'Google' WHEN 1 THEN 'Meta' ELSE 'TikTok' END AS network,
-               CAST(l_quantity AS INT) AS conversion_value, CAST(l_linenumber AS BIGINT) AS install_count
-        FROM lineitem WHERE l_returnflag = 'R'"""),
+               CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS INT) END AS conversion_value, CAST(l_linenumber AS BIGINT) AS install_count
+        FROM lineitem"""),
     # Channel performance.
     "installs_d": (("app_events",), """
         SELECT event_date, source AS channel, campaign_id, count(DISTINCT user_id) AS installs
@@ -402,7 +403,7 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
                floor(CAST(installs_paid / sum(installs_paid) OVER (PARTITION BY platform, tracking_bucket) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS share_within_group
         FROM (SELECT platform, tracking_bucket, source, count(DISTINCT user_id) AS installs_paid FROM installs_u
               WHERE source <> 'Organic' AND platform IS NOT NULL GROUP BY ALL)
-        ORDER BY platform, tracking_bucket, installs_paid DESC, source LIMIT 30"""),
+        ORDER BY platform, tracking_bucket, installs_paid DESC, source"""),
     "daily_installs": (("installs_dps",), "SELECT * FROM installs_dps"),
     "spend_daily_channel": (("marketing_spend",), f"""
         SELECT event_date, channel, {_round('spend')}, {_big('impressions', 'clicks')}
@@ -422,18 +423,18 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT event_date, platform, {_round('organic_share', 'z_organic_share', 'paid_spend_total')} FROM organic_z"""),
     "organic_share_anomalies": (("organic_z",), f"""
         SELECT event_date, platform, {_round('organic_share', 'z_organic_share', 'paid_spend_total')} FROM organic_z
-        WHERE abs(z_organic_share) >= 2.0 ORDER BY organic_z.z_organic_share DESC, event_date, platform LIMIT 20"""),
+        WHERE abs(z_organic_share) >= 2.0 ORDER BY organic_z.z_organic_share DESC, event_date, platform"""),
     "organic_share_extremes": (("organic_z",), f"""
         SELECT event_date, platform, {_round('organic_share', 'z_organic_share', 'paid_spend_total', 'abs_z')}
         FROM (SELECT *, abs(z_organic_share) AS abs_z FROM organic_z WHERE z_organic_share IS NOT NULL
               QUALIFY row_number() OVER (PARTITION BY platform ORDER BY abs(z_organic_share) DESC, event_date) <= 10) t
-        ORDER BY t.abs_z DESC, event_date, platform LIMIT 20"""),
+        ORDER BY t.abs_z DESC, event_date, platform"""),
     "skan_daily_network": (("skan_d",), f"SELECT event_date, network, {_big('install_count')} FROM skan_d"),
     "skan_series": (("skan_ts",), f"SELECT event_date, {_big('skan_installs_total', 'lastclick_paid_installs_total')} FROM skan_ts"),
     "skan_vs_lastclick": (("skan_ts",), """
         SELECT event_date, CAST(skan_installs_total AS BIGINT) AS skan_installs_total, CAST(lastclick_paid_installs_total AS BIGINT) AS lastclick_paid_installs_total,
                CAST(skan_installs_total - lastclick_paid_installs_total AS BIGINT) AS skan_minus_lastclick
-        FROM skan_ts ORDER BY 4 DESC, event_date LIMIT 15"""),
+        FROM skan_ts ORDER BY 4 DESC, event_date"""),
     "skan_shift_fit": (("skan_ts",), _shift_table()),
     "halo_series": (("halo_ts",), """
         SELECT event_date, floor(CAST(x AS DOUBLE) * 1e6 + 0.5) / 1e6 AS paid_spend_total, CAST(y AS BIGINT) AS organic_installs FROM halo_ts"""),

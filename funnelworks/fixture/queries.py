@@ -15,7 +15,7 @@ from funnelworks.study import MODELLED, RELATIONAL, Report, Settings, Study
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Thresholds that suit the test tables, where campaigns are small and series short.
-SETTINGS = Settings(min_registrations=20, z_threshold=2.0, max_iter=20, sources=SOURCES)
+SETTINGS = Settings(min_registrations=20, z_threshold=2.0, sources=SOURCES)
 
 
 def comparable(df: DataFrame) -> DataFrame:

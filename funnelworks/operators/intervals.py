@@ -10,7 +10,7 @@ One user may own a large part of all transactions, so no step sorts or joins by
    map-side combine;
 2. windows are laid out on calendar buckets and joined on (user, bucket), which spreads a user over
    many tasks and drops transactions outside every window; buckets are a week wide, and an hour for
-   the few users found to be heavy;
+   users the caller names as heavy (``heavy_users`` finds them);
 3. "next transaction" is found inside a bucket, on the partitioning the join left behind;
 4. each bucket shrinks to first instant, last instant, last balance and what it earned inside, and
    only these few rows per user are chained together.
@@ -34,8 +34,6 @@ DAYS_PER_YEAR = 365.0
 BUCKET_HOURS = 7 * 24
 HEAVY_BUCKET_HOURS = 1
 
-# Below this size no single user can hold up a job; above it, heavy users are looked for.
-SMALL_TABLE_BYTES = 4 << 30
 HEAVY_ROWS = 5_000_000
 HEAVY_USERS = 1_000
 ITEMS_TRACKED = 4_096
@@ -52,13 +50,6 @@ def heavy_users(tx: DataFrame, min_rows: int = HEAVY_ROWS) -> list:
     return [r["item"] for r in found if r["item"] is not None and r["count"] >= min_rows]
 
 
-def _heavy_users_of_large_table(tx: DataFrame) -> list:
-    plan = getattr(tx.select("user_id", "transaction_timestamp"), "_jdf", None)
-    # A remote session does not show its estimates: look for heavy users there in any case.
-    small = plan is not None and int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_TABLE_BYTES
-    return [] if small else heavy_users(tx)
-
-
 def account_instants(tx: DataFrame, tie: str = "tx_id") -> DataFrame:
     """One row per (user, instant): balance after it, and totals of its transactions.
 
@@ -104,10 +95,9 @@ def windowed_instants(
 ) -> DataFrame:
     """Account instants inside their user's window [start, end], with a ``bucket`` column.
 
-    ``windows`` has one row per user; its columns are kept. ``heavy`` names users to spread finer;
-    by default they are looked for when ``tx`` is large.
+    ``windows`` has one row per user; its columns are kept. ``heavy`` names users to spread finer.
     """
-    fine = _heavy_users_of_large_table(tx) if heavy is None else heavy
+    fine = heavy or ()
 
     def bucket(ts: Column) -> Column:
         return _bucket(F.col("user_id"), ts, bucket_hours, fine)

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from funnelworks.operators.events import null_safe_join
 from funnelworks.sources.storage import materialise
 
-# A group up to this size fits the built-in exact percentile, which keeps its distinct values in memory.
-ROWS_IN_MEMORY = 100_000
-
 
 def _sorted_table(df: DataFrame, order: Sequence[Column], label: str) -> DataFrame:
     """Range-partitioned sort, written once, with ``_task`` and ``_position`` (order within the task).
@@ -53,20 +50,15 @@ def exact_quantiles(
     by: Sequence[str],
     value: str,
     probs: Mapping[str, float],
-    rows_in_memory: int = ROWS_IN_MEMORY,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``value`` per group; NULLs are skipped.
 
-    Small groups use the built-in percentile. Once any group is larger, its distinct values are
-    counted, sorted across the cluster, and read off at the wanted cumulative counts.
+    Distinct values are counted, sorted across the cluster, and read off at the wanted cumulative
+    counts, so no task holds a group, whatever its size.
     """
     if not by:
-        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, rows_in_memory).drop("_all")
+        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs).drop("_all")
     rows = df.select(*by, F.col(value).cast("double").alias("_value")).filter(F.col("_value").isNotNull())
-    largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if largest <= rows_in_memory:
-        return rows.groupBy(*by).agg(*[F.percentile("_value", p).alias(n) for n, p in probs.items()])
-
     # Counting first makes a value that fills a large part of a group a single row.
     counted = rows.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_count"))
     ordered = _sorted_table(counted, [F.col(c) for c in [*by, "_value"]], "quantiles")

@@ -63,7 +63,7 @@ def organic_share_pivot(by_tracking: DataFrame) -> DataFrame:
     )
 
 
-def paid_mix_share(users: DataFrame, limit: int | None = 30) -> DataFrame:
+def paid_mix_share(users: DataFrame, limit: int | None = None) -> DataFrame:
     """Paid installers per source and their share within platform and tracking bucket, largest first."""
     counts = (
         users.filter(is_not("source", "Organic")).dropna(subset=["platform", "source"])

@@ -25,11 +25,6 @@ MAX_ITER, MAX_BINS, MIN_LEAF_ROWS = 100, 255, 20
 REPEATS = 5
 ZERO_PREDICTION = 1e-6
 
-# Trees keep one number per one-hot column and row, so wide features stay a single categorical column.
-ONE_HOT_LEVELS = 64
-# Levels of a categorical feature end up in driver memory and in every task of the model.
-MAX_LEVELS = 100_000
-
 
 def column_kinds(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:
     """(numeric, categorical): text and boolean columns are categorical."""
@@ -82,38 +77,30 @@ def fit_ltv(
     loss: Literal["squared", "absolute"] = "squared",
     max_iter: int = MAX_ITER,
     seed: int = SEED,
-    one_hot_levels: int = ONE_HOT_LEVELS,
-    max_levels: int = MAX_LEVELS,
 ) -> LtvModel:
     """Impute, encode and boost trees on ``log1p(target)``.
 
-    Features with up to ``one_hot_levels`` levels are one-hot encoded, and a level unseen in training
-    becomes all zeros; wider ones are split on sets of levels. ``absolute`` loss fits the conditional
+    Categorical features are one-hot encoded whatever their number of levels, and a level unseen in
+    training becomes all zeros; vectors are sparse. ``absolute`` loss fits the conditional
     median. ``train`` is read many times: pass a materialised table.
     """
     checkpoint_root(train.sparkSession)
     numeric, categorical = column_kinds(train, features)
     fills, levels = fill_values(train, numeric, categorical)
-    too_wide = {c: n for c, n in levels.items() if n > max_levels}
-    if too_wide:
-        raise ValueError(f"more than max_levels={max_levels} levels: {too_wide}")
 
     index = {c: f"{c}__index" for c in categorical}
-    narrow = [c for c in categorical if levels[c] <= one_hot_levels]
-    wide = [c for c in categorical if c not in narrow]
-    onehot = [f"{c}__levels" for c in narrow]
+    onehot = [f"{c}__levels" for c in categorical]
     stages = []
     if categorical:
         stages.append(StringIndexer(
             inputCols=categorical, outputCols=list(index.values()), handleInvalid="keep", stringOrderType="alphabetAsc"
         ))
-    if narrow:
-        stages.append(OneHotEncoder(inputCols=[index[c] for c in narrow], outputCols=onehot, dropLast=True))
+        stages.append(OneHotEncoder(inputCols=list(index.values()), outputCols=onehot, dropLast=True))
     stages += [
-        VectorAssembler(inputCols=[*numeric, *onehot, *[index[c] for c in wide]], outputCol="features"),
+        VectorAssembler(inputCols=[*numeric, *onehot], outputCol="features"),
         GBTRegressor(
             labelCol="label", lossType=loss, maxDepth=MAX_DEPTH, stepSize=LEARNING_RATE, maxIter=max_iter,
-            maxBins=max([MAX_BINS, *[levels[c] + 1 for c in wide]]), minInstancesPerNode=MIN_LEAF_ROWS, seed=seed,
+            maxBins=MAX_BINS, minInstancesPerNode=MIN_LEAF_ROWS, seed=seed,
             checkpointInterval=10, maxMemoryInMB=512,
         ),
     ]
@@ -167,7 +154,7 @@ def permutation_importance(
     target: str = TARGET,
     repeats: int = REPEATS,
     seed: int = SEED,
-    limit: int | None = 20,
+    limit: int | None = None,
 ) -> DataFrame:
     """Loss of R² (log scale) when one raw feature at a time is shuffled between test rows.
 

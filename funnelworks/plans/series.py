@@ -105,14 +105,14 @@ def organic_share_scores(series: DataFrame, window: int = ROLLING_DAYS) -> DataF
     return scored.select("event_date", "platform", "organic_share", "z_organic_share", "paid_spend_total")
 
 
-def organic_share_anomalies(series: DataFrame, threshold: float = Z_THRESHOLD, limit: int | None = 20) -> DataFrame:
+def organic_share_anomalies(series: DataFrame, threshold: float = Z_THRESHOLD, limit: int | None = None) -> DataFrame:
     """Days whose organic share lies at least ``threshold`` rolling deviations away, highest first."""
     flagged = organic_share_scores(series).filter(F.abs("z_organic_share") >= threshold)
     ordered = flagged.orderBy(F.col("z_organic_share").desc(), "event_date", "platform")
     return ordered if limit is None else ordered.limit(limit)
 
 
-def organic_share_extremes(series: DataFrame, per_platform: int = 10, limit: int | None = 20) -> DataFrame:
+def organic_share_extremes(series: DataFrame, per_platform: int = 10, limit: int | None = None) -> DataFrame:
     """The most extreme days per platform, whether or not they pass a threshold."""
     top = top_extremes(organic_share_scores(series), "z_organic_share", ["platform"], per_platform)
     ordered = top.orderBy(F.col("abs_z").desc(), "event_date", "platform")
@@ -138,7 +138,7 @@ def skan_series(skan: DataFrame, events: DataFrame, platform: str = "ios") -> Da
     return skan_total.join(paid_total, "event_date", "full").fillna(0)
 
 
-def skan_vs_lastclick(series: DataFrame, limit: int | None = 15) -> DataFrame:
+def skan_vs_lastclick(series: DataFrame, limit: int | None = None) -> DataFrame:
     """Days with the largest surplus of postback installs over last-click installs first."""
     gap = F.col("skan_installs_total") - F.col("lastclick_paid_installs_total")
     ordered = series.withColumn("skan_minus_lastclick", gap).orderBy(F.col("skan_minus_lastclick").desc(), "event_date")

@@ -28,6 +28,12 @@ def _typed(raw: DataFrame, schema: T.StructType, timestamp_format: str | None) -
             continue
         if isinstance(field.dataType, T.TimestampNTZType):
             c = parse_timestamp(F.col(field.name), timestamp_format)
+        elif field.name == "user_id":
+            c = F.col(field.name)  # any key type; text in CSV files
+        elif isinstance(field.dataType, T.IntegralType):
+            # Writers put "5.0" where a column of whole numbers has gaps.
+            number = F.col(field.name).try_cast("decimal(38,6)")
+            c = F.when(number == F.floor(number), number).try_cast(field.dataType)
         else:
             c = F.col(field.name).try_cast(field.dataType)
         columns.append(c.alias(field.name))

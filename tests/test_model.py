@@ -45,15 +45,10 @@ def test_fill_values(spark):
     assert levels == {"c": 2, "f": 2, "blank": 0}
 
 
-def test_too_many_levels_are_refused(spark, study):
-    with pytest.raises(ValueError, match="'kind': 3"):
-        model.fit_ltv(study[0], FEATURES, "y", max_levels=2)
-
-
-def test_wide_features_stay_one_column(spark, study):
-    train, test, _ = study
-    fitted = model.fit_ltv(train, FEATURES, "y", max_iter=12, one_hot_levels=2)
-    assert fitted.pipeline.stages[-1].numFeatures == 3 + 2 + 1
+def test_every_level_is_one_hot(spark, study):
+    train, test, fitted = study
+    levels = train.agg(*[F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit(fitted.fills[c]))) for c in fitted.categorical]).first()
+    assert fitted.pipeline.stages[-1].numFeatures == len(fitted.numeric) + sum(levels)
     odd = test.limit(1).withColumn("kind", F.lit("never seen"))
     assert model.score(fitted, odd, "y").first()["y_pred"] is not None
     assert model.model_metrics(model.score(fitted, test, "y")).first()["r2_log"] > 0.5

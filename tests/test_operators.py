@@ -105,15 +105,14 @@ def test_row_index_is_dense_and_ordered(spark):
     assert [r["row_index"] for r in out] == list(range(1000)) and [r["a"] for r in out] == sorted(a for a, _ in data)
 
 
-@pytest.mark.parametrize("in_memory", [0, 10**6])
-def test_exact_quantiles_both_ways(spark, in_memory):
+def test_exact_quantiles(spark):
     rng = random.Random(5)
     # One group holds most rows and most of them share one value.
     data = [("hot", 0.0 if rng.random() < 0.7 else rng.uniform(-5, 5)) for _ in range(900)]
     data += [("small", v) for v in (1.0, 2.0, 3.0, 10.0)] + [("one", 4.0), ("empty", None), (None, 1.0), (None, 3.0)]
     df = spark.createDataFrame(data, "g string, v double")
     probs = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
-    out = {r["g"]: [r[p] for p in probs] for r in exact_quantiles(df, ["g"], "v", probs, in_memory).collect()}
+    out = {r["g"]: [r[p] for p in probs] for r in exact_quantiles(df, ["g"], "v", probs).collect()}
 
     def interpolated(values, p):
         values = sorted(values)
@@ -130,10 +129,9 @@ def test_exact_quantiles_both_ways(spark, in_memory):
         assert out[g] == pytest.approx([interpolated(values, p) for p in probs.values()])
 
 
-@pytest.mark.parametrize("in_memory", [0, 10**6])
-def test_exact_quantiles_without_groups(spark, in_memory):
+def test_exact_quantiles_without_groups(spark):
     df = spark.createDataFrame([(float(v),) for v in (5, 1, 9, 3)], "v double")
-    assert exact_quantiles(df, [], "v", {"m": 0.5}, in_memory).first()["m"] == 4.0
+    assert exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"] == 4.0
 
 
 def test_mode_takes_the_smallest_on_ties(spark):

@@ -38,9 +38,9 @@ def tables(spark, tmp_path_factory):
 
 def test_types_and_bad_values(tables):
     assert rows(tables.app_events, "user_id", "event_timestamp", "campaign_id") == [
-        (1, ts("2024-01-01 10:00"), "m1"), (1, ts("2024-01-01 11:00"), "m1"), (2, None, None),
+        ("1", ts("2024-01-01 10:00"), "m1"), ("1", ts("2024-01-01 11:00"), "m1"), ("2", None, None),
     ]
-    assert rows(tables.user_profiles, "user_id", "tracking_enabled", "age") == [(1, True, 33), (2, None, None)]
+    assert rows(tables.user_profiles, "user_id", "tracking_enabled", "age") == [("1", True, 33), ("2", None, None)]
     assert dict(tables.marketing_spend.dtypes)["spend"] == "decimal(18,4)" and "note" in tables.marketing_spend.columns
     assert rows(tables.marketing_spend, "date") == [(None,), (ts("2024-01-01"),)]
 
@@ -87,7 +87,7 @@ def test_unknown_format_is_refused(spark, tmp_path):
 
 def test_profile(tables):
     out = {r["column_name"]: (r["data_type"], r["non_null"], r["row_count"]) for r in table_profile(tables.user_profiles).collect()}
-    assert out["tracking_enabled"] == ("boolean", 1, 2) and out["user_id"] == ("bigint", 2, 2) and out["age"] == ("int", 1, 2)
+    assert out["tracking_enabled"] == ("boolean", 1, 2) and out["user_id"] == ("string", 2, 2) and out["age"] == ("int", 1, 2)
 
 
 def test_materialised_tables_live_in_the_named_folder(spark):
@@ -95,3 +95,9 @@ def test_materialised_tables_live_in_the_named_folder(spark):
     assert root == spark.conf.get("spark.checkpoint.dir")
     out = materialise(spark.range(5).withColumn("half", F.col("id") / 2), "numbers")
     assert out.count() == 5 and all(root in f for f in out.inputFiles())
+
+
+def test_text_keys_and_gappy_integers(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("user_id,platform,tracking_enabled,age,gender\nu-a1,ios,True,34.0,male\nu-b2,ios,,,\nu-c3,ios,,7.5,\n")
+    read = read_table(spark, str(tmp_path / "p.csv"), SCHEMAS["user_profiles"])
+    assert rows(read, "user_id", "age") == [("u-a1", 34), ("u-b2", None), ("u-c3", None)]
