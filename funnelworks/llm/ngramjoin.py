@@ -223,8 +223,11 @@ def _open_regions(live: DataFrame, comps: DataFrame, pivots: int, turn: int) ->
     named = live.join(comps, "id", "left").withColumn("c", F.coalesce("component", "id"))
     kept = named.groupBy("region").agg(
         F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("some"),
+        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"),
         F.min(F.struct(_rank(F.col("id"), turn).alias("rank"), F.col("id").alias("id"))).alias("f"),
-    ).filter("lo < hi AND some").select("region", "m", F.col("f.id").alias("first"))
+    ).filter("lo < hi AND some")
+    # Near copies share many shingles: of regions with the same members one is enough.
+    kept = kept.groupBy("m", "who").agg(F.min(F.struct("region", "f")).alias("r")).select("r.region", "m", F.col("r.f.id").alias("first"))
     rank = _rank(F.col("id"), turn)  # drawn anew each turn, or those left over would all rank high
     chosen = (F.col("id") == F.col("first")) | (rank * F.col("m") < pivots) if pivots > 1 else F.col("id") == F.col("first")
     return live.join(kept, "region").select("region", "id", "first", chosen.alias("pivot"))
