@@ -7,16 +7,18 @@ lie more than r apart as seen from a pivot are more than r apart. The join uses
 * Regions: shingles are put in a fixed order, rare ones first by a count sketch of bounded size. Two sets with
   Jaccard >= t share one of the first |x| - ceil(t |x|) + 1 shingles of both. Each such shingle is a region,
   and a document lies in the regions of its own first shingles: the windows in which a partner may be.
-* In every region the member of the least rank is the pivot, in later rounds some more. Members are measured
-  against their pivots only, each pair once however many regions it shares; those within r link to it.
+* In every region the member of the least rank is the pivot. Later rounds add some more from outside of the region's
+  largest component, since pairs within a component are settled: a group of near copies with a few strangers costs
+  the strangers' distances only. Members are measured against their pivots, each pair once however many regions it
+  shares; those within r link to it.
 * A region is then cut into rings by the distance to its pivot, ring k holding k r <= d < (k + 1) r.
   Documents of neighbouring rings may still be partners, so each ring's members are
   replicated into the next ring; rings further apart are ruled out by the triangle inequality.
 * Each ring is a region of the next round, without the pivot, whose pairs are all settled. Regions whose
   members are all in one component are settled too. Rounds go on until no region is left: the result is exact.
 
-No round emits pairs within a group: a region of n members costs n distances a round, and a group of near copies
-falls into one component in the first.
+No round emits all pairs within a group: a region of n members costs n distances a pivot, and the number of pivots
+a round is fixed; a group of near copies falls into one component in the first rounds.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ from funnelworks.llm.tokens import in_chunks, raw
 from funnelworks.sources.storage import materialise
 
 SKETCH_BITS = 18  # 2**18 counters, 1 MiB, are what executors get of the corpus counts
-PIVOTS = (1, 256)  # of a region, some, in the first and in later rounds; smaller regions are settled at once
+# Expected pivots of a region by round; the last for all later ones. Few link most of a group of near copies, and
+# then as many strangers as the last number says are settled at once.
+PIVOTS = (1, 32, 512)
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -219,26 +223,33 @@ def _size_windows(regions: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_regions(live: DataFrame, comps: DataFrame, pivots: int, turn: int) -> DataFrame:
-    """Members of the regions that may still hold an unknown link: two components or more, and a member of its own."""
-    named = live.join(comps, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    kept = named.groupBy("region").agg(
-        F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("some"),
-        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"),
-        F.min(F.struct(_rank(F.col("id"), turn).alias("rank"), F.col("id").alias("id"))).alias("f"),
-    ).filter("lo < hi AND some")
+    """(region, id, c: component, first, pivot): members of the regions that may still hold an unknown link, with two
+    components or more, and a member of its own."""
+    named = live.join(comps, "id", "left").select("region", "id", "own", F.coalesce("component", "id").alias("c"))
+    parts = named.groupBy("region", "c").agg(
+        F.count("*").alias("n"), F.max("own").alias("own"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"),
+        F.min(F.struct(_rank(F.col("id"), turn).alias("rank"), F.col("id").alias("id"))).alias("f"))
+    kept = parts.groupBy("region").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("largest"), F.max("own").alias("some"),
+        F.sum("who").alias("who"), F.min("f").alias("f")).filter("parts > 1 AND some")
     # Near copies share many shingles: of regions with the same members one is enough.
-    kept = kept.groupBy("m", "who").agg(F.min(F.struct("region", "f")).alias("r")).select("r.region", "m", F.col("r.f.id").alias("first"))
+    kept = kept.groupBy("m", "who").agg(F.min(F.struct("region", "f", "largest")).alias("r")).select(
+        "r.region", F.col("r.f.id").alias("first"), F.col("r.largest.c").alias("main"), (F.col("m") - F.col("r.largest.n")).alias("strangers"))
     rank = _rank(F.col("id"), turn)  # drawn anew each turn, or those left over would all rank high
-    chosen = (F.col("id") == F.col("first")) | (rank * F.col("m") < pivots) if pivots > 1 else F.col("id") == F.col("first")
-    return live.join(kept, "region").select("region", "id", "first", chosen.alias("pivot"))
+    chosen = F.col("id") == F.col("first")
+    if pivots > 1:
+        chosen = chosen | ((F.col("c") != F.col("main")) & (rank * F.col("strangers") < pivots))
+    return named.join(kept, "region").select("region", "id", "c", "first", chosen.alias("pivot"))
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """(a: pivot, b: member), each pair once; of two pivots the one of the lower rank is a."""
-    p = members.filter("pivot").select("region", F.col("id").alias("a"))
-    both = p.join(members.select("region", F.col("id").alias("b"), F.col("pivot").alias("too")), "region")
+    """(a: pivot, b: member), each pair once; of two pivots the one of the lower rank is a. A pair of one component is
+    measured only if a is the first pivot, whose distances make the rings."""
+    p = members.filter("pivot").select("region", F.col("id").alias("a"), F.col("c").alias("ac"), (F.col("id") == F.col("first")).alias("lead"))
+    both = p.join(members.select("region", F.col("id").alias("b"), F.col("c").alias("bc"), F.col("pivot").alias("too")), "region")
     ordered = F.struct(_rank(F.col("a")), F.col("a")) < F.struct(_rank(F.col("b")), F.col("b"))
-    return both.filter((F.col("a") != F.col("b")) & (~F.col("too") | ordered)).select("a", "b").distinct()
+    open_ = (F.col("ac") != F.col("bc")) | F.col("lead")
+    return both.filter((F.col("a") != F.col("b")) & (~F.col("too") | ordered) & open_).select("a", "b").distinct()
 
 
 def _rings(members: DataFrame, measured: DataFrame, percent: int) -> DataFrame:

@@ -226,7 +226,8 @@ def test_windows_of_items(spark, docs, texts):
     assert decontaminate.decontaminated(docs, bench.limit(0)).count() == len(corpus())
 
 
-def test_near_copies_are_linked_exactly(docs, texts):
+def linked(texts):
+    """(id, size of its set, smallest id of its component) by comparing all pairs."""
     def shingles(t):
         w = t.encode().lower().split()
         return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -241,9 +242,32 @@ def test_near_copies_are_linked_exactly(docs, texts):
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
+    return {(k, len(sets[k]), root(k)) for k in texts}
+
+
+def test_near_copies_are_linked_exactly(docs, texts):
     rows = ngramjoin.jaccard_join(docs).collect()
     assert len(rows) == len(corpus())
-    assert {(r["id"], r["n_shingles"], r["component_id"]) for r in rows} == {(k, len(sets[k]), root(k)) for k in texts}
+    assert {(r["id"], r["n_shingles"], r["component_id"]) for r in rows} == linked(texts)
+
+
+def test_near_copies_among_strangers_with_few_pivots(spark, monkeypatch):
+    """Edits of one text: a large component, small ones, and strangers that share most regions with it."""
+    draw = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    texts = {}
+    for k in range(90):
+        words = list(base)
+        for at in draw.sample(range(20, 120), draw.randint(0, 9)):
+            words[at] = f"x{k}.{at}"
+        texts[k] = " ".join(words)
+    expected = linked(texts)
+    sizes = Counter(c for _, _, c in expected)
+    assert len(sizes) > 8 and max(sizes.values()) > 20
+    monkeypatch.setattr(ngramjoin, "PIVOTS", (1, 2, 4))
+    ship(spark)
+    rows = ngramjoin.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {(r["id"], r["n_shingles"], r["component_id"]) for r in rows} == expected
 
 
 def test_quality_verdicts(docs, texts):
