@@ -81,8 +81,9 @@ def fit_ltv(
     """Impute, encode and boost trees on ``log1p(target)``.
 
     Categorical features are one-hot encoded whatever their number of levels, and a level unseen in
-    training becomes all zeros; vectors are sparse. ``absolute`` loss fits the conditional
-    median. ``train`` is read many times: pass a materialised table.
+    training becomes all zeros; vectors are sparse. ``absolute`` loss moves towards
+    the conditional median: boosting starts from a mean tree and moves by the learning rate a tree at most, so
+    a skewed target may keep a gap. ``train`` is read many times: pass a materialised table.
     """
     checkpoint_root(train.sparkSession)
     numeric, categorical = column_kinds(train, features)
