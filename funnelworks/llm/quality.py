@@ -4,8 +4,9 @@ Normalised lines are hashed and the distinct documents that hold them are counte
 over the host's limit are removed, and documents that lose most of their text that way are rejected,
 as are those that fail the plain rules on words and repetition.
 
-Copies of one document count once: a line's documents are told apart by the smallest hash among
-their *other* lines, so a text with a thousand copies doesn't make its own lines boilerplate.
+Copies of one document count once: documents are told apart by a digest of their whole normalised
+text, so a text with a thousand copies doesn't make its own lines boilerplate, while pages that
+share some lines count one by one. A document without any line that isn't blank is not counted.
 """
 
 from __future__ import annotations
@@ -80,13 +81,12 @@ def frequent_lines(docs: DataFrame, text: str, host: str, rules: Rules = Rules()
     The shuffle carries three numbers per distinct (host, line, document): counting is in two steps,
     so neither a hot host nor a line of every document meets in one task.
     """
-    hashed = F.array_distinct(F.transform(
-        F.filter(F.transform(C.lines(C.text_of(text)), normalised), lambda x: x != ""), C.hex_long))
-    per_doc = docs.select(C.name(host).alias("host"), F.sort_array(hashed).alias("hs"))
-    least, second = F.get("hs", F.lit(0)), F.coalesce(F.get("hs", F.lit(1)), F.lit(-1))
-    hosts = per_doc.select("host", least.alias("least")).groupBy("host").agg(F.count_distinct("least").alias("n_docs"))
-    held = per_doc.select("host", least.alias("least"), second.alias("second"), F.explode("hs").alias("h"))
-    held = held.select("host", "h", F.when(F.col("h") == F.col("least"), F.col("second")).otherwise(F.col("least")).alias("of"))
+    hashed = F.transform(F.filter(F.transform(C.lines(C.text_of(text)), normalised), lambda x: x != ""), C.hex_long)
+    digest = C.let(hashed, lambda hs: F.when(F.size(hs) > 0, F.xxhash64(hs)))  # of the lines in order, with repeats
+    both = C.let(hashed, lambda hs: F.struct(F.xxhash64(hs).alias("of"), F.array_distinct(hs).alias("hs")))
+    per_doc = docs.select(C.name(host).alias("host"), digest.alias("of"))
+    hosts = per_doc.groupBy("host").agg(F.count_distinct("of").alias("n_docs"))
+    held = docs.select(C.name(host).alias("host"), both.alias("d")).select("host", "d.of", F.explode("d.hs").alias("h"))
     counts = held.distinct().groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.min_line_documents)
     hosts = hosts.withColumnRenamed("host", "of_host")
     over = counts.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).filter(

@@ -3,6 +3,7 @@ empty tables and extra columns with clashing names."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -292,6 +293,31 @@ def test_boilerplate_is_removed_but_copies_are_not(spark):
     assert all(got[100 + k]["clean"] == body[0] and got[100 + k]["kept"] for k in range(60))
 
 
+def test_pages_that_share_their_lowest_line_count_one_by_one(spark):
+    """Distinct documents are distinct whole texts: a template's lines go, a line of few pages stays."""
+    rng = random.Random(5)
+    # The first two hashes of a page belong to its template, whichever lines these are.
+    shared = sorted((f"template line {k}" for k in range(400)), key=lambda x: hashlib.md5(x.encode()).hexdigest())[:3]
+    body = [" ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(70)) + f"\nline {k}" for k in range(300)]
+    texts = ["\n".join([*shared, b]) for b in body]
+    texts = [t + "\nA line of 25 pages." if k < 25 else t for k, t in enumerate(texts)]
+    texts += [texts[-1] + "\n"] * 30  # copies
+    rows = [(k, t, "a") for k, t in enumerate(texts)] + [(1000, " \n", "a"), (1001, None, "a"), (1002, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    whole: dict = defaultdict(set)
+    for t in texts:
+        lines = tuple(" ".join(x.split()).lower() for x in t.split("\n") if x.strip())
+        for x in lines:
+            whole[x].add(lines)
+    over = {x for x, held in whole.items() if len(held) >= 20 and len(held) * 100 > 300 * 10}
+    assert over == set(shared)
+    out = quality.quality_rules(frame).select("row.doc_id", "clean").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        if r["doc_id"] < 1000:
+            assert r["clean"] == "\n".join(x for x in texts[r["doc_id"]].split("\n") if x not in over)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert lpf.remove_repeats(none).count() == 0
