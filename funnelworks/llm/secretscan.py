@@ -3,12 +3,15 @@
 Plain patterns find credentials by their context or prefix. From a bounded sample of these labelled
 credentials a probabilistic automaton is learnt per kind: the prefix tree of their character classes
 is folded by merging states whose frequencies are statistically compatible. One more automaton is
-learnt from ordinary long tokens. Every token of a text that could be a credential is then scored by how
-much likelier a credential's format is than an ordinary token's, and likely ones are added as spans.
+learnt from ordinary words, tokens of all texts that are too short for a credential, so that bare keys
+never teach it, however many there are. Every token of a text that could be a credential, of any
+characters, is then scored by how much likelier a credential's format is than an ordinary word's, and
+likely ones are added as spans.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,7 +32,8 @@ _WORDS = ("passw", "secret", "token", "api")  # one of them is in every text wit
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_DIGIT = re.compile(r"[0-9]")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
+_LEAST, _SHORTEST = 16, 12  # characters of a candidate, of any credential
 
 
 @dataclass(frozen=True)
@@ -56,16 +60,40 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs of credential characters with a digit and a letter, outside of the plain spans."""
+def _outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a stretch that no span covers, if they are long enough."""
     out = []
-    for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        if _DIGIT.search(s) and not s.isdigit() and not any(a < m.end() and m.start() < b for a, b, _, _ in taken):
-            out.append((m.start(), m.end(), s))
+    for a, b in [*sorted(x for x in spans if x[0] < end and start < x[1]), (end, end)]:
+        if a - start >= _LEAST:
+            out.append((start, a))
+        start = max(start, b)
     return out
 
 
+def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, parts) of every run of credential characters that isn't all in plain spans. An assignment's
+    value is whole, so a run ends there; hexadecimal or access keys may be the middle of a longer key, so such a
+    run counts as a whole and ``parts`` are what lies outside of them."""
+    for m in _CANDIDATE.finditer(text):
+        near = [x for x in taken if x[0] < m.end() and m.start() < x[1]]
+        if not near:
+            yield m.start(), m.end(), []
+            continue
+        inner = [(a, b) for a, b, k, _ in near if k]
+        for a, b in _outside(m.start(), m.end(), [(a, b) for a, b, k, _ in near if not k]):
+            if not any(x <= a and b <= y for x, y in inner):
+                yield a, b, _outside(a, b, inner)
+
+
+def ordinary(text: str, taken: list[tuple[int, int, int, str]]) -> Iterator[str]:
+    """Tokens that cannot be credentials: too short for one and outside of the plain spans."""
+    for m in _TOKEN.finditer(text) if taken else ():
+        if len(m[0]) < _SHORTEST and not any(a < m.end() and m.start() < b for a, b, _, _ in taken):
+            yield m[0]
+    if not taken:
+        yield from (w for w in set(_TOKEN.findall(text)) if len(w) < _SHORTEST)
+
+
 # Classes of characters and how many characters each has.
 _CLASS = {c: "0" for c in "0123456789"} | {c: "f" for c in "abcdef"} | {c: "z" for c in "ghijklmnopqrstuvwxyz"} | {c: "A" for c in map(chr, range(65, 91))}
 _MANY = {"0": 10, "f": 6, "z": 20, "A": 26}
@@ -168,27 +196,40 @@ class Model:
         gain = max((a.log_likelihood(s) for a in self.kinds), default=-np.inf) - self.ordinary.log_likelihood(s)
         return gain >= self.settings.least and gain >= self.settings.least_each * len(s)
 
+    def spans(self, text: str, taken: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int]]:
+        """Candidates that are likely credentials; of one that isn't, its parts that are."""
+        for a, b, parts in candidates(text, taken):
+            if self.is_secret(text[a:b]):
+                yield a, b
+            else:
+                yield from (x for x in parts if x != (a, b) and self.is_secret(text[x[0]:x[1]]))
+
 
 def learn(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> Model:
-    """Automata from the distinct credentials that the plain patterns label, at most ``sample`` a kind."""
+    """Automata from the distinct credentials that the plain patterns label, at most ``sample`` a kind, and from as
+    many distinct ordinary words: those of the least hashes in all texts, of which each task sends its own least."""
 
     def batches(it: Iterator) -> Iterator:
+        words: dict[str, str] = {}
+        top = ""  # once there are enough words, the greatest hash among them
         for batch in it:
-            kind, secret = [], []
+            kind, secret, fresh = [], [], set()
             for t in batch.column("t").to_pylist():
                 taken = base_spans(t or "")
                 kind += [k for _, _, k, _ in taken]
                 secret += [s for _, _, _, s in taken]
-                for a, b, s in candidates(t or "", taken):
-                    kind.append(3)
-                    secret.append(s)
+                fresh.update(ordinary(t or "", taken))
+            words |= {w: h for w in fresh if (h := hashlib.md5(w.encode()).hexdigest()) < top or not top}
+            words = dict(sorted(words.items(), key=lambda x: x[1])[:settings.sample])
+            top = max(words.values()) if len(words) == settings.sample else ""
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(secret, pa.string())], ["kind", "secret"])
+        yield pa.RecordBatch.from_arrays([pa.array([3] * len(words), pa.int32()), pa.array(list(words), pa.string())], ["kind", "secret"])
 
     found = docs.select(C.name(text).cast("string").alias("t")).mapInArrow(batches, "kind int, secret string")
     found = materialise(found.distinct(), "labelled")
     strings = []
-    for k in range(4):  # the last are the tokens that no pattern labels
-        rows = found.filter(F.col("kind") == k).orderBy(F.xxhash64("secret"), "secret").limit(settings.sample).collect()
+    for k in range(4):  # the last are the ordinary words
+        rows = found.filter(F.col("kind") == k).orderBy(F.md5("secret"), "secret").limit(settings.sample).collect()
         strings.append([classes(r["secret"][:256]) for r in rows])
     words = strings.pop()
     return Model([Automaton(s).fold(settings.alpha) for s in strings if s], Automaton(words).fold(settings.alpha), settings)
@@ -206,7 +247,7 @@ def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "
             for t in batch.column("t").to_pylist():
                 taken = base_spans(t or "")
                 spans = [(a, k, b) for a, b, k, _ in taken]
-                spans += [(a, 3, b) for a, b, s in candidates(t or "", taken) if model.is_secret(s)]
+                spans += [(a, 3, b) for a, b in model.spans(t or "", taken)]
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)])
             spans = pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), spans], ["id", "spans"])

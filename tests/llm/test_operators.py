@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -148,6 +149,45 @@ def test_automata_tell_formats_apart():
     assert len({q for m in a.moves for q in m.values()}) > 0
 
 
+@pytest.mark.parametrize("share", [10, 90])
+def test_bare_keys_of_any_characters_are_found_however_many(spark, share):
+    """Bare keys with digits, of letters alone and around hexadecimal characters, also where most texts hold one."""
+    rng = random.Random(7)
+    letters = string.ascii_letters
+
+    def draw(chars: str, n: int) -> str:
+        return "".join(rng.choice(chars) for _ in range(n))
+
+    keys = [lambda: draw(letters + string.digits, 24), lambda: draw(letters, 24),
+            lambda: draw(letters, 9) + "Z" + draw("0123456789abcdef", 16) + "Z" + draw(letters, 9)]
+    long_words = ["internationalization", "state-of-the-art-thing", "incomprehensibilities", "Straightforwardness"]
+    rows, planted = [], {}
+    for k in range(200):
+        words = [rng.choice(WORDS) + draw("etaoinshrdlu", 3) for _ in range(30)] + [rng.choice(long_words)]
+        text = " ".join(words)
+        if k % 100 < share:
+            key = keys[k % 3]()
+            planted[k] = (len(text) + 1, len(text) + 1 + len(key))
+            text += " " + key + " end"
+        rows.append((k, text))
+    rows += [(1000 + k, f"password = {draw(letters + string.digits, 24)}") for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = secretscan.scan(frame, secretscan.learn(frame)).collect()
+    found = {r["id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "format"] for r in out}
+    assert len(out) == len(rows)
+    for kind in range(3):
+        mine = [k for k in planted if k % 3 == kind]
+        assert sum(planted[k] in found[k] for k in mine) >= 0.9 * len(mine)
+    assert sum(len(found[k]) for k in found if k not in planted) <= 2
+
+
+def test_candidates_lose_nothing_beside_plain_spans():
+    bare, hexes = "AbCdEfGhIjKlMnOpQrSt", "0123456789abcdef0"
+    text = f"{bare}-{hexes} x {hexes} y {bare}_password=Abcdefghijkl1 z {bare}"
+    got = [(text[a:b], [text[x:y] for x, y in parts]) for a, b, parts in secretscan.candidates(text, secretscan.base_spans(text))]
+    assert got == [(f"{bare}-{hexes}", [f"{bare}-"]), (f"{bare}_", [f"{bare}_"]), (bare, [])]
+
+
 def test_repeated_lines_stay_in_the_last_document(docs, texts):
     space = " \t\n\x0b\x0c\r"
 
