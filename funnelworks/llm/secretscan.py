@@ -38,11 +38,13 @@ _LEAST, _SHORTEST = 16, 12  # characters of a candidate, of any credential
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` labelled strings per kind, those of the least hashes, train an automaton; it bounds the
-    tree that is folded. ``alpha`` is the error of the compatibility test. A candidate counts if its log likelihood ratio
+    """``sample`` labelled strings per kind, those of the least hashes, train an automaton, each as a whole: their
+    first ``tree`` characters as the tree that is folded, so that its size is bounded, and the others by following
+    the folded states. ``alpha`` is the error of the compatibility test. A candidate counts if its log likelihood ratio
     is at least ``least`` in all and ``least_each`` per character."""
 
     sample: int = 400
+    tree: int = 256
     alpha: float = 0.05
     least: float = 12.0
     least_each: float = 0.5
@@ -106,13 +108,16 @@ def classes(s: str) -> str:
 class Automaton:
     """States with counts of arrivals, of ends and of moves by class; folded from a prefix tree."""
 
-    def __init__(self, strings: list[str]):
+    def __init__(self, strings: list[str], tree: int | None = None):
+        """The tree of the first ``tree`` characters; an end counts where a string ends, not at that depth."""
+        self.longer = [] if tree is None else [s for s in strings if len(s) > tree]
+        self.tree = tree
         self.moves: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [defaultdict(int)]
         self.ends = [0]
         for s in strings:
             at = 0
-            for c in s:
+            for c in s[:tree]:
                 self.count[at][c] += 1
                 if c not in self.moves[at]:
                     self.moves[at][c] = len(self.moves)
@@ -120,7 +125,8 @@ class Automaton:
                     self.count.append(defaultdict(int))
                     self.ends.append(0)
                 at = self.moves[at][c]
-            self.ends[at] += 1
+            if tree is None or len(s) <= tree:
+                self.ends[at] += 1
 
     def seen(self, q: int) -> int:
         return self.ends[q] + sum(self.count[q].values())
@@ -173,8 +179,19 @@ class Automaton:
                 self.moves[parent][c] = to
                 self.merge(to, q)
                 fresh += [(to, x) for x in sorted(self.moves[to]) if (to, x) not in fresh and self.moves[to][x] not in settled]
+        for s in self.longer:
+            self.follow(s)
         return self
 
+    def follow(self, s: str) -> None:
+        """Counts what lies beyond the tree along the folded states; an unseen move leads to the first state."""
+        at = 0
+        for i, c in enumerate(s):
+            if i >= self.tree:
+                self.count[at][c] += 1
+            at = self.moves[at].get(c, 0)
+        self.ends[at] += 1
+
     def log_likelihood(self, s: str) -> float:
         """Natural log of the probability of a string; unseen moves get half a count each."""
         at, total = 0, 0.0
@@ -230,9 +247,9 @@ def learn(docs: DataFrame, text: str = "text", settings: Settings = Settings())
     strings = []
     for k in range(4):  # the last are the ordinary words
         rows = found.filter(F.col("kind") == k).orderBy(F.md5("secret"), "secret").limit(settings.sample).collect()
-        strings.append([classes(r["secret"][:256]) for r in rows])
+        strings.append([classes(r["secret"]) for r in rows])
     words = strings.pop()
-    return Model([Automaton(s).fold(settings.alpha) for s in strings if s], Automaton(words).fold(settings.alpha), settings)
+    return Model([Automaton(s, settings.tree).fold(settings.alpha) for s in strings if s], Automaton(words).fold(settings.alpha), settings)
 
 
 def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:

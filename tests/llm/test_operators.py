@@ -181,6 +181,22 @@ def test_bare_keys_of_any_characters_are_found_however_many(spark, share):
     assert sum(len(found[k]) for k in found if k not in planted) <= 2
 
 
+def test_long_strings_train_the_automata_as_a_whole(spark):
+    rng = random.Random(9)
+    secrets = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in [300] * 30 + [40] * 30]
+    frame = spark.createDataFrame(list(enumerate(secrets)), "doc_id bigint, text string")
+    a = secretscan.learn(frame).kinds[0]
+    todo, seen = [0], {0}  # the states that are left after folding
+    while todo:
+        new = set(a.moves[todo.pop()].values()) - seen
+        seen |= new
+        todo += new
+    assert sum(sum(a.count[q].values()) for q in seen) == sum(map(len, secrets))
+    assert sum(a.ends[q] for q in seen) == len(secrets)
+    cut = secretscan.Automaton([secretscan.classes(x) for x in secrets], 256)
+    assert sum(cut.ends) == 30  # none at the cut
+
+
 def test_candidates_lose_nothing_beside_plain_spans():
     bare, hexes = "AbCdEfGhIjKlMnOpQrSt", "0123456789abcdef0"
     text = f"{bare}-{hexes} x {hexes} y {bare}_password=Abcdefghijkl1 z {bare}"
