@@ -47,8 +47,12 @@ def daily_spend(spend: DataFrame) -> DataFrame:
 def daily_installs_pivot(daily: DataFrame, sources: Sequence[str] | None = None) -> DataFrame:
     """One row per day and platform, one column per source, 0 where there was none.
 
-    Name the sources to save the extra job that finds them.
+    Name the sources to save the extra job that finds them. A source that is not among them, or NULL, is an
+    error, since its installs would have no column.
     """
+    if sources:
+        unlisted = F.raise_error(F.concat(F.lit("installs of a source that is not listed: "), F.coalesce("source", F.lit("NULL"))))
+        daily = daily.withColumn("source", F.when(F.col("source").isin(list(sources)), F.col("source")).otherwise(unlisted.cast("string")))
     pivoted = daily.groupBy("event_date", "platform").pivot("source", list(sources) if sources else None)
     wide = pivoted.agg(F.sum("installs"))
     return wide.fillna(0, subset=[c for c in wide.columns if c not in ("event_date", "platform")])

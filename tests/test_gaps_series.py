@@ -77,6 +77,18 @@ def test_share_from_pivot_equals_share_from_long_table(e, organic_in_paid):
     assert rows(series.organic_share_from_pivot(wide, organic_in_paid), *columns) == rows(series.organic_share_daily(daily, organic_in_paid), *columns)
 
 
+@pytest.mark.parametrize("other", ["Snap", None])
+def test_pivot_refuses_sources_that_are_not_listed(spark, other):
+    days = [("2024-01-01", "ios", "Meta", 2), ("2024-01-01", "ios", other, 5)]
+    daily = spark.createDataFrame(days, "event_date string, platform string, source string, installs bigint")
+    listed = series.daily_installs_pivot(daily.filter("source = 'Meta'"), ["Meta", "Organic"])
+    assert rows(listed) == [("2024-01-01", "ios", 2, 0)]
+    with pytest.raises(Exception, match=f"not listed: {other or 'NULL'}"):
+        series.daily_installs_pivot(daily, ["Meta", "Organic"]).collect()
+    with pytest.raises(Exception, match="not listed"):
+        series.organic_share_from_pivot(series.daily_installs_pivot(daily, ["Meta", "Organic"])).collect()
+
+
 def test_pivot_without_organic_column(spark):
     daily = series.daily_installs(events(spark, [(1, "2024-01-01", "install", "Meta", "m")]))
     out = series.organic_share_from_pivot(series.daily_installs_pivot(daily)).first()
