@@ -1,16 +1,16 @@
-"""Removal of repeated passages by longest-previous-factor arrays.
+"""Removal of repeated passages: whether the longest previous factor of a start reaches the limit.
 
-A byte goes if a string of ``limit`` bytes over it also starts earlier in the corpus. A start is settled by its
-longest previous factor: sorted with all others it finds, among the equal strings beside it in suffix order, one of
-a smaller position or none. To sort few suffixes instead of all:
+A byte goes if a string of ``limit`` bytes over it also starts earlier in the corpus. Only that is needed of a
+longest previous factor, so no lengths, LCP or smaller-position arrays are computed: a start is settled by the smallest
+position among the strings equal to it in ``limit`` bytes. To sort few suffixes instead of all:
 
 1. Every window of ``limit`` bytes is dealt to its anchor, the least hash among its k-grams. Windows with one anchor
    lie side by side, and equal windows have equal anchors. One row per anchor, about one per 35 bytes, carries the hash
    of the k-gram, the hash of the whole stretch of its windows and the position.
 2. Rows of one k-gram meet in order of position. A stretch that was there before is repeated whole; a k-gram that is
    nowhere else has no repeated window. What is left are k-grams with several stretches: edges of copies.
-3. Only for those the bytes are fetched. Their windows are sorted as suffixes within the k-gram, and the previous
-   and next smaller positions in suffix order give the earlier matches. K-grams with very many stretches, such as
+3. Only for those the bytes are fetched. Their windows are sorted as suffixes within the k-gram, and the smallest
+   position of each run of equal windows gives the earlier matches. K-grams with very many stretches, such as
    an edge of a line of every page, take the same test by window hash with map-side minima instead, spread over all tasks.
 4. The repeated stretches are merged per document and cut out.
 """
@@ -155,7 +155,7 @@ def _open_bytes(rows: DataFrame, open_: DataFrame) -> DataFrame:
 def previous_factor(order: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Whether each suffix has an earlier one in common: positions ``order`` in suffix order, and
     ``common[k]``, whether suffixes k and k + 1 share the limit. A suffix has an earlier match if the smallest
-    position of its run, its previous or next smaller one in the end, is not its own."""
+    position of its run is not its own."""
     run = np.concatenate([[0], np.cumsum(~common)]) if len(order) else np.zeros(0, np.int64)
     starts = np.flatnonzero(np.diff(run, prepend=-1))
     return order > np.minimum.reduceat(order, starts)[run] if len(order) else np.zeros(0, bool)
