@@ -1,5 +1,7 @@
 """DuckDB SQL that gives the rows of the queries by plain joins and aggregates."""
 
+from funnelworks.llm.licensescan import BAND, SHARE, TEMPLATES
+
 _WS = r"[\x20\x09-\x0D]"
 _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -114,7 +116,73 @@ def jaccard_cte(docs: str) -> str:
 OP9 = f"""WITH RECURSIVE {jaccard_cte("documents")}
 SELECT doc_id, n_shingles, component_id FROM comp"""
 
+_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+_CRC = """list_reduce([ord(x) FOR x IN string_split(conv_id::VARCHAR, '')], lambda a, b:
+    list_reduce(range(8), lambda c, i: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END), xor(a, b)), 4294967295)"""
+
+OP11 = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor({_CRC}, 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+parts AS (SELECT conv_id, 0 AS part, pos, said FROM heads JOIN (SELECT conv_id AS base, pos, said FROM turns) USING (base) WHERE pos <= h
+          UNION ALL SELECT conv_id, 1, pos, said FROM heads JOIN turns USING (conv_id) WHERE pos > h),
+whole AS (SELECT conv_id, coalesce(says, []) AS says FROM heads LEFT JOIN
+          (SELECT conv_id, list(said ORDER BY part, pos) AS says FROM parts GROUP BY 1) USING (conv_id)),
+path AS (SELECT conv_id, says, unnest(range(0, len(says) + 1)) AS depth FROM whole),
+named AS (SELECT conv_id, depth, len(says) AS n, list_slice(says, 1, depth) AS node, CASE WHEN depth > 0 THEN list_slice(says, 1, depth - 1) END AS up FROM path),
+nodes AS (SELECT node, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256,
+  CASE WHEN any_value(depth) = 0 THEN 0 ELSE (count(*) - 1) * length(any_value(node[depth].text)) END AS own FROM named GROUP BY node),
+kids AS (SELECT up AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids ON nodes.node = kids.node),
+below AS (SELECT unnest(range(0, depth + 1)) AS up_to, node, n_children, own FROM counted),
+sums AS (SELECT list_slice(node, 1, up_to) AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM below GROUP BY 1)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM counted c JOIN sums ON c.node = sums.node LEFT JOIN nodes p ON c.up = p.node"""
+
+
+def _templates() -> str:
+    rows = ", ".join(f"({n}, '{t.label}', {t.phrase}, {t.k}, {t.words!r})" for n, t in enumerate(TEMPLATES))
+    return f"(VALUES {rows}) AS v(template, label, phrase, k, ws)"
+
+
+OP12 = f"""
+WITH given AS (SELECT *, len(ws) - k + 1 AS grams FROM {_templates()}),
+tg AS (SELECT template, k, i - 1 AS place, list_slice(ws, i, i + k - 1) AS g FROM (SELECT *, unnest(range(1, grams + 1)) AS i FROM given)),
+w AS (SELECT doc_id, regexp_extract_all({_fold("coalesce(text, '')")}, {_WORDS}) AS ws FROM documents),
+dg AS (SELECT doc_id, k, i - 1 AS pos, list_slice(ws, i, i + k - 1) AS g FROM
+       (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT DISTINCT k FROM given))),
+vote AS (SELECT DISTINCT doc_id, template, pos - place AS diagonal, place FROM dg JOIN tg USING (k, g)),
+phrases AS (SELECT doc_id, label, diagonal FROM (SELECT doc_id, template, diagonal, count(*) AS n FROM vote GROUP BY ALL)
+            JOIN given USING (template) WHERE phrase AND n = grams),
+merged AS (SELECT a.doc_id, a.template, a.diagonal, count(DISTINCT b.place) AS n FROM (SELECT DISTINCT doc_id, template, diagonal FROM vote) a
+           JOIN vote b ON a.doc_id = b.doc_id AND a.template = b.template AND abs(a.diagonal - b.diagonal) <= {BAND} GROUP BY ALL),
+notices AS (SELECT doc_id, label, n::DOUBLE / grams AS share FROM merged JOIN given USING (template) WHERE NOT phrase AND n::DOUBLE / grams >= {SHARE}),
+base AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word,
+                string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM phrases GROUP BY 1),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM
+          (SELECT doc_id, label, 1.0 AS share FROM phrases UNION ALL SELECT doc_id, label, share FROM notices) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)"""
+
+OP13 = f"""
+WITH dt AS (SELECT doc_id, unnest(regexp_extract_all({_fold("text")}, {_WORDS})) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY 1, 2),
+ln AS (SELECT doc_id, count(*) AS n FROM dt GROUP BY 1),
+tot AS (SELECT count(*) AS nn, sum(n)::BIGINT AS l FROM ln),
+it AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_fold("text")}, {_WORDS})) AS term FROM benchmark),
+wt AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), tot),
+m AS (SELECT doc_id, 100 - 50 + ((50 * n * nn) // l) AS m FROM ln, tot),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM it JOIN tf USING (term) JOIN wt USING (term) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50"""
+
 ORACLES = {
+    "op11_prefix_trie": OP11, "op12_license_scan": OP12, "op13_lexical_search": OP13,
     "op9_ngram_jaccard_join": OP9,
     "op5_line_dedup": OP5, "op7_chat_formatting": OP7, "op8_benchmark_decontamination": OP8, "op10_quality_rules": OP10,
 }

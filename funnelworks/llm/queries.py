@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.llm import chat, decontaminate, huffman, linededup, lpf, maxent, ngramjoin, packing, quality, secretscan
+from funnelworks.llm import (
+    chat, decontaminate, huffman, lexscan, licensescan, linededup, lpf, maxent, ngramjoin, packing, prefixtrie, quality, secretscan)
 from funnelworks.llm.ship import ship
 
 
@@ -100,6 +101,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixtrie.turn_table(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    nodes = prefixtrie.prefix_trie(prefixtrie.rebuilt(turns))
+    return nodes.select(F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children",
+                        "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licensescan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["phrase"])
+
+    def labels(spans):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    starts = F.transform(base, lambda s: s["start"].cast("bigint"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lexscan.rank(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_packing, op3_suffix_array_dedup, op4_secret_scan, op5_line_dedup, op6_token_id_output, op7_chat_formatting,
-    op8_benchmark_decontamination, op9_ngram_jaccard_join, op10_quality_rules)}
+    op8_benchmark_decontamination, op9_ngram_jaccard_join, op10_quality_rules, op11_prefix_trie, op12_license_scan, op13_lexical_search)}
