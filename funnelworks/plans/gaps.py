@@ -25,11 +25,8 @@ def install_users(events: DataFrame, profiles: DataFrame) -> DataFrame:
     Both sides are counted per key first and the counts multiplied, so a user with many installs
     and many profile rows never has all their pairs written out. NULL keys match each other.
     """
-    installs = (
-        events.filter(F.col("event_name") == "install")
-        .groupBy("user_id", "platform", "source")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+    rows = F.sum("n_events") if "n_events" in events.columns else F.count(F.lit(1))  # user-days stand for several events
+    installs = events.filter(F.col("event_name") == "install").groupBy("user_id", "platform", "source").agg(rows.alias("rows"))
     consent = F.col("tracking_enabled")
     bucket = F.when(consent, TRACKING_ON).when(~consent, TRACKING_OFF).otherwise(UNKNOWN)
     known = (

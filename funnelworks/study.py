@@ -16,6 +16,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from funnelworks.operators import BalanceIndex, user_days
 from funnelworks.plans import channel, extensions, gaps, ltv, model, roles, series
 from funnelworks.sources import Tables, materialise, read_tables, table_profile
 
@@ -34,11 +35,12 @@ class Settings:
 
 
 class Study:
-    """Frames that several reports share. All are lazy but the data set, the model and its scores,
-    which are written or fitted when first needed and then reused.
+    """Frames that several reports share. All are lazy but the user-days, the balance index, the data set, the
+    model and its scores, which are written or fitted when first needed and then reused.
 
-    Reports read installs and registrations only, a small part of all events. With ``extract`` these
-    are written to the checkpoint folder once, so that many reports need one scan of all events.
+    A report that looks at events or transactions from several sides reads the user-days and the index, so each of
+    the two large tables is scanned once. With ``extract`` every report reads the user-days, so that a run of many
+    reports needs one scan of all events.
     """
 
     def __init__(self, tables: Tables, settings: Settings = Settings(), extract: bool = False):
@@ -46,16 +48,24 @@ class Study:
         self.tables = tables
         self.events, self.spend, self.profiles, self.tx, self.skan = tables
         if extract:
-            self.events = materialise(self.events.filter(F.col("event_name").isin("install", "registration")), "conversions")
+            self.events = self.days
+
+    @cached_property
+    def days(self) -> DataFrame:
+        return materialise(user_days(self.events), "user-days")
+
+    @cached_property
+    def index(self) -> BalanceIndex:
+        return ltv.account_index(self.tx, self.days).written()
 
     # Channel performance and roles.
     @cached_property
     def registrations(self) -> DataFrame:
-        return channel.first_registration(self.events)
+        return channel.first_registration(self.days)
 
     @cached_property
     def user_revenue(self) -> DataFrame:
-        return channel.user_revenue(self.registrations, self.tx)
+        return self.index.fees({"revenue_30d": ("reg_date", "reg_end")})
 
     @cached_property
     def campaign_revenue(self) -> DataFrame:
@@ -63,7 +73,7 @@ class Study:
 
     @cached_property
     def campaigns(self) -> DataFrame:
-        return channel.campaign_stats(channel.panel_rows(self.events, self.spend), self.campaign_revenue)
+        return channel.campaign_stats(channel.panel_rows(self.days, self.spend), self.campaign_revenue)
 
     @cached_property
     def channels(self) -> DataFrame:
@@ -115,13 +125,18 @@ class Study:
     def eligible(self) -> DataFrame:
         return ltv.eligible_installs(ltv.user_journeys(self.events), self.tx)
 
+    @cached_property
+    def matured(self) -> DataFrame:
+        """The eligible users once more, from the user-days and the index."""
+        return ltv.with_whole_window(ltv.user_journeys(self.days), self.index.last_instant())
+
     @cached_property
     def accounts(self) -> DataFrame:
-        return ltv.account_summary(self.tx, self.eligible)
+        return ltv.with_whole_window(ltv.summary_of(self.index), self.index.last_instant()).drop("install_date")
 
     @cached_property
     def features(self) -> DataFrame:
-        return ltv.ltv_features(self.eligible, self.spend, self.accounts, self.profiles)
+        return ltv.ltv_features(self.matured, self.spend, self.accounts, self.profiles)
 
     @cached_property
     def data(self) -> DataFrame:
@@ -170,7 +185,7 @@ RELATIONAL: dict[str, Report] = {
     "spend_daily_campaign": lambda s: channel.spend_daily_campaign(s.spend),
     "panel_keys": lambda s: channel.panel_keys(s.events, s.spend),
     "panel_daily_kpi": lambda s: channel.panel_daily_kpi(s.events, s.spend),
-    "first_registration": lambda s: s.registrations,
+    "first_registration": lambda s: channel.first_registration(s.events),
     "user_revenue_30d": lambda s: s.user_revenue,
     "revenue_by_campaign": lambda s: s.campaign_revenue,
     "campaign_stats": lambda s: s.campaigns,
@@ -213,7 +228,7 @@ RELATIONAL: dict[str, Report] = {
     "media_bubble": lambda s: roles.media_bubble(s.roles),
     # Lifetime value.
     "eligible_installs": lambda s: s.eligible.drop("reg_date"),
-    "ltv_labels": lambda s: ltv.ltv_labels(s.eligible, s.accounts),
+    "ltv_labels": lambda s: ltv.ltv_labels(s.matured, s.accounts),
     "campaign_media_features": lambda s: ltv.campaign_media_features(s.spend),
     "registration_features": lambda s: ltv.registration_features(s.eligible).select(
         "user_id", "install_date", "reg_date", "reg_within_14d", "days_to_reg"

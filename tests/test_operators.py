@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from funnelworks.operators import (
-    exact_quantiles, first_event, lag_correlation, mix_share, modes, null_safe_join, organic_paid_ratio,
-    rolling_zscore, shift_fit, top_extremes, with_row_index,
+    exact_quantiles, first_event, hot_keys, lag_correlation, mix_share, modes, null_safe_join, organic_paid_ratio,
+    rolling_zscore, salted_join, shift_fit, top_extremes, user_days, with_row_index,
 )
 from tests.frames import events, rows, ts
 
@@ -37,6 +39,59 @@ def test_null_keys_match_in_null_safe_join(spark):
     assert rows(null_safe_join(left, right, ["k", "l"])) == [(None, "x", 1), ("a", None, 2), ("b", "y", None)]
 
 
+def test_salted_join_spreads_a_hot_null_key_and_keeps_the_rows(spark):
+    """Nine of ten rows lie on (Organic, NULL)."""
+    left = spark.range(20_000).select(
+        "id", F.when(F.col("id") % 10 > 0, "Organic").otherwise(F.concat(F.lit("c"), F.col("id") % 977)).alias("channel"),
+        F.when(F.col("id") % 10 > 0, None).otherwise((F.col("id") % 31).cast("string")).alias("campaign"))
+    right = left.select("channel", "campaign").distinct().filter("channel <> 'c5'").withColumn("v", F.xxhash64("channel", "campaign"))
+    for key, value in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}.items():
+        spark.conf.set(key, value)
+    try:
+        assert len(hot_keys(left, ["channel", "campaign"])) == 1
+        out = salted_join(left, right, ["channel", "campaign"])
+        per_task = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        assert len(per_task) == 16 and per_task[-1] < 3 * per_task[8]
+        plain = null_safe_join(left, right, ["channel", "campaign"])
+        assert out.columns == plain.columns
+        assert out.exceptAll(plain).count() == 0 and plain.exceptAll(out).count() == 0
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_salted_join_without_hot_keys_is_a_plain_one(spark):
+    left = spark.createDataFrame([(None, 1)], "k string, a int")
+    assert rows(salted_join(left, spark.createDataFrame([(None, 2)], "k string, b int"), ["k"], hot=[])) == [(None, 1, 2)]
+    assert hot_keys(left.limit(0), ["k"]) == []
+
+
+@pytest.mark.parametrize("tie", ["bigint", "string", None])
+def test_user_days_keep_first_events_and_counts(spark, tie):
+    rng = random.Random(8)
+    base = datetime(1969, 12, 30)
+    data = []
+    for i in range(400):
+        at = None if rng.random() < 0.1 else base + timedelta(minutes=rng.randrange(0, 4 * 1440, 180), microseconds=rng.choice([0, 1]))
+        data.append((i - 200, rng.choice([1, 2, None]), at, rng.choice(["install", "registration", "click"]), rng.choice(["Meta", None]), None, "ios", "NL"))
+    rng.shuffle(data)
+    e = spark.createDataFrame(data, "event_id long, user_id long, event_timestamp timestamp_ntz, event_name string, source string, campaign_id string, platform string, country string")
+    e = e.drop("event_id") if tie is None else e.withColumn("event_id", F.col("event_id").cast(tie))
+    days = user_days(e.repartition(3))
+    expected: dict = {}
+    n: Counter = Counter()
+    for i, user, at, kind, source, *_ in data:
+        if kind == "click":
+            continue
+        key = (kind, user, at and at.date(), source)
+        first = (at or base, i if tie == "bigint" else str(i) if tie else 0)
+        expected[key], n[key] = min(expected.get(key, first), first), n[key] + 1
+    got = {(r["event_name"], r["user_id"], r["event_date"], r["source"]): (r["event_timestamp"] or base, r["event_id"] if tie else 0, r["n_events"]) for r in days.collect()}
+    assert got == {k: (*v, n[k]) for k, v in expected.items()}
+    assert user_days(days) is days
+
+
 def series(spark, values, group="g"):
     data = [(group, ts(f"2024-01-{i + 1:02d}").date(), x, y) for i, (x, y) in enumerate(values)]
     return spark.createDataFrame(data, "platform string, event_date date, x double, y double")
