@@ -7,6 +7,10 @@ because the engines' own rounding functions treat an exact half differently.
 
 from __future__ import annotations
 
+from pathlib import Path
+
+from funnelworks.plans.forest import Forest
+
 _CHANNEL_CASE = """CASE {k} WHEN 0 THEN 'Organic' WHEN 1 THEN 'Organic' WHEN 2 THEN 'Google Brand Search'
         WHEN 3 THEN 'Google Non-Brand Search' WHEN 4 THEN 'Google App Campaigns' WHEN 5 THEN 'Meta'
         WHEN 6 THEN 'TikTok' ELSE 'Referral' END"""
@@ -46,6 +50,39 @@ def _fees(windows: str, start: str, end: str, name: str) -> str:
         GROUP BY user_id"""
 
 
+
+_NUMERIC = ["days_to_reg", "camp_CTR", "camp_CPM", "camp_CPC", "tx_count", "dep_sum", "dep_cnt", "wdr_sum", "wdr_cnt", "bal_max", "bal_mean",
+            "bal_last", "net_flow", "age", "rev_0_14"]
+_CATEGORICAL = ["platform", "channel", "campaign_id", "country", "reg_within_14d", "platform_norm", "channel_platform", "gender", "tracking_enabled"]
+_FOREST = Forest.from_json((Path(__file__).parent / "forest.json").read_text()).sql()
+_REPEATS = 5
+
+
+def _r2(truth: str, predicted: str) -> str:
+    return f"1 - sum(({truth} - {predicted}) * ({truth} - {predicted})) / nullif(var_pop({truth}) * count({truth}), 0)"
+
+
+def _importance() -> str:
+    """Each feature of the test rows taken from another row, as one list of rows per (feature, repeat)."""
+    features = [*_NUMERIC, *_CATEGORICAL]
+    moved = ", ".join(f"CASE WHEN f.feature = '{c}' THEN d.{c} ELSE t.{c} END AS {c}" for c in features)
+    # The permutations of the library: their numbers depend on the number of test rows alone.
+    factors = f"""SELECT r, size, list_filter(range(first, 2 * size + 2), lambda a: gcd(a, size) = 1)[1] % size AS a, (42 + 7919 * (r + 1)) % size AS b
+        FROM (SELECT r, size, greatest(1, floor(size * ((42 + r) * 0.6180339887498949::DOUBLE - floor((42 + r) * 0.6180339887498949::DOUBLE))))::BIGINT AS first
+              FROM range({_REPEATS}) x(r), (SELECT count(*) AS size FROM test_rows))"""
+    return f"""
+        SELECT feature, floor(CAST(avg(base - shuffled) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS importance_mean,
+               floor(CAST(stddev_pop(base - shuffled) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS importance_std
+        FROM (SELECT feature, r, {_r2('truth', 'p')} AS shuffled FROM
+                (SELECT feature, r, truth, {_FOREST} AS p FROM
+                  (SELECT f.feature, m.r, ln(1 + t.y_rev_14_H) AS truth, {moved}
+                   FROM test_rows t, (SELECT unnest({features!r}) AS feature) f, ({factors}) m
+                   JOIN test_rows d ON d.slot = (m.a * t.slot + m.b) % m.size))
+              GROUP BY feature, r),
+             (SELECT {_r2('truth', 'p')} AS base FROM (SELECT ln(1 + y_rev_14_H) AS truth, {_FOREST} AS p FROM test_rows))
+        GROUP BY feature"""
+
+
 # name -> (blocks it reads, SQL)
 _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "app_events": ((), f"""
@@ -274,6 +311,11 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT f.*, l.y_rev_14_H, l.rev_0_14,
                row_number() OVER (ORDER BY f.install_date, f.user_id) <= CAST(floor(0.8 * count(*) OVER ()) AS BIGINT) AS is_train
         FROM features f JOIN labels_u l ON f.user_id IS NOT DISTINCT FROM l.user_id"""),
+    "test_rows": (("dataset",), """
+        SELECT *, row_number() OVER (ORDER BY install_date, user_id) - 1 AS slot FROM dataset WHERE NOT is_train"""),
+    "forest_scored": (("test_rows",), f"""
+        SELECT user_id, channel, campaign_id, y_true, y_pred, y_true - y_pred AS residual
+        FROM (SELECT user_id, channel, campaign_id, y_rev_14_H AS y_true, exp({_FOREST}) - 1 AS y_pred FROM test_rows)"""),
     "scored": (("dataset",), """
         SELECT user_id, channel, campaign_id, y_rev_14_H AS y_true, rev_0_14 * 2 AS y_pred, y_rev_14_H - rev_0_14 * 2 AS residual
         FROM dataset WHERE NOT is_train"""),
@@ -415,6 +457,8 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     ) + " FROM installs_dps GROUP BY event_date, platform"),
     "organic_share_daily": (("organic_d",), f"""
         SELECT event_date, platform, {_big('organic_installs')}, CAST(organic_installs + paid_only AS BIGINT) AS paid_installs, floor(CAST(share_published AS DOUBLE) * 1e6 + 0.5) / 1e6 AS organic_share FROM organic_d"""),
+    "organic_share_from_pivot": (("organic_d",), f"""
+        SELECT event_date, platform, {_big('organic_installs')}, CAST(organic_installs + paid_only AS BIGINT) AS paid_installs, floor(CAST(share_published AS DOUBLE) * 1e6 + 0.5) / 1e6 AS organic_share FROM organic_d"""),
     "organic_share_daily_fixed": (("organic_d",), f"""
         SELECT event_date, platform, {_big('organic_installs')}, CAST(paid_only AS BIGINT) AS paid_installs, floor(CAST(share_fixed AS DOUBLE) * 1e6 + 0.5) / 1e6 AS organic_share FROM organic_d"""),
     "lag_corr_spend_organic": (("organic_ts",), _lag_table("lag")),
@@ -475,6 +519,17 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT user_id, {_big('tx_count', 'dep_cnt', 'wdr_cnt')}, {_round('dep_sum', 'wdr_sum', 'bal_max', 'bal_mean', 'bal_last', 'net_flow')} FROM tx_feat"""),
     "ltv_features": (("features",), f"SELECT {_FEATURE_SELECT} FROM features"),
     "ltv_dataset": (("dataset",), f"SELECT {_FEATURE_SELECT}, {_round('y_rev_14_H', 'rev_0_14')}, is_train FROM dataset"),
+    "ltv_fill_values": (("dataset",), " UNION ALL ".join(
+        [f"SELECT '{c}' AS feature, floor(CAST(median(CAST({c} AS DOUBLE)) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS median, NULL::VARCHAR AS mode, NULL::BIGINT AS levels "
+         f"FROM dataset WHERE is_train HAVING count({c}) > 0" for c in _NUMERIC]
+        + [f"SELECT '{c}', NULL::DOUBLE, level, levels FROM (SELECT CAST({c} AS VARCHAR) AS level, count(*) OVER () AS levels, count(*) AS n "
+           f"FROM dataset WHERE is_train AND {c} IS NOT NULL GROUP BY 1 QUALIFY row_number() OVER (ORDER BY n DESC, level) = 1)" for c in _CATEGORICAL])),
+    "ltv_scores_fixed_forest": (("forest_scored",), f"SELECT user_id, channel, campaign_id, {_round('y_true', 'y_pred', 'residual')} FROM forest_scored"),
+    "ltv_model_metrics_fixed_score": (("forest_scored",), f"""
+        SELECT {_round('mae', 'rmse', 'r2_log')}, n FROM (
+          SELECT avg(abs(residual)) AS mae, sqrt(avg(residual * residual)) AS rmse, {_r2('ln(1 + y_true)', 'ln(1 + y_pred)')} AS r2_log, count(*) AS n FROM forest_scored)"""),
+    "median_model_mae_fixed_score": (("forest_scored",), f"SELECT {_round('mae')}, n FROM (SELECT avg(abs(residual)) AS mae, count(*) AS n FROM forest_scored)"),
+    "ltv_feature_importance_fixed_score": (("test_rows",), _importance()),
     "residuals_by_channel_fixed_score": (("scored",), """
         SELECT channel, floor(CAST(avg(residual) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS mean_resid, floor(CAST(median(residual) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS median_resid, count(*) AS n
         FROM scored WHERE channel IS NOT NULL GROUP BY channel"""),

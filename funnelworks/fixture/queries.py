@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from funnelworks.fixture.bindings import SOURCES, bound_tables
 from funnelworks.plans import extensions, ltv, model
+from funnelworks.plans.forest import Forest
 from funnelworks.study import MODELLED, RELATIONAL, Report, Settings, Study
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +45,21 @@ def _fixed_over_cac(s: Study) -> DataFrame:
     return model.ltv_over_cac(model.channel_value(_fixed_score(s)), s.channels)
 
 
-# What is read off a model, fed with the fixed score so that it can be checked.
+def fixed_forest() -> Forest:
+    """A small saved forest whose scores SQL can repeat."""
+    return Forest.from_json((Path(__file__).parent / "forest.json").read_text())
+
+
+def _forest_scored(s: Study) -> DataFrame:
+    return model.score(model.ForestModel(fixed_forest()), s.test)
+
+
+# What is read off a model, fed with the fixed score or the saved forest so that it can be checked.
 FIXED_SCORE: dict[str, Report] = {
+    "ltv_scores_fixed_forest": _forest_scored,
+    "ltv_model_metrics_fixed_score": lambda s: model.model_metrics(_forest_scored(s)),
+    "median_model_mae_fixed_score": lambda s: model.mean_absolute_error(_forest_scored(s)),
+    "ltv_feature_importance_fixed_score": lambda s: model.permutation_importance(model.ForestModel(fixed_forest()), s.numbered_test),
     "residuals_by_channel_fixed_score": lambda s: model.residuals_by_channel(_fixed_score(s)),
     "channel_value_fixed_score": lambda s: model.channel_value(_fixed_score(s)),
     "ltv_over_cac_fixed_score": _fixed_over_cac,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from funnelworks.functions.ratios import clip, fill
 from funnelworks.functions.text import as_text, normalised
-from funnelworks.functions.time import add_days, whole_days
+from funnelworks.functions.time import add_days, day, whole_days
 from funnelworks.operators.events import CONVERSIONS, hot_keys, null_safe_join, salted_join, tie_columns, user_days
 from funnelworks.operators.intervals import FEE_RATE, SUMS, BalanceIndex, balance_index, window_fee, within
 from funnelworks.operators.order_stats import with_row_index
@@ -169,8 +169,26 @@ def ltv_features(eligible: DataFrame, spend: DataFrame, summary: DataFrame, prof
 
 
 def time_split(df: DataFrame, order: str = "install_date", tie: str = "user_id", frac: float = TRAIN_FRACTION) -> DataFrame:
-    """Add ``row_index`` in time order and ``is_train`` for the first ``frac`` of rows."""
+    """Add ``is_train`` for the first ``frac`` of rows in time order; missing times come last.
+
+    Counts per day find the day the split falls into, and only that day's rows are sorted, by time, ``tie`` and a hash of
+    the row; all other rows are told apart by their day. ``df`` is read three times: pass a written table.
+    """
     rest = F.xxhash64(*[c for c in df.columns if c not in (order, tie)])
-    indexed = with_row_index(df, [F.col(order).asc_nulls_last(), F.col(tie).asc_nulls_last(), rest])
-    split_at = int(indexed.count() * frac)
-    return indexed.withColumn("is_train", F.col("row_index") < split_at)
+    place = F.struct(*[x for c in (F.col(order), F.col(tie)) for x in (c.isNull(), c)], rest)  # missing values last
+    date = day(F.col(order))
+    per_day = sorted(df.groupBy(date.alias("day")).count().collect(), key=lambda r: (r["day"] is None, r["day"]))  # a row per day
+    left = int(sum(r["count"] for r in per_day) * frac)
+    for r in per_day:
+        if left < r["count"]:
+            break
+        left -= r["count"]
+    else:
+        return df.withColumn("is_train", F.lit(True))
+    of_day = date.isNull() if r["day"] is None else date.eqNullSafe(F.lit(r["day"]))
+    earlier = date.isNotNull() if r["day"] is None else fill(date < F.lit(r["day"]), False)
+    if left == 0:
+        return df.withColumn("is_train", earlier)
+    sorted_day = with_row_index(df.filter(of_day).select(place.alias("place")), [F.col("place")])
+    last = sorted_day.filter(F.col("row_index") == left - 1).select("place").scalar()
+    return df.withColumn("is_train", earlier | (of_day & (place <= last)))

@@ -16,7 +16,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.operators import BalanceIndex, user_days
+from funnelworks.operators import BalanceIndex, user_days, with_row_index
 from funnelworks.plans import channel, extensions, gaps, ltv, model, roles, series
 from funnelworks.sources import Tables, materialise, read_tables, table_profile
 
@@ -140,7 +140,7 @@ class Study:
 
     @cached_property
     def data(self) -> DataFrame:
-        return ltv.time_split(self.features.drop("rev_0_H"))
+        return ltv.time_split(materialise(self.features.drop("rev_0_H"), "dataset"))
 
     @property
     def train(self) -> DataFrame:
@@ -150,6 +150,12 @@ class Study:
     def test(self) -> DataFrame:
         return self.data.filter("NOT is_train")
 
+    @cached_property
+    def numbered_test(self) -> DataFrame:
+        """Test rows with a dense ``row_index`` in order of time."""
+        rest = F.xxhash64(*[c for c in self.test.columns if c not in ltv.KEYS])
+        return with_row_index(self.test, [F.col("install_date").asc_nulls_last(), F.col("user_id").asc_nulls_last(), rest])
+
     @cached_property
     def model(self) -> model.LtvModel:
         return model.fit_ltv(self.train, max_iter=self.settings.max_iter)
@@ -202,6 +208,7 @@ RELATIONAL: dict[str, Report] = {
     "spend_daily_channel": lambda s: series.spend_daily_channel(s.spend),
     "daily_installs_pivot": lambda s: series.daily_installs_pivot(s.daily_installs, s.settings.sources),
     "organic_share_daily": lambda s: series.organic_share_daily(s.daily_installs),
+    "organic_share_from_pivot": lambda s: series.organic_share_from_pivot(series.daily_installs_pivot(s.daily_installs, s.settings.sources)),
     "organic_share_daily_fixed": lambda s: series.organic_share_daily(s.daily_installs, organic_in_paid=False),
     "lag_corr_spend_organic": lambda s: series.lag_corr_spend_organic(s.organic),
     "lag_corr_spend_organic_forward": lambda s: series.lag_corr_spend_organic(s.organic, forward=True),
@@ -235,7 +242,8 @@ RELATIONAL: dict[str, Report] = {
     ),
     "tx_features_14d": lambda s: ltv.tx_features_14d(s.accounts),
     "ltv_features": lambda s: s.features.drop("rev_0_14", "rev_0_H", ltv.TARGET),
-    "ltv_dataset": lambda s: s.data.drop("row_index"),
+    "ltv_dataset": lambda s: s.data,
+    "ltv_fill_values": lambda s: model.fill_table(s.train, *model.column_kinds(s.train, ltv.FEATURES)),
     # Methods described in words only.
     "skan_ios_value": lambda s: extensions.skan_ios_value(s.features, s.skan, s.settings.revenue_per_conversion_value),
     "halo_regression": lambda s: extensions.halo_regression(s.halo),
@@ -244,7 +252,7 @@ RELATIONAL: dict[str, Report] = {
 
 MODELLED: dict[str, Report] = {
     "ltv_model_metrics": lambda s: model.model_metrics(s.scored),
-    "ltv_feature_importance": lambda s: model.permutation_importance(s.model, s.test),
+    "ltv_feature_importance": lambda s: model.permutation_importance(s.model, s.numbered_test),
     "residuals_by_channel": lambda s: model.residuals_by_channel(s.scored),
     "channel_value": lambda s: s.value,
     "ltv_over_cac": lambda s: s.over_cac,

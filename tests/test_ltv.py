@@ -91,20 +91,26 @@ def test_features(built):
     assert out[2, 40]["camp_CTR"] is None and out[2, 40]["tx_count"] == 0 and float(out[2, 40]["bal_max"]) == 0.0
 
 
-def test_split_is_by_time_and_dense(spark):
-    df = spark.createDataFrame([(u, ts(f"2024-01-{1 + u % 9:02d}"), u % 2) for u in range(23)], "user_id long, install_date timestamp_ntz, x int")
-    out = sorted(ltv.time_split(df.repartition(5)).collect(), key=lambda r: r["row_index"])
-    assert [r["row_index"] for r in out] == list(range(23))
-    assert [(r["install_date"], r["user_id"]) for r in out] == sorted((r["install_date"], r["user_id"]) for r in out)
-    assert [r["is_train"] for r in out] == [True] * 18 + [False] * 5
+@pytest.mark.parametrize(("n", "frac"), [(23, 0.8), (23, 0.0), (23, 1.0), (1, 0.8), (0, 0.8), (40, 0.5), (23, 0.1)])
+def test_split_is_by_time(spark, n, frac):
+    """Days with several rows, several rows of one instant, rows without a time or an id."""
+    data = [(None if u == 7 else u, None if u % 11 == 5 else ts(f"2024-01-{1 + u % 4:02d} {u % 3:02d}:00"), u % 2) for u in range(n)]
+    df = spark.createDataFrame(data, "user_id long, install_date timestamp_ntz, x int")
+    out = ltv.time_split(df.repartition(5), frac=frac).collect()
+    ordered = sorted(data, key=lambda r: (r[1] is None, r[1] or ts("2024-01-01"), r[0] is None, r[0] or 0))
+    train = {r[:2] for r in ordered[:int(n * frac)]}
+    assert len(out) == n and {(r["user_id"], r["install_date"]) for r in out if r["is_train"]} == train
+    assert sum(r["is_train"] for r in out) == int(n * frac)
 
 
 def test_dataset_columns(inputs):
     e, s, t, p = inputs
-    out = Study(Tables(e, s, p, t, None)).data
-    assert out.columns == [*ltv.KEYS, *ltv.FEATURES, ltv.TARGET, "row_index", "is_train"]
+    study = Study(Tables(e, s, p, t, None))
+    out = study.data
+    assert out.columns == [*ltv.KEYS, *ltv.FEATURES, ltv.TARGET, "is_train"]
     assert out.count() == 5 and out.filter("is_train").count() == 4
     assert out.filter(F.col("reg_within_14d").isNull()).count() == 0
+    assert [r["row_index"] for r in study.numbered_test.collect()] == [0]
 
 
 def test_rows_without_ids_still_work(inputs):

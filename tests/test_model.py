@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from funnelworks.operators import with_row_index
 from funnelworks.plans import model
+from funnelworks.plans.forest import Forest, Split
 from funnelworks.sources import materialise
 from tests.frames import rows
 
@@ -68,17 +69,16 @@ def test_unseen_levels_and_missing_values_are_scored(spark, study):
     assert out["channel"] is None and out["y_pred"] is not None and out["residual"] == pytest.approx(3.0 - out["y_pred"])
 
 
-def test_permutation_moves_are_one_to_one_and_differ(spark, study):
-    slots = spark.range(50).select(F.col("id").alias("_slot"))
-    moves = model.shuffled_slots(slots, 50, repeats=3).collect()
-    by_repeat = {}
-    for r in moves:
-        by_repeat.setdefault(r["_repeat"], {})[r["_slot"]] = r["_donor"]
-    assert set(by_repeat) == {0, 1, 2}
-    for m in by_repeat.values():
-        assert sorted(m) == sorted(m.values()) == list(range(50))
-        assert m != {i: i for i in range(50)}
-    assert by_repeat[0] != by_repeat[1]
+@pytest.mark.parametrize("size", [1, 2, 3, 24, 50, 97, 1000])
+def test_permutations_are_one_to_one_and_differ(size):
+    maps = []
+    for factor, inverse, offset in model.permutations(size, repeats=4):
+        donor = [(factor * s + offset) % size for s in range(size)]
+        assert sorted(donor) == list(range(size))
+        assert all((d + size - offset) * inverse % size == s for s, d in enumerate(donor))
+        maps.append(tuple(donor))
+    if size >= 50:
+        assert len(set(maps)) == 4 and all(sum(s == d for s, d in enumerate(m)) < size / 4 for m in maps)
 
 
 def test_importance_of_driver_noise_and_constant(spark, study):
@@ -90,9 +90,56 @@ def test_importance_of_driver_noise_and_constant(spark, study):
     assert out["driver"]["importance_mean"] > out["kind"]["importance_mean"] > abs(out["noise"]["importance_mean"])
 
 
-def test_median_model_trains(spark, study):
-    fitted = model.fit_ltv(study[0], FEATURES, "y", loss="absolute", max_iter=5)
-    assert model.mean_absolute_error(model.score(fitted, study[1], "y")).first()["mae"] > 0
+def test_median_model_reaches_the_median_of_a_skewed_target(spark):
+    """Six of ten labels are 0 whatever the features say, the others are large."""
+    rng = random.Random(7)
+    data = [(i, "Meta", None, rng.uniform(0, 5), rng.random(), 1.0, rng.choice("abc"), True, 0.0 if rng.random() < 0.6 else rng.uniform(20, 900)) for i in range(1500)]
+    train = materialise(spark.createDataFrame(data, SCHEMA), "skewed")
+    fitted = model.fit_ltv(train, FEATURES, "y", loss="absolute", max_iter=15)
+    out = fitted.predict_log(train).select(F.log1p("y").alias("t"), "prediction").agg(
+        F.median("prediction").alias("median"), F.avg((F.col("t") >= F.col("prediction") - 1e-9).cast("double")).alias("above"),
+        F.avg((F.col("t") <= F.col("prediction") + 1e-9).cast("double")).alias("below")).first()
+    assert abs(out["median"]) < 0.05
+    assert out["above"] >= 0.5 and out["below"] >= 0.5
+
+
+def test_median_model_follows_its_features(spark, study):
+    train, test, _ = study
+    fitted = model.fit_ltv(train, FEATURES, "y", loss="absolute", max_iter=12)
+    error = model.mean_absolute_error(model.score(fitted, test, "y")).first()["mae"]
+    median = test.agg(F.median("y").alias("m")).first()["m"]
+    assert error < 0.4 * test.agg(F.avg(F.abs(F.col("y") - F.lit(median))).alias("e")).first()["e"]
+
+
+def test_forest_is_the_model_as_a_column_and_as_sql(spark, study):
+    import duckdb
+
+    train, test, fitted = study
+    odd = spark.createDataFrame([(1000, None, None, None, None, None, "never seen", None, 3.0), (1001, None, None, 2.0, 0.5, 1.0, None, True, 3.0)], SCHEMA)
+    rows_ = test.drop("row_index").unionByName(odd)
+    forest = fitted.forest()
+    assert len(forest.trees) == 12 and {s.level for t in forest.trees for s in splits(t)} - {None}
+    again = Forest.from_json(forest.to_json())
+    assert again == forest
+    theirs = {r["user_id"]: r["prediction"] for r in fitted.predict_log(rows_).collect()}
+    mine = {r["user_id"]: r["prediction"] for r in model.ForestModel(again).predict_log(rows_).collect()}
+    assert mine == pytest.approx(theirs, abs=1e-12)
+    scored = rows_.toArrow()
+    got = duckdb.connect().execute(f"SELECT user_id, {forest.sql()} FROM scored").fetchall()
+    assert dict(got) == pytest.approx(theirs, abs=1e-12) and len(scored) == len(got)
+
+
+def splits(node):
+    if isinstance(node, Split):
+        yield node
+        yield from splits(node.yes)
+        yield from splits(node.no)
+
+
+def test_too_many_levels_are_refused_before_they_are_collected(spark, monkeypatch):
+    monkeypatch.setattr(model, "MAX_LEVELS", 2)
+    with pytest.raises(ValueError, match="kind"):
+        model.fit_ltv(invented(spark, 30, 1), FEATURES, "y", max_iter=1)
 
 
 def test_reports_from_scores(spark):
