@@ -6,8 +6,9 @@ a start of the template there. Votes are counted per diagonal, and since an inse
 what follows to a neighbouring diagonal, those within ``BAND`` words are merged. A span is verified by the share of
 its template's k-grams that it holds: all of a short phrase, ``SHARE`` of a longer notice.
 
-The templates are a short fixed list, so they are sent to all executors; the join drops nearly all k-grams before
-anything is shuffled. Each document is read once.
+The templates are a short list, so they are sent to all executors, and their hashes stand in the plan as a set: all
+rolling hashes are tested against it where the text is read, and those that meet a template are joined with its
+positions before anything is shuffled. Each document is read once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,7 +68,7 @@ TEMPLATES = (
 BAND = 6  # words that may be inserted or dropped within a notice
 SHARE = 0.7  # of a notice's k-grams
 MAX_GRAMS = 126  # of a template; two longs hold its votes
-MAX_WORDS = 100_000  # of all templates, which are sent to every executor
+MAX_WORDS = 10_000  # of all templates, which are sent to every executor
 DOCUMENT = -1  # the template number of rows that stand for documents
 
 
@@ -81,14 +83,15 @@ def template_grams(spark, templates: Sequence[Template]) -> DataFrame:
     if len(rows) > MAX_WORDS:
         raise ValueError(f"templates of more than {MAX_WORDS} words are not sent to every executor")
     frame = spark.createDataFrame(rows, "template int, at int, g array<string>")
-    return frame.withColumn("h", F.xxhash64("g"))
+    hashes = {k: F.xxhash64(*(F.get("g", F.lit(n)) for n in range(k))) for k in sorted({t.k for t in templates})}
+    return frame.withColumn("h", reduce(lambda a, k: a.when(F.size("g") == k, hashes[k]), hashes, F))
 
 
-def _grams(words: Column, k: int) -> Column:
-    """(pos, g, h) of every run of ``k`` words."""
-    at = F.sequence(F.lit(1), F.size(words) - k + 1)
-    cut = F.transform(at, lambda i: C.let(F.slice(words, i, k), lambda g: F.struct((i - 1).alias("pos"), F.xxhash64(g).alias("h"), g.alias("g"))))
-    return F.when(F.size(words) >= k, cut).otherwise(F.array().cast("array<struct<pos:int,h:bigint,g:array<string>>>"))
+def _grams(words: Column, k: int, known: Sequence[int]) -> Column:
+    """(pos, h, g) of the runs of ``k`` words whose hash is ``known``; words are copied for those alone."""
+    met = F.transform(C.grams(words, k), lambda h, i: F.when(
+        h.isin(list(known)), F.struct(i.alias("pos"), h.alias("h"), F.slice(words, i + 1, k).alias("g"))))
+    return F.filter(met, lambda x: x.isNotNull())
 
 
 def _bits(word: int) -> Column:
@@ -103,12 +106,15 @@ def votes(docs: DataFrame, id_column: str, text: str, templates: Sequence[Templa
     A row of template -1 stands for each distinct (id, text), with the number of its rows.
     """
     words = C.words(C.fold(F.col("t")), C.NOT_WORD)
-    sizes = sorted({t.k for t in templates})
+    grams = template_grams(docs.sparkSession, templates)
+    hashes: dict[int, list[int]] = {}
+    for r in grams.select(F.size("g").alias("k"), "h").distinct().collect():
+        hashes.setdefault(r["k"], []).append(r["h"])
     mark = F.array(F.struct(F.lit(0).alias("pos"), F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("array<string>").alias("g")))
-    read = C.let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), F.concat(mark, *(_grams(w, k) for k in sizes)).alias("xs")))
+    read = C.let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), F.concat(mark, *(_grams(w, k, known) for k, known in hashes.items())).alias("xs")))
     base = docs.select(C.name(id_column).alias("id"), C.text_of(text).alias("t"))
     every = base.select("id", F.xxhash64("t").alias("th"), read.alias("r")).select("id", "th", "r.n_words", F.inline("r.xs"))
-    known = F.broadcast(template_grams(docs.sparkSession, templates).withColumnsRenamed({"h": "of", "g": "words"}))
+    known = F.broadcast(grams.withColumnsRenamed({"h": "of", "g": "words"}))
     met = every.join(known, (F.col("h") == F.col("of")) & (F.col("g") == F.col("words")), "left")
     met = met.filter(F.col("h").isNull() | F.col("of").isNotNull())
     return met.groupBy("id", "th", "n_words", F.coalesce("template", F.lit(DOCUMENT)).alias("template"),
