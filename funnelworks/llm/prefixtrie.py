@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from funnelworks.llm import columns as C
 from funnelworks.sources.storage import materialise
 
-FANOUT = 4096
+FANOUT = 512
 QUEUE = 65_536  # messages held in memory before the queue spills
 TEXT_BYTES = 1_000_000  # of joined conversation ids in one row
 ROOT = b"\x00" * 16
