@@ -389,7 +389,7 @@ def _profile_table() -> str:
     for table, columns in _TYPES.items():
         view = "skan" if table == "skan_attribution_ios" else table
         parts += [
-            f"SELECT '{table}' AS table_name, '{c}' AS column_name, '{t}' AS data_type, count({c}) AS non_null, count(*) AS row_count FROM {view}"
+            f"SELECT '{table}' AS table_name, '{c}' AS column_name, '{t}' AS data_type, count({c}) AS non_null, CAST(0 AS BIGINT) AS rejected, count(*) AS row_count FROM {view}"
             for c, t in columns.items()
         ]
     return "\nUNION ALL ".join(parts)

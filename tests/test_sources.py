@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from funnelworks.operators import account_instants
 from funnelworks.plans import channel
-from funnelworks.sources import checkpoint_root, materialise, read_table, read_tables, table_profile
+from funnelworks.sources import REJECTED, checkpoint_root, materialise, read_table, read_tables, table_profile
 from funnelworks.sources.schemas import SCHEMAS
 from funnelworks.study import Study
 from tests.frames import rows, ts
@@ -86,8 +86,42 @@ def test_unknown_format_is_refused(spark, tmp_path):
 
 
 def test_profile(tables):
-    out = {r["column_name"]: (r["data_type"], r["non_null"], r["row_count"]) for r in table_profile(tables.user_profiles).collect()}
-    assert out["tracking_enabled"] == ("boolean", 1, 2) and out["user_id"] == ("string", 2, 2) and out["age"] == ("int", 1, 2)
+    out = {r["column_name"]: (r["data_type"], r["non_null"], r["rejected"], r["row_count"]) for r in table_profile(tables.user_profiles).collect()}
+    assert out["tracking_enabled"] == ("boolean", 1, 0, 2) and out["user_id"] == ("string", 2, 0, 2) and out["age"] == ("int", 1, 1, 2)
+    assert REJECTED not in out
+
+
+BAD = """date,channel,campaign_id,campaign_name,spend,impressions,clicks
+2024-01-01,Meta,m1,a,"1,234.5",10,2.5
+2024-01-02,Meta,m1,a,7,1.0,
+someday,Meta,m1,a, ,,3
+"""
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_values_that_do_not_parse_are_reported(spark, tmp_path, fmt):
+    (tmp_path / "s.csv").write_text(BAD)
+    path = str(tmp_path / "s.csv")
+    if fmt == "parquet":
+        spark.read.options(header=True).csv(path).write.parquet(str(tmp_path / "s.parquet"))
+        path = str(tmp_path / "s.parquet")
+    read = read_table(spark, path, SCHEMAS["marketing_spend"], fmt)
+    got = {r["date"]: [tuple(x) for x in r[REJECTED] or []] for r in read.collect()}
+    assert got == {ts("2024-01-01"): [("spend", "1,234.5"), ("clicks", "2.5")], ts("2024-01-02"): [], None: [("date", "someday")]}
+    counts = {r["column_name"]: r["rejected"] for r in table_profile(read).collect()}
+    assert counts == {"date": 1, "channel": 0, "campaign_id": 0, "campaign_name": 0, "spend": 1, "impressions": 0, "clicks": 1}
+    assert channel.spend_daily_campaign(read).count() == 3  # the extra column is in no one's way
+
+
+def test_values_that_do_not_parse_may_raise(spark, tmp_path):
+    (tmp_path / "s.csv").write_text(BAD)
+    read = read_table(spark, str(tmp_path / "s.csv"), SCHEMAS["marketing_spend"], on_bad="raise")
+    assert dict(read.dtypes)["spend"] == "decimal(18,4)" and REJECTED not in read.columns
+    assert read.filter("channel = 'TikTok'").select("campaign_id").count() == 0  # columns not asked for are not checked
+    with pytest.raises(Exception, match="spend cannot hold 1,234.5"):
+        read.select("spend").collect()
+    with pytest.raises(ValueError, match="report or raise"):
+        read_table(spark, str(tmp_path / "s.csv"), SCHEMAS["marketing_spend"], on_bad="ignore")
 
 
 def test_materialised_tables_live_in_the_named_folder(spark):
