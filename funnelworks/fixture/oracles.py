@@ -314,11 +314,33 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "test_rows": (("dataset",), """
         SELECT *, row_number() OVER (ORDER BY install_date, user_id) - 1 AS slot FROM dataset WHERE NOT is_train"""),
     "forest_scored": (("test_rows",), f"""
-        SELECT user_id, channel, campaign_id, y_true, y_pred, y_true - y_pred AS residual
-        FROM (SELECT user_id, channel, campaign_id, y_rev_14_H AS y_true, exp({_FOREST}) - 1 AS y_pred FROM test_rows)"""),
+        SELECT user_id, channel, campaign_id, platform, reg_within_14d, y_true, y_pred, y_true - y_pred AS residual
+        FROM (SELECT user_id, channel, campaign_id, platform, reg_within_14d, y_rev_14_H AS y_true, exp({_FOREST}) - 1 AS y_pred FROM test_rows)"""),
     "scored": (("dataset",), """
-        SELECT user_id, channel, campaign_id, y_rev_14_H AS y_true, rev_0_14 * 2 AS y_pred, y_rev_14_H - rev_0_14 * 2 AS residual
+        SELECT user_id, channel, campaign_id, platform, reg_within_14d, y_rev_14_H AS y_true, rev_0_14 * 2 AS y_pred, y_rev_14_H - rev_0_14 * 2 AS residual
         FROM dataset WHERE NOT is_train"""),
+    "by_network": (("skan_d", "app_events"), """
+        SELECT coalesce(s.event_date, c.event_date) AS event_date, coalesce(s.network, c.network) AS network,
+               coalesce(s.install_count, 0) AS skan_installs, coalesce(c.n, 0) AS lastclick_installs, coalesce(s.install_count, 0) - coalesce(c.n, 0) AS hidden_installs
+        FROM skan_d s FULL JOIN
+          (SELECT event_date, string_split(source, ' ')[1] AS network, count(DISTINCT user_id) AS n FROM app_events
+           WHERE event_name = 'install' AND platform = 'ios' AND source <> 'Organic' AND event_date IS NOT NULL GROUP BY 1, 2) c
+          ON s.event_date = c.event_date AND s.network = c.network"""),
+    "spend_dc": (("marketing_spend",), """
+        SELECT date AS event_date, channel, CAST(sum(spend) AS DOUBLE) AS spend FROM marketing_spend WHERE date IS NOT NULL AND channel IS NOT NULL GROUP BY ALL"""),
+    "channel_ts": (("organic_d", "spend_dc"), """
+        SELECT platform, channel, event_date, spend AS x, organic_installs FROM organic_d JOIN spend_dc USING (event_date) WHERE channel <> 'Organic'"""),
+    "drops": (("spend_dc", "installs_dps"), """
+        SELECT *, CASE WHEN ns >= 3 AND ms > 0 THEN spend / ms - 1 END AS spend_change, CASE WHEN ns >= 3 AND mi > 0 THEN installs / mi - 1 END AS installs_change
+        FROM (SELECT *, count(*) OVER w AS ns, avg(spend) OVER w AS ms, avg(installs) OVER w AS mi
+              FROM (SELECT s.event_date, s.channel, s.spend, coalesce(i.n, 0) AS installs FROM spend_dc s LEFT JOIN
+                     (SELECT event_date, source, sum(installs) AS n FROM installs_dps WHERE source <> 'Organic' GROUP BY ALL) i
+                     ON s.event_date = i.event_date AND s.channel = i.source)
+              WINDOW w AS (PARTITION BY channel ORDER BY event_date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))"""),
+    "registered": (("scored",), """
+        SELECT channel, avg(y_pred) AS pred_mean, median(y_pred) AS pred_median, quantile_cont(y_pred, 0.75) AS pred_p75, quantile_cont(y_pred, 0.9) AS pred_p90,
+               avg(CASE WHEN y_pred <= 1e-6 THEN 1.0 ELSE 0.0 END) AS share_zero_pred, count(*) AS n
+        FROM scored WHERE channel IS NOT NULL AND reg_within_14d GROUP BY channel"""),
     "value": (("scored",), """
         SELECT channel, avg(y_pred) AS pred_mean, median(y_pred) AS pred_median, quantile_cont(y_pred, 0.75) AS pred_p75, quantile_cont(y_pred, 0.9) AS pred_p90,
                avg(CASE WHEN y_pred <= 1e-6 THEN 1.0 ELSE 0.0 END) AS share_zero_pred, count(*) AS n
@@ -519,12 +541,43 @@ _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT user_id, {_big('tx_count', 'dep_cnt', 'wdr_cnt')}, {_round('dep_sum', 'wdr_sum', 'bal_max', 'bal_mean', 'bal_last', 'net_flow')} FROM tx_feat"""),
     "ltv_features": (("features",), f"SELECT {_FEATURE_SELECT} FROM features"),
     "ltv_dataset": (("dataset",), f"SELECT {_FEATURE_SELECT}, {_round('y_rev_14_H', 'rev_0_14')}, is_train FROM dataset"),
+    "skan_by_network": (("by_network",), f"SELECT event_date, network, {_big('skan_installs', 'lastclick_installs', 'hidden_installs')} FROM by_network"),
+    "skan_network_gap": (("by_network",), f"""
+        SELECT network, {_big('skan_installs', 'lastclick_installs', 'hidden_installs')}, floor(CAST(CAST(hidden_installs AS DOUBLE) / nullif(skan_installs, 0) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS hidden_share
+        FROM (SELECT network, sum(skan_installs) AS skan_installs, sum(lastclick_installs) AS lastclick_installs, sum(hidden_installs) AS hidden_installs FROM by_network GROUP BY network)"""),
+    "mislabelled_organic": (("by_network", "app_events"), f"""
+        SELECT event_date, {_big('organic_installs', 'hidden_installs')}, CAST(least(organic_installs, hidden_installs) AS BIGINT) AS mislabelled_installs,
+               floor(CAST(CAST(least(organic_installs, hidden_installs) AS DOUBLE) / nullif(organic_installs, 0) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS mislabelled_share
+        FROM (SELECT o.event_date, o.n AS organic_installs, coalesce(h.n, 0) AS hidden_installs
+              FROM (SELECT event_date, count(DISTINCT user_id) AS n FROM app_events
+                    WHERE event_name = 'install' AND platform = 'ios' AND source = 'Organic' AND event_date IS NOT NULL GROUP BY 1) o
+              LEFT JOIN (SELECT event_date, sum(greatest(hidden_installs, 0)) AS n FROM by_network GROUP BY 1) h ON o.event_date = h.event_date)"""),
+    "early_engagement_14d": (("eligible", "app_events"), """
+        SELECT e.user_id, """ + ", ".join(f"count(*) FILTER (WHERE a.event_name = '{k}') AS {k}s_14d" for k in ("impression", "click", "install", "registration")) + """
+        FROM eligible e LEFT JOIN app_events a ON e.user_id = a.user_id AND a.event_timestamp BETWEEN e.install_date AND e.install_date + INTERVAL 14 DAY GROUP BY e.user_id"""),
+    "lag_corr_by_channel": (("channel_ts",), " UNION ALL ".join(
+        f"SELECT platform, channel, CAST({k} AS BIGINT) AS lag_days, {_corr('x', 'y')} AS corr FROM "
+        f"(SELECT platform, channel, x, lag(organic_installs, {k}) OVER (PARTITION BY platform, channel ORDER BY event_date) AS y FROM channel_ts) GROUP BY platform, channel"
+        for k in range(15))),
+    "paid_install_drops": (("drops",), f"""
+        SELECT event_date, channel, {_round('spend')}, {_big('installs')}, {_round('spend_change', 'installs_change')},
+               coalesce(abs(spend_change) <= 0.25 AND installs_change <= -0.25, false) AS is_drop FROM drops"""),
+    "registered_value_fixed_score": (("registered",), f"SELECT {_VALUE_SELECT} FROM registered"),
+    "ltv_over_cac_by_platform_fixed_score": (("scored", "channel_kpi"), f"""
+        SELECT channel, platform, n, {_round('pred_mean', 'CAC')}, floor(CAST(pred_mean / CAC AS DOUBLE) * 1e6 + 0.5) / 1e6 AS LTV_over_CAC
+        FROM (SELECT channel, platform, avg(y_pred) AS pred_mean, count(*) AS n FROM scored WHERE channel IS NOT NULL AND platform IS NOT NULL GROUP BY 1, 2)
+        JOIN (SELECT channel, CAC FROM channel_kpi) USING (channel) WHERE CAC > 0"""),
+    "installer_sketch_bounds": (("installs_w",), "SELECT week, source, installs, true AS within_bound FROM installs_w"),
+    "amount_sketch_bounds": (("user_transactions",), """
+        SELECT CAST(date_trunc('month', transaction_timestamp) AS DATE) AS month, transaction_type, count(amount_usd) AS n,
+               true AS p50_within_bound, true AS p75_within_bound, true AS p90_within_bound
+        FROM user_transactions WHERE transaction_timestamp IS NOT NULL GROUP BY 1, 2"""),
     "ltv_fill_values": (("dataset",), " UNION ALL ".join(
         [f"SELECT '{c}' AS feature, floor(CAST(median(CAST({c} AS DOUBLE)) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS median, NULL::VARCHAR AS mode, NULL::BIGINT AS levels "
          f"FROM dataset WHERE is_train HAVING count({c}) > 0" for c in _NUMERIC]
         + [f"SELECT '{c}', NULL::DOUBLE, level, levels FROM (SELECT CAST({c} AS VARCHAR) AS level, count(*) OVER () AS levels, count(*) AS n "
            f"FROM dataset WHERE is_train AND {c} IS NOT NULL GROUP BY 1 QUALIFY row_number() OVER (ORDER BY n DESC, level) = 1)" for c in _CATEGORICAL])),
-    "ltv_scores_fixed_forest": (("forest_scored",), f"SELECT user_id, channel, campaign_id, {_round('y_true', 'y_pred', 'residual')} FROM forest_scored"),
+    "ltv_scores_fixed_forest": (("forest_scored",), f"SELECT user_id, channel, campaign_id, platform, reg_within_14d, {_round('y_true', 'y_pred', 'residual')} FROM forest_scored"),
     "ltv_model_metrics_fixed_score": (("forest_scored",), f"""
         SELECT {_round('mae', 'rmse', 'r2_log')}, n FROM (
           SELECT avg(abs(residual)) AS mae, sqrt(avg(residual * residual)) AS rmse, {_r2('ln(1 + y_true)', 'ln(1 + y_pred)')} AS r2_log, count(*) AS n FROM forest_scored)"""),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from funnelworks.fixture.bindings import SOURCES, bound_tables
+from funnelworks.operators import kll_error
 from funnelworks.plans import extensions, ltv, model
 from funnelworks.plans.forest import Forest
 from funnelworks.study import MODELLED, RELATIONAL, Report, Settings, Study
@@ -37,10 +38,32 @@ def comparable(df: DataFrame) -> DataFrame:
 def _fixed_score(s: Study) -> DataFrame:
     """Test rows with a score that SQL can repeat: twice the early revenue."""
     return model.with_residual(s.test.select(
-        "user_id", "channel", "campaign_id", F.col(ltv.TARGET).alias("y_true"), (F.col("rev_0_14") * 2).alias("y_pred")
+        "user_id", *model.GROUPING, F.col(ltv.TARGET).alias("y_true"), (F.col("rev_0_14") * 2).alias("y_pred")
     ))
 
 
+def _installer_bounds(s: Study) -> DataFrame:
+    """Weekly installers exactly and whether the merged sketches keep their bound; the estimate itself is no other engine's."""
+    estimates = extensions.installer_estimates(extensions.installer_state(s.events))
+    kept = F.abs(F.col("installers") - F.col("installs")) <= F.greatest(F.col("three_errors"), F.lit(1.0))
+    return s.weekly_installs.join(estimates, ["week", "source"], "left").select("week", "source", "installs", kept.alias("within_bound"))
+
+
+def _amount_bounds(s: Study) -> DataFrame:
+    """Monthly counts of amounts, and whether the share of values up to each merged quantile is what was asked for."""
+    estimates = extensions.amount_estimates(extensions.amount_state(s.tx))
+    month = F.trunc("transaction_timestamp", "month").alias("month")
+    rows = s.tx.filter(F.col("transaction_timestamp").isNotNull()).select(month, "transaction_type", F.col("amount_usd").cast("double").alias("amount"))
+    asked = {"p50": 0.5, "p75": 0.75, "p90": 0.9}
+
+    def kept(name: str, p: float):
+        below, upto = (F.avg(x.cast("double")) for x in (F.col("amount") < F.col(name), F.col("amount") <= F.col(name)))
+        return ((below <= p + kll_error()) & (upto >= p - kll_error())).alias(f"{name}_within_bound")
+
+    return rows.join(estimates, ["month", "transaction_type"]).groupBy("month", "transaction_type").agg(
+        F.count("amount").alias("n"), *[kept(name, p) for name, p in asked.items()])
+
+
 def _fixed_over_cac(s: Study) -> DataFrame:
     return model.ltv_over_cac(model.channel_value(_fixed_score(s)), s.channels)
 
@@ -56,6 +79,10 @@ def _forest_scored(s: Study) -> DataFrame:
 
 # What is read off a model, fed with the fixed score or the saved forest so that it can be checked.
 FIXED_SCORE: dict[str, Report] = {
+    "installer_sketch_bounds": _installer_bounds,
+    "amount_sketch_bounds": _amount_bounds,
+    "registered_value_fixed_score": lambda s: extensions.registered_value(_fixed_score(s)),
+    "ltv_over_cac_by_platform_fixed_score": lambda s: extensions.ltv_over_cac_by_platform(_fixed_score(s), s.channels),
     "ltv_scores_fixed_forest": _forest_scored,
     "ltv_model_metrics_fixed_score": lambda s: model.model_metrics(_forest_scored(s)),
     "median_model_mae_fixed_score": lambda s: model.mean_absolute_error(_forest_scored(s)),

@@ -28,6 +28,7 @@ REFIT_TREES, REFIT_STEP = 20, 0.3  # of the median model
 MAX_LEVELS = 100_000  # of all categorical features: they come to the driver, one vector position each
 REPEATS = 5
 ZERO_PREDICTION = 1e-6
+GROUPING = ("channel", "campaign_id", "platform", "reg_within_14d")  # columns of scored rows
 
 
 def column_kinds(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -175,12 +176,12 @@ def median_forest(grown: Forest, train: DataFrame, label: Column, trees: int = R
 
 
 def score(model: LtvModel | ForestModel, test: DataFrame, target: str = TARGET) -> DataFrame:
-    """True and predicted revenue per test row, with the residual."""
+    """True and predicted revenue per test row, with the residual and what reports group by."""
     # Identifiers are taken aside first: filling in features would replace missing campaign ids.
-    ids = test.withColumns({"_channel": F.col("channel"), "_campaign_id": F.col("campaign_id")})
+    kept = [c for c in GROUPING if c in test.columns]
+    ids = test.withColumns({f"_{c}": F.col(c) for c in kept})
     return with_residual(model.predict_log(ids).select(
-        "user_id", F.col("_channel").alias("channel"), F.col("_campaign_id").alias("campaign_id"),
-        F.col(target).alias("y_true"), F.expm1("prediction").alias("y_pred"),
+        "user_id", *[F.col(f"_{c}").alias(c) for c in kept], F.col(target).alias("y_true"), F.expm1("prediction").alias("y_pred"),
     ))
 
 

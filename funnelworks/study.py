@@ -47,6 +47,7 @@ class Study:
         self.settings = settings
         self.tables = tables
         self.events, self.spend, self.profiles, self.tx, self.skan = tables
+        self.all_events = self.events
         if extract:
             self.events = self.days
 
@@ -108,6 +109,10 @@ class Study:
     def postbacks(self) -> DataFrame:
         return series.skan_series(self.skan, self.events)
 
+    @cached_property
+    def by_network(self) -> DataFrame:
+        return extensions.skan_by_network(self.skan, self.events)
+
     @cached_property
     def halo(self) -> DataFrame:
         return series.halo_series(self.events, self.spend)
@@ -246,6 +251,12 @@ RELATIONAL: dict[str, Report] = {
     "ltv_fill_values": lambda s: model.fill_table(s.train, *model.column_kinds(s.train, ltv.FEATURES)),
     # Methods described in words only.
     "skan_ios_value": lambda s: extensions.skan_ios_value(s.features, s.skan, s.settings.revenue_per_conversion_value),
+    "skan_by_network": lambda s: s.by_network,
+    "skan_network_gap": lambda s: extensions.skan_network_gap(s.by_network),
+    "mislabelled_organic": lambda s: extensions.mislabelled_organic(s.by_network, s.events),
+    "early_engagement_14d": lambda s: extensions.early_engagement(s.all_events, s.eligible),
+    "lag_corr_by_channel": lambda s: extensions.lag_corr_by_channel(s.organic, series.spend_daily_channel(s.spend)),
+    "paid_install_drops": lambda s: extensions.paid_install_drops(s.daily_installs, series.spend_daily_channel(s.spend)),
     "halo_regression": lambda s: extensions.halo_regression(s.halo),
     "channel_funnel_role": lambda s: extensions.channel_funnel_role(s.channels),
 }
@@ -259,6 +270,8 @@ MODELLED: dict[str, Report] = {
     "median_model_mae": lambda s: model.mean_absolute_error(s.median_scored()),
     "predicted_payback": lambda s: extensions.predicted_payback(s.over_cac),
     "campaign_triage": lambda s: extensions.campaign_triage(s.scored, s.campaigns),
+    "registered_value": lambda s: extensions.registered_value(s.scored),
+    "ltv_over_cac_by_platform": lambda s: extensions.ltv_over_cac_by_platform(s.scored, s.channels),
 }
 
 REPORTS: dict[str, Report] = RELATIONAL | MODELLED
