@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelworks.llm import columns as C
-from funnelworks.llm.tokens import encoder, in_chunks, raw
+from funnelworks.llm.tokens import encoder, text_chunks
 from funnelworks.sources.storage import materialise
 
 STEP = 512  # ids between two checkpoints
@@ -135,9 +135,9 @@ def tokenised(docs: DataFrame, path: str, id_column: str, text: str, end: int, v
 
     def batches(it: Iterator) -> Iterator:
         for batch in it:
-            names, texts = batch.column("id"), raw(batch.column("t"))
-            for a, b in in_chunks(texts):
-                ids, bounds = encoder(path).encode(texts[a:b], end)
+            names = batch.column("id")
+            for a, b, texts in text_chunks(batch.column("t")):
+                ids, bounds = encoder(path).encode(texts, end)
                 small = ids.astype(kind)
                 out = [small[s:e].tobytes() for s, e in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([names.slice(a, b - a), pa.array(out, pa.binary())], ["id", "ids"])
@@ -154,8 +154,8 @@ def count_ids(table: DataFrame, vocabulary: int) -> np.ndarray:
     def batches(it: Iterator) -> Iterator:
         n = np.zeros(vocabulary, np.int64)
         for batch in it:
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind)
-            n += np.bincount(ids, minlength=vocabulary)
+            for _, _, texts in text_chunks(batch.column("ids")):
+                n += np.bincount(np.frombuffer(b"".join(texts), kind), minlength=vocabulary)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["token", "n"])
 
@@ -176,10 +176,9 @@ def coded_texts(table: DataFrame, lengths: np.ndarray, vocabulary: int) -> DataF
         lengths = book.value
         codes = canonical(lengths)
         for batch in it:
-            texts = batch.column("ids").to_pylist()
-            for a, b in in_chunks(texts):
-                ids = np.frombuffer(b"".join(texts[a:b]), kind)
-                bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts[a:b]])]) // np.dtype(kind).itemsize
+            for a, b, texts in text_chunks(batch.column("ids")):
+                ids = np.frombuffer(b"".join(texts), kind)
+                bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]) // np.dtype(kind).itemsize
                 bits, byte, begin = encode(ids, bounds, lengths, codes)
                 marks = [begin[s:e:STEP] - 8 * o for s, e, o in zip(bounds, bounds[1:], byte)]
                 yield pa.RecordBatch.from_arrays([
@@ -195,7 +194,8 @@ def write_coded(docs: DataFrame, path: str, id_column: str = "doc_id", text: str
     and the code book.
 
     Blocks lie in ascending order of document ids, NULL ids first; rows of equal id come in order of their
-    coded content. A block holds whole documents, so its size is bounded by ``BLOCK`` ids and one document.
+    token ids' bytes. Documents are put in order before they are coded, so that each is coded once. An empty table
+    gives no blocks. A block holds whole documents, so its size is bounded by ``BLOCK`` ids and one document.
     """
     import pyarrow as pa
     from pyspark import TaskContext
@@ -203,8 +203,7 @@ def write_coded(docs: DataFrame, path: str, id_column: str = "doc_id", text: str
     tokens = tokenised(docs, path, id_column, text, end, vocabulary)
     table = materialise(tokens, "token-ids")
     lengths = code_lengths(count_ids(table, vocabulary))
-    order = ("id", "n", "bits")
-    ranged = coded_texts(table, lengths, vocabulary).repartitionByRange("id").sortWithinPartitions(*order)
+    ranged = coded_texts(table.repartitionByRange("id").sortWithinPartitions("id", "ids"), lengths, vocabulary)
     types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
     names = ["file", "block", "first", "docs", "sizes", "checkpoints", "bits"]
 
@@ -215,15 +214,18 @@ def write_coded(docs: DataFrame, path: str, id_column: str = "doc_id", text: str
         def close():
             docs, sizes, marks, bits = zip(*held)
             bytes_before = np.cumsum([0, *map(len, bits)])
-            checkpoints = np.concatenate([np.asarray(m) + 8 * o for m, o in zip(marks, bytes_before)])
-            row = (file, block, first, docs, sizes, checkpoints, b"".join(bits))
+            checkpoints = np.concatenate([m + 8 * o for m, o in zip(marks, bytes_before)])
+            row = (file, block, first, docs, np.array(sizes), checkpoints, b"".join(bits))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
 
         size = 0
         for batch in it:
-            for x in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "checkpoints", "bits"))):
-                held.append(x)
-                size += x[1]
+            marks = batch.column("checkpoints")
+            ends, values = np.asarray(marks.offsets), np.asarray(marks.values)
+            rest = (batch.column(c).to_pylist() for c in ("id", "n", "bits"))
+            for doc, n, bits, a, b in zip(*rest, ends, ends[1:]):
+                held.append((doc, n, values[a:b].copy(), bits))
+                size += n
                 if size >= BLOCK:
                     yield close()
                     block, first, size, held = block + 1, first + size, 0, []

@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from funnelworks.llm import columns as C
-from funnelworks.llm.tokens import encoder, in_chunks, raw
+from funnelworks.llm.tokens import encoder, text_chunks
 
 TIERS = (4096, 2048, 1024, 512, 256, 128, 64)  # powers of two, longest first
 PIECES = ("id {id}, row bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, "
@@ -52,6 +52,8 @@ class Packer:
         return min((t for t in self.tiers if t >= n), default=self.tiers[0])
 
     def wait(self, rest: Rest) -> None:
+        """Keeps a copy: a view would hold the ids of a whole chunk of texts for as long as it waits."""
+        rest.ids = rest.ids.copy()
         self.waiting[self.tier_of(len(rest.ids))].append(rest)
         self.n_waiting += 1
 
@@ -151,9 +153,9 @@ def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "tex
 
         row = 0
         for batch in it:
-            names, texts = batch.column("id").to_pylist(), raw(batch.column("t"))
-            for a, b in in_chunks(texts):
-                ids, bounds = encoder(path).encode(texts[a:b], end)
+            names = batch.column("id").to_pylist()
+            for a, b, texts in text_chunks(batch.column("t")):
+                ids, bounds = encoder(path).encode(texts, end)
                 for k in range(a, b):
                     packer.add(names[k], row, ids[bounds[k - a]:bounds[k - a + 1]])
                     row += 1

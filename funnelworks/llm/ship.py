@@ -12,6 +12,9 @@ from pyspark.sql import SparkSession
 import funnelworks
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 @lru_cache(maxsize=4)
 def _ship(spark: SparkSession, application: str) -> None:
     root = Path(funnelworks.__file__).parent
@@ -23,5 +26,10 @@ def _ship(spark: SparkSession, application: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Once per application; the driver serves the archive, executors fetch it when they first need it."""
+    """Once per application; the driver serves the archive, executors fetch it when they first need it.
+
+    Rows are whole texts, so Arrow batches get 1,000 of them unless the session names a number of its own.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's default
+        spark.conf.set(BATCH_ROWS, "1000")
     _ship(spark, spark.sparkContext.applicationId)

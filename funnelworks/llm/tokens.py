@@ -20,7 +20,7 @@ import pandas as pd
 
 from funnelworks.llm import wordscan
 
-MAX_WORDS = 600_000  # distinct words a worker remembers before it starts anew; bounds its memory
+MAX_WORDS = 200_000  # distinct words a worker remembers before it starts anew; bounds its memory
 # What normaliser and splitter of word-end BPE files do to words of these characters is known.
 _PLAIN = re.compile(r"[\n\x21-\x7eÀ-ÖØ-öø-įĴ-ňŊ-ž]+")
 _PARTS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -52,6 +52,7 @@ class WordEncoder:
         return all(self._shortcut(w) == self._library(w) for w in probe)
 
     def _reset(self) -> None:
+        """Forgets all words."""
         self.index: dict[int, int] = {}  # hash of a word: its number
         self.parts: dict[str, list[int] | None] = {}
         self.flat, self.stops = np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -134,7 +135,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def in_chunks(texts: list[bytes], most: int = 4_000_000):
+def in_chunks(texts: list[bytes], most: int = 1_000_000):
     """Ranges of texts with some ``most`` bytes each; a longer text is a range by itself."""
     start, held = 0, 0
     for k, t in enumerate(texts):
@@ -146,6 +147,20 @@ def in_chunks(texts: list[bytes], most: int = 4_000_000):
         yield start, len(texts)
 
 
+def text_chunks(column, most: int = 1_000_000):
+    """(a, b, UTF-8 texts a..b) of an Arrow string column in pieces as ``in_chunks`` makes them, NULL as empty; only one
+    piece at a time is copied out of the column."""
+    import pyarrow as pa
+
+    data = column.cast(pa.large_binary())
+    ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset:data.offset + len(data) + 1]
+    start = 0
+    while start < len(data):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
+        yield start, stop, [b or b"" for b in data.slice(start, stop - start).to_pylist()]
+        start = stop
+
+
 def raw(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column, NULL as empty."""
     import pyarrow as pa

@@ -6,7 +6,6 @@ running sum over all bytes, then mixed. Distinct words share a hash with a chanc
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -21,16 +20,19 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, bits: int) -> np.ndarray:
-    out = np.ones(1 << bits, np.uint64)
-    for k in range(bits):  # doubles the known part
-        out[1 << k:2 << k] = out[:1 << k] * np.uint64(pow(base, 1 << k, 1 << 64))
-    return out
+_tables: dict[int, np.ndarray] = {}  # of each base the longest one so far
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, max(16, int(n).bit_length()))[:n]
+    """The first ``n`` powers of one of the two bases."""
+    table = _tables.get(base, np.ones(1, np.uint64))
+    if n > len(table):
+        bits = max(16, (n - 1).bit_length())
+        table = np.ones(1 << bits, np.uint64)
+        for k in range(bits):  # doubles the known part
+            table[1 << k:2 << k] = table[:1 << k] * np.uint64(pow(base, 1 << k, 1 << 64))
+        _tables[base] = table
+    return table[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
