@@ -12,6 +12,7 @@ likely ones are added as spans.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,9 +32,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _WORDS = ("passw", "secret", "token", "api")  # one of them is in every text with an assignment
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# Runs of credential characters. A dot joins parts, as in signed tokens; not at the end of a run, as in prose, and no part
+# of less than four characters, as in network addresses.
+_CANDIDATE = re.compile(r"(?=[A-Za-z0-9+/_.=-]{12})[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]{4,})*")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
-_LEAST, _SHORTEST = 16, 12  # characters of a candidate, of any credential
+_SHORTEST = 12  # characters of a credential and of a candidate
 
 
 @dataclass(frozen=True)
@@ -66,7 +69,7 @@ def _outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[i
     """The parts of a stretch that no span covers, if they are long enough."""
     out = []
     for a, b in [*sorted(x for x in spans if x[0] < end and start < x[1]), (end, end)]:
-        if a - start >= _LEAST:
+        if a - start >= _SHORTEST:
             out.append((start, a))
         start = max(start, b)
     return out
@@ -77,6 +80,8 @@ def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> Iterator[tu
     value is whole, so a run ends there; hexadecimal or access keys may be the middle of a longer key, so such a
     run counts as a whole and ``parts`` are what lies outside of them."""
     for m in _CANDIDATE.finditer(text):
+        if m.end() - m.start() < _SHORTEST:
+            continue
         near = [x for x in taken if x[0] < m.end() and m.start() < x[1]]
         if not near:
             yield m.start(), m.end(), []
@@ -112,6 +117,7 @@ class Automaton:
         """The tree of the first ``tree`` characters; an end counts where a string ends, not at that depth."""
         self.longer = [] if tree is None else [s for s in strings if len(s) > tree]
         self.tree = tree
+        self.steps: dict[tuple[int, str], tuple[float, int]] = {}  # of states and candidate characters met so far
         self.moves: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [defaultdict(int)]
         self.ends = [0]
@@ -196,10 +202,13 @@ class Automaton:
         """Natural log of the probability of a string; unseen moves get half a count each."""
         at, total = 0, 0.0
         for c in s:
-            k = classes(c)
-            n = self.seen(at)
-            total += np.log((self.count[at].get(k, 0) + 0.5) / (n + 6)) - np.log(_MANY.get(k, 1))
-            at = self.moves[at].get(k, 0)
+            step = self.steps.get((at, c))
+            if step is None:
+                k = classes(c)
+                gain = math.log((self.count[at].get(k, 0) + 0.5) / (self.seen(at) + 6)) - math.log(_MANY.get(k, 1))
+                step = self.steps[at, c] = (gain, self.moves[at].get(k, 0))
+            total += step[0]
+            at = step[1]
         return total
 
 

@@ -139,6 +139,27 @@ def test_secrets_and_their_formats(docs, texts):
     assert not found[0] and not found[1]
 
 
+def literal_spans(text: str) -> list[tuple]:
+    """The plain patterns as they are stated, each by itself."""
+    kinds = [(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 1), (r"AKIA[A-Z0-9]+", 18, 0), (r"[0-9a-f]+", 16, 0)]
+    return sorted((m.start(), k, m.end()) for k, (p, least, group) in enumerate(kinds) for m in re.finditer(p, text) if len(m[group]) >= least)
+
+
+def test_base_spans_are_those_of_the_literal_patterns(docs, texts):
+    rng = random.Random(6)
+    bits = ["password", "PASSWD", "secret", "Token", "api_key", "APIKEY", "ſecret", "=", ":", " ", '"', "'", "  ", "AKIA", "0123456789abcdef", "Abc/+_.=-09", "ABCDEFGHIJ12345", "\n", "x", "é"]
+    made = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    assert sum(bool(literal_spans(t)) for t in made) > 500
+    for t in [*made, *texts.values()]:
+        assert [(a, k, b) for a, b, k, _ in secretscan.base_spans(t)] == literal_spans(t)
+
+
+def test_short_and_dotted_runs_are_candidates():
+    text = "aB3dE5gH7jK9 x.y Zm9vYmFy.QmF6cXV4.c2ln. end.Of some...thinglongenough twelve.letters"
+    got = [text[a:b] for a, b, _ in secretscan.candidates(text, secretscan.base_spans(text))]
+    assert got == ["aB3dE5gH7jK9", "Zm9vYmFy.QmF6cXV4.c2ln", "thinglongenough", "twelve.letters"]
+
+
 def test_automata_tell_formats_apart():
     rng = random.Random(1)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(300)]
