@@ -77,11 +77,11 @@ def quality_cte(docs: str) -> str:
     dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM ql WHERE trim(line, {_TRIM}) <> '' GROUP BY 1),
     qh AS (SELECT *, CASE WHEN norm <> '' THEN ('0x' || substr(md5(norm), 1, 15))::BIGINT END AS h
            FROM (SELECT *, {norm} AS norm FROM ql)),
-    sorted AS (SELECT doc_id, host, list_sort(list(DISTINCT h) FILTER (WHERE h IS NOT NULL)) AS hs FROM qh GROUP BY 1, 2),
-    hosts AS (SELECT host, count(DISTINCT hs[1]) AS n_docs FROM sorted GROUP BY 1),
-    held AS (SELECT DISTINCT host, h, CASE WHEN h = least_h THEN next_h ELSE least_h END AS part
-             FROM (SELECT host, unnest(hs) AS h, hs[1] AS least_h, coalesce(hs[2], -1) AS next_h FROM sorted)),
-    over_limit AS (SELECT c.host, h FROM (SELECT host, h, count(*) AS n FROM held GROUP BY 1, 2) c
+    pages AS (SELECT doc_id, host, list(norm ORDER BY pos) FILTER (WHERE norm <> '') AS page, list(DISTINCT h) FILTER (WHERE h IS NOT NULL) AS hs
+              FROM qh GROUP BY 1, 2),
+    hosts AS (SELECT host, count(DISTINCT page) AS n_docs FROM pages GROUP BY 1),
+    held AS (SELECT host, page, unnest(hs) AS h FROM pages),
+    over_limit AS (SELECT c.host, h FROM (SELECT host, h, count(DISTINCT page) AS n FROM held GROUP BY 1, 2) c
              JOIN hosts ON c.host IS NOT DISTINCT FROM hosts.host WHERE n >= 20 AND n * 100 > n_docs * 10),
     cleaned AS (SELECT qh.doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE o.h IS NULL), '') AS clean
              FROM qh LEFT JOIN over_limit o ON qh.h = o.h AND qh.host IS NOT DISTINCT FROM o.host GROUP BY 1),
@@ -95,7 +95,7 @@ def quality_cte(docs: str) -> str:
 
 
 OP10 = f"""WITH {quality_cte("documents")}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, sha256(clean) AS clean_sha256 FROM judged"""
 
 def jaccard_cte(docs: str) -> str:
     """CTEs up to ``comp`` (doc_id, n_shingles, component_id) over rows (doc_id, text) of ``docs``."""
