@@ -136,26 +136,47 @@ def features(h: np.ndarray, cls: np.ndarray, bounds: np.ndarray, shape: Shape) -
 
 
 def class_probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
+    """Softmax of the summed weights; sums beyond +-80, which single precision could not hold as powers, count as that."""
+    z = np.take(weights, rows[:, 0], axis=0)
+    part = np.empty_like(z)
     for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
-    z -= z.max(axis=1, keepdims=True)
+        z += np.take(weights, rows[:, k], axis=0, out=part, mode="clip")
+    np.clip(z, -80, 80, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z *= (1 / np.einsum("ij->i", z))[:, None]  # no threads of a matrix library within a task
     return z
 
 
-def update(weights: np.ndarray, rows: np.ndarray, cls: np.ndarray, rate: float) -> None:
+def sums_of(r: np.ndarray, g: np.ndarray, many: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct numbers, rows of ``g`` added up per number, how many each): ``r`` from 0, and short for a short table,
+    since numpy sorts short numbers by counting."""
+    order = np.argsort(r, kind="stable")
+    r = r[order]
+    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    n = np.diff(np.append(first, len(r))) if many is None else np.add.reduceat(many[order], first)
+    return r[first].astype(np.int64), np.add.reduceat(np.take(g, order, axis=0), first, axis=0), n
+
+
+def update(weights: np.ndarray, rows: np.ndarray, cls: np.ndarray, shape: Shape) -> None:
     """One step up the gradient of the log likelihood; each row moves by the mean over its occurrences, damped where few."""
-    g = -class_probabilities(weights, rows)
+    g = class_probabilities(weights, rows)
+    np.negative(g, out=g)
     g[np.arange(len(cls)), cls] += 1
-    share = np.float32(rate / rows.shape[1])
-    for k in range(rows.shape[1]):
-        order = np.argsort(rows[:, k], kind="stable")
-        r = rows[order, k]
-        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        many = np.diff(np.append(first, len(r))).astype(np.float32)
-        weights[r[first]] += np.add.reduceat(g[order], first, axis=0) * (share * 8 / (many + 20))[:, None]
+    o, step = shape.offsets, np.float32(8 * shape.rate / rows.shape[1])
+
+    def move(k: int, r: np.ndarray, total: np.ndarray, many: np.ndarray) -> None:
+        weights[r + o[k]] += total * (step / (many.astype(np.float32) + 20))[:, None]
+
+    for k in range(2, rows.shape[1] - 1):
+        r = rows[:, k] - o[k]
+        r, total, many = sums_of(r.astype(np.uint16) if o[k + 1] - o[k] <= 1 << 16 else r, g)
+        if k == 2:  # both classes: their sums add up to those of each class
+            c1, c2 = np.divmod(r, shape.classes + 1)
+            for j, c in enumerate((c1, c2)):
+                move(j, *sums_of(c, total, many))
+            every = total.sum(axis=0, keepdims=True)  # the bias is on everywhere
+        move(k, r, total, many)
+    move(rows.shape[1] - 1, np.zeros(1, np.int64), every, np.array([len(g)]))
 
 
 def train_round(texts: DataFrame, model: Model) -> np.ndarray:
@@ -175,7 +196,7 @@ def train_round(texts: DataFrame, model: Model) -> np.ndarray:
                 rows = features(h, cls, bounds, shape)
                 tokens += len(h)
                 for k in range(0, len(h), shape.batch):
-                    update(weights, rows[k:k + shape.batch], cls[k:k + shape.batch], shape.rate)
+                    update(weights, rows[k:k + shape.batch], cls[k:k + shape.batch], shape)
         if tokens:
             change = (weights - start) * np.float32(tokens)
             for k in range(0, len(change), block):
@@ -207,6 +228,20 @@ def train_round(texts: DataFrame, model: Model) -> np.ndarray:
     return weights
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """(h, s, c) of the most frequent words, at most ``most``. Words of one count, and large counts within one part in 64 of a
+    power of two, are all in or all out, so a histogram of some thousand rows finds the cut."""
+    c = F.col("c")
+    grade = F.when(c < 1024, c).otherwise(1024 + F.floor(F.log2(c / 1024) * 64)).cast("bigint")
+    cut, held = 1, 0
+    for r in sorted(counts.groupBy(grade.alias("g")).count().collect(), key=lambda r: -r["g"]):
+        held += r["count"]
+        if held > most:
+            cut = r["g"] + 1
+            break
+    return counts.filter(grade >= cut).select("h", "s", "c")
+
+
 def fit(texts: DataFrame, shape: Shape = Shape()) -> tuple[Model, DataFrame]:
     """The model of texts (t) and the table of all token counts (h, c)."""
     counts = materialise(count_tokens(texts, shape), "token-counts")
@@ -215,8 +250,7 @@ def fit(texts: DataFrame, shape: Shape = Shape()) -> tuple[Model, DataFrame]:
     for r in sums:
         per_class[r["s"]] = r["c"], r["v"]
     n, v = (int(x) for x in per_class.sum(axis=0))
-    top = counts.orderBy(F.desc("c"), "h").limit(shape.head).collect()  # a bounded number of rows
-    head = pd.DataFrame([(r["h"], r["s"], r["c"]) for r in top], columns=["h", "s", "c"])
+    head = pd.DataFrame(frequent(counts, shape.head).collect(), columns=["h", "s", "c"]).sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     own = head[head["s"] > 0].head(shape.own).reset_index(drop=True)
     for k, r in own.iterrows():
         per_class[r["s"]] -= r["c"], 1
@@ -233,6 +267,15 @@ def fit(texts: DataFrame, shape: Shape = Shape()) -> tuple[Model, DataFrame]:
     return model, counts.select("h", "c")
 
 
+def in_head(m: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a word is among the frequent ones, log10 of its smoothed count there and 0 elsewhere)."""
+    if not len(m.head_hash):
+        return np.zeros(len(h), bool), np.zeros(len(h))
+    at = np.minimum(np.searchsorted(m.head_hash, h), len(m.head_hash) - 1)
+    known = m.head_hash[at] == h
+    return known, np.where(known, np.log10(m.head_count[at] + 0.5), 0.0)
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score), one row per document row; NULL text is empty: the end alone.
 
@@ -254,9 +297,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_column: str = "do
                 for k in range(0, len(h), m.shape.batch):
                     p = class_probabilities(m.weights, f[k:k + m.shape.batch])
                     logp[k:k + m.shape.batch] = np.log10(np.maximum(p[np.arange(len(p)), cls[k:k + m.shape.batch]], 1e-30))
-                at = np.minimum(np.searchsorted(m.head_hash, h), max(len(m.head_hash) - 1, 0))
-                known = m.head_hash[at] == h if len(m.head_hash) else np.zeros(len(h), bool)
-                frequency = np.where(known, np.log10((m.head_count[at] if len(m.head_hash) else np.zeros(len(h))) + 0.5), 0.0)
+                code, distinct = pd.factorize(h)  # each distinct word is looked up once
+                known, frequency = in_head(m, distinct)
+                known, frequency = known[code], frequency[code]
                 begin = bounds[:-1]
                 rest = np.flatnonzero(~known)
                 cut = np.searchsorted(rest, bounds)
