@@ -165,27 +165,18 @@ def count_ids(table: DataFrame, vocabulary: int) -> np.ndarray:
     return counts
 
 
-def coded_texts(table: DataFrame, lengths: np.ndarray, vocabulary: int) -> DataFrame:
-    """(id, n: ids, checkpoints: bit offsets in the text's own bits, bits)."""
-    import pyarrow as pa
-
+def coded_texts(it: Iterator, lengths: np.ndarray, vocabulary: int) -> Iterator[tuple]:
+    """(id, number of token ids, checkpoints: bit offsets in the text's own bits, bits) of rows (id, ids), one by one."""
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    book = table.sparkSession.sparkContext.broadcast(lengths)  # one byte per id of the vocabulary
-
-    def batches(it: Iterator) -> Iterator:
-        lengths = book.value
-        codes = canonical(lengths)
-        for batch in it:
-            for a, b, texts in text_chunks(batch.column("ids")):
-                ids = np.frombuffer(b"".join(texts), kind)
-                bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]) // np.dtype(kind).itemsize
-                bits, byte, begin = encode(ids, bounds, lengths, codes)
-                marks = [begin[s:e:STEP] - 8 * o for s, e, o in zip(bounds, bounds[1:], byte)]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("id").slice(a, b - a), pa.array(np.diff(bounds)), pa.array(marks, pa.list_(pa.int64())),
-                    pa.array([bits[s:e] for s, e in zip(byte, byte[1:])], pa.binary())], ["id", "n", "checkpoints", "bits"])
-
-    return table.mapInArrow(batches, "id bigint, n bigint, checkpoints array<bigint>, bits binary")
+    codes = canonical(lengths)
+    for batch in it:
+        docs = batch.column("id").to_pylist()
+        for a, b, texts in text_chunks(batch.column("ids")):
+            ids = np.frombuffer(b"".join(texts), kind)
+            bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]) // np.dtype(kind).itemsize
+            bits, byte, begin = encode(ids, bounds, lengths, codes)
+            for doc, s, e, x, y in zip(docs[a:b], bounds, bounds[1:], byte, byte[1:]):
+                yield doc, int(e - s), begin[s:e:STEP] - 8 * x, bits[x:y]
 
 
 def write_coded(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", end: int = 1,
@@ -203,7 +194,8 @@ def write_coded(docs: DataFrame, path: str, id_column: str = "doc_id", text: str
     tokens = tokenised(docs, path, id_column, text, end, vocabulary)
     table = materialise(tokens, "token-ids")
     lengths = code_lengths(count_ids(table, vocabulary))
-    ranged = coded_texts(table.repartitionByRange("id").sortWithinPartitions("id", "ids"), lengths, vocabulary)
+    ranged = table.repartitionByRange("id").sortWithinPartitions("id", "ids")
+    book = table.sparkSession.sparkContext.broadcast(lengths)  # one byte per id of the vocabulary
     types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
     names = ["file", "block", "first", "docs", "sizes", "checkpoints", "bits"]
 
@@ -219,16 +211,12 @@ def write_coded(docs: DataFrame, path: str, id_column: str = "doc_id", text: str
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
 
         size = 0
-        for batch in it:
-            marks = batch.column("checkpoints")
-            ends, values = np.asarray(marks.offsets), np.asarray(marks.values)
-            rest = (batch.column(c).to_pylist() for c in ("id", "n", "bits"))
-            for doc, n, bits, a, b in zip(*rest, ends, ends[1:]):
-                held.append((doc, n, values[a:b].copy(), bits))
-                size += n
-                if size >= BLOCK:
-                    yield close()
-                    block, first, size, held = block + 1, first + size, 0, []
+        for x in coded_texts(it, book.value, vocabulary):
+            held.append(x)
+            size += x[1]
+            if size >= BLOCK:
+                yield close()
+                block, first, size, held = block + 1, first + size, 0, []
         if held:
             yield close()
 

@@ -20,7 +20,7 @@ import pandas as pd
 
 from funnelworks.llm import wordscan
 
-MAX_WORDS = 200_000  # distinct words a worker remembers before it starts anew; bounds its memory
+MAX_WORDS = 400_000  # distinct words a worker remembers before it starts anew; bounds its memory
 # What normaliser and splitter of word-end BPE files do to words of these characters is known.
 _PLAIN = re.compile(r"[\n\x21-\x7eÀ-ÖØ-öø-įĴ-ňŊ-ž]+")
 _PARTS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
