@@ -4,11 +4,13 @@ Jaccard distance is a metric, so distances to a pivot bound distances between do
 lie more than r apart as seen from a pivot are more than r apart. The join uses this exactly:
 
 * Equal sets are one class, named by a 64-bit digest; classes, not documents, are what is joined.
-* Regions: shingles are put in a fixed order, rare ones first by a count sketch of bounded size. Two sets with
-  Jaccard >= t share one of the first |x| - ceil(t |x|) + 1 shingles of both. Each such shingle is a region,
-  and a document lies in the regions of its own first shingles: the windows in which a partner may be.
-* In every region the member of the least rank is the pivot. Later rounds add some more from outside of the region's
-  largest component, since pairs within a component are settled: a group of near copies with a few strangers costs
+* Regions: shingles are put in a fixed order, those with a rare word first. Words are counted in a sketch of bounded
+  size, where a rare word stays rare at any size of the corpus, as shingles in such a sketch would not. Two sets
+  with Jaccard >= t share one of the first |x| - ceil(t |x|) + 1 shingles of both, and of the smaller one even of its first
+  |x| - ceil(2 t / (1 + t) |x|) + 1, its index shingles. Each first shingle is a region, and a document lies in the
+  regions of its own: the windows in which a partner may be. A region in which no member has an index shingle is dropped.
+* In every region the member of the least rank with an index shingle is the pivot, since one of any pair that counts has one
+  there. Later rounds add some more from outside of the region's largest component, since pairs within a component are settled: a group of near copies with a few strangers costs
   the strangers' distances only. Members are measured against their pivots, each pair once however many regions it
   shares; those within r link to it.
 * A region is then cut into rings by the distance to its pivot, ring k holding k r <= d < (k + 1) r.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from funnelworks.llm import columns as C
@@ -37,27 +39,42 @@ from funnelworks.llm.decontaminate import bit_table, in_table
 from funnelworks.llm.tokens import in_chunks, raw
 from funnelworks.sources.storage import materialise
 
-SKETCH_BITS = 18  # 2**18 counters, 1 MiB, are what executors get of the corpus counts
+SKETCH_BITS = 20  # 2**20 counters, 4 MiB, are what executors get of the corpus counts
 # Expected pivots of a region by round; the last for all later ones. Few link most of a group of near copies, and
 # then as many strangers as the last number says are settled at once.
 PIVOTS = (1, 32, 512)
 
 
-def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's runs of ``n`` words; of all its words if there are fewer."""
+def _slots(words: np.ndarray, n: int) -> np.ndarray:
+    return (words & np.uint64(n - 1)).astype(np.int64)
+
+
+def shingles_of(texts: list[bytes], n: int, counts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per text the sorted distinct hashes of its runs of ``n`` words, of all its words if there are fewer, and the count
+    of each run's rarest word."""
     words = wordscan.scan(texts, fold=True)
-    out = []
+    often = np.zeros(len(words.hash), np.int32) if counts is None else counts[_slots(words.hash, len(counts))]
     for a, b in zip(words.bounds, words.bounds[1:]):
         h = words.hash[a:b]
         k = min(n, len(h))
         if not k:
-            out.append(np.zeros(0, np.uint64))
+            yield np.zeros(0, np.uint64), np.zeros(0, np.int32)
             continue
-        run = np.full(len(h) - k + 1, np.uint64(k))
+        many = len(h) - k + 1
+        run, rarest = np.full(many, np.uint64(k)), often[a:a + many]
         for j in range(k):
-            run = wordscan.mix(run * np.uint64(0x9E3779B97F4A7C15) + h[j:len(h) - k + 1 + j])
-        out.append(np.unique(run))
-    return out
+            run = wordscan.mix(run * np.uint64(0x9E3779B97F4A7C15) + h[j:many + j])
+            if counts is not None and j:
+                rarest = np.minimum(rarest, often[a + j:a + many + j])
+        if counts is None:
+            yield np.unique(run), rarest
+        else:
+            run, first = np.unique(run, return_index=True)
+            yield run, rarest[first]
+
+
+def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    return [run for run, _ in shingles_of(texts, n)]
 
 
 def class_key(shingles: np.ndarray) -> int:
@@ -100,8 +117,8 @@ def _texts(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return near.select("id", "t").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def _sketch(rows: DataFrame, n: int) -> np.ndarray:
-    """Counts of the texts' shingles, added up per slot of a table of fixed size."""
+def _sketch(rows: DataFrame) -> np.ndarray:
+    """Counts of the texts' words, added up per slot of a table of fixed size."""
     slots, row = 1 << SKETCH_BITS, 1 << 10
 
     def count(it: Iterator) -> Iterator:
@@ -109,8 +126,7 @@ def _sketch(rows: DataFrame, n: int) -> np.ndarray:
         for batch in it:
             t = raw(batch.column("t"))
             for a, b in in_chunks(t):
-                every = np.concatenate(shingle_sets(t[a:b], n))  # distinct within a text
-                counts += np.bincount((every & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+                counts += np.bincount(_slots(wordscan.scan(t[a:b], fold=True).hash, slots), minlength=slots)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(slots // row)), pa.array([c.tobytes() for c in counts.reshape(-1, row)])], ["k", "c"])
 
     def add(it: Iterator) -> Iterator:
@@ -128,32 +144,51 @@ def _sketch(rows: DataFrame, n: int) -> np.ndarray:
     return np.minimum(out.reshape(-1), 2**31 - 1).astype(np.int32)
 
 
-def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The first |x| - ceil(t |x|) + 1 shingles in the fixed order: rare first, then by hash."""
+def prefix(shingles: np.ndarray, rarest: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The first |x| - ceil(t |x|) + 1 shingles in the fixed order, by rarest word and then by hash, and how many of them,
+    |x| - ceil(2 t / (1 + t) |x|) + 1, are index shingles."""
     size = len(shingles)
     keep = size - (-(-percent * size // 100)) + 1
-    often = counts[(shingles & np.uint64(len(counts) - 1)).astype(np.int64)]
-    return shingles[np.lexsort((shingles, often))[:keep]]
+    return shingles[np.lexsort((shingles, rarest))[:keep]], size - (-(-2 * percent * size // (100 + percent))) + 1
 
 
 def _regions(rows: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(region, id: class key, size): a row for each region a text's set lies in."""
+    """(region, id: class key, size, index: whether it is an index shingle): a row for each region a text's set lies in.
+
+    A task names a class once, so copies are as many rows as tasks at most.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def batches(it: Iterator) -> Iterator:
+        met: set[int] = set()  # 64 bits a document of the partition
         for batch in it:
             texts = raw(batch.column("t"))
             for a, b in in_chunks(texts):
-                sets = [s for s in shingle_sets(texts[a:b], n) if len(s)]
-                if not sets:
-                    continue
-                first = [prefix(s, shared.value, percent) for s in sets]
-                many = [len(f) for f in first]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat([class_key(s) for s in sets], many)),
-                    pa.array(np.repeat([len(s) for s in sets], many).astype(np.int32))], ["region", "id", "size"])
-
-    return rows.select("t").mapInArrow(batches, "region bigint, id bigint, size int")
+                first, keys, sizes, index = [], [], [], []
+                for run, rarest in shingles_of(texts[a:b], n, shared.value):
+                    key = class_key(run)
+                    if not len(run) or key in met:
+                        continue
+                    met.add(key)
+                    some, n_index = prefix(run, rarest, percent)
+                    first.append(some)
+                    keys.append(key)
+                    sizes.append(len(run))
+                    index.append(np.arange(len(some)) < n_index)
+                if first:
+                    many = [len(f) for f in first]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(keys, many)),
+                        pa.array(np.repeat(sizes, many).astype(np.int32)), pa.array(np.concatenate(index))], ["region", "id", "size", "index"])
+
+    return rows.select("t").mapInArrow(batches, "region bigint, id bigint, size int, index boolean")
+
+
+def _shared_regions(rows: DataFrame) -> DataFrame:
+    """The rows of regions with two classes and an index shingle, from one shuffle; a region streams through its task."""
+    of_region = Window.partitionBy("region")
+    told = rows.withColumns({"lo": F.min("id").over(of_region), "hi": F.max("id").over(of_region), "some": F.max("index").over(of_region)})
+    return told.filter("lo < hi AND some").select("region", "id", "size", "index").distinct()
 
 
 def _distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -219,36 +254,38 @@ def _size_windows(regions: DataFrame, percent: int) -> DataFrame:
     they lie in one window or the next. Members of a window are replicated into the next."""
     window = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     near = F.array(F.struct(window.alias("w"), F.lit(True).alias("own")), F.struct((window + 1).alias("w"), F.lit(False).alias("own")))
-    return regions.select("region", "id", F.explode(near).alias("x")).select(F.xxhash64("region", "x.w").alias("region"), "id", "x.own")
+    return regions.select("region", "id", "index", F.explode(near).alias("x")).select(F.xxhash64("region", "x.w").alias("region"), "id", "index", "x.own")
 
 
 def _open_regions(live: DataFrame, comps: DataFrame, pivots: int, turn: int) -> DataFrame:
-    """(region, id, c: component, first, pivot): members of the regions that may still hold an unknown link, with two
-    components or more, and a member of its own."""
-    named = live.join(comps, "id", "left").select("region", "id", "own", F.coalesce("component", "id").alias("c"))
+    """(region, id, index, c: component, first, pivot): members of the regions that may still hold an unknown link, with
+    two components or more, a member of its own and one with an index shingle."""
+    named = live.join(comps, "id", "left").select("region", "id", "own", "index", F.coalesce("component", "id").alias("c"))
     parts = named.groupBy("region", "c").agg(
-        F.count("*").alias("n"), F.max("own").alias("own"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"),
-        F.min(F.struct(_rank(F.col("id"), turn).alias("rank"), F.col("id").alias("id"))).alias("f"))
+        F.count("*").alias("n"), F.max("own").alias("own"), F.max("index").alias("index"),
+        F.sum(F.xxhash64("id", "own", "index").cast("decimal(38,0)")).alias("who"),
+        F.min(F.struct((~F.col("index")).alias("probe"), _rank(F.col("id"), turn).alias("rank"), F.col("id").alias("id"))).alias("f"))
     kept = parts.groupBy("region").agg(
         F.count("*").alias("parts"), F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("largest"), F.max("own").alias("some"),
-        F.sum("who").alias("who"), F.min("f").alias("f")).filter("parts > 1 AND some")
-    # Near copies share many shingles: of regions with the same members one is enough.
+        F.max("index").alias("index"), F.sum("who").alias("who"), F.min("f").alias("f")).filter("parts > 1 AND some AND index")
+    # Near copies share many shingles: of regions with the same members in the same roles one is enough.
     kept = kept.groupBy("m", "who").agg(F.min(F.struct("region", "f", "largest")).alias("r")).select(
         "r.region", F.col("r.f.id").alias("first"), F.col("r.largest.c").alias("main"), (F.col("m") - F.col("r.largest.n")).alias("strangers"))
     rank = _rank(F.col("id"), turn)  # drawn anew each turn, or those left over would all rank high
     chosen = F.col("id") == F.col("first")
     if pivots > 1:
         chosen = chosen | ((F.col("c") != F.col("main")) & (rank * F.col("strangers") < pivots))
-    return named.join(kept, "region").select("region", "id", "c", "first", chosen.alias("pivot"))
+    return named.join(kept, "region").select("region", "id", named["index"], "c", "first", chosen.alias("pivot"))
 
 
 def _pairs(members: DataFrame) -> DataFrame:
     """(a: pivot, b: member), each pair once; of two pivots the one of the lower rank is a. A pair of one component is
-    measured only if a is the first pivot, whose distances make the rings."""
-    p = members.filter("pivot").select("region", F.col("id").alias("a"), F.col("c").alias("ac"), (F.col("id") == F.col("first")).alias("lead"))
-    both = p.join(members.select("region", F.col("id").alias("b"), F.col("c").alias("bc"), F.col("pivot").alias("too")), "region")
+    measured only if a is the first pivot, whose distances make the rings; so is a pair without an index shingle."""
+    p = members.filter("pivot").select(
+        "region", F.col("id").alias("a"), F.col("c").alias("ac"), F.col("index").alias("ai"), (F.col("id") == F.col("first")).alias("lead"))
+    both = p.join(members.select("region", F.col("id").alias("b"), F.col("c").alias("bc"), F.col("index").alias("bi"), F.col("pivot").alias("too")), "region")
     ordered = F.struct(_rank(F.col("a")), F.col("a")) < F.struct(_rank(F.col("b")), F.col("b"))
-    open_ = (F.col("ac") != F.col("bc")) | F.col("lead")
+    open_ = ((F.col("ac") != F.col("bc")) & (F.col("ai") | F.col("bi"))) | F.col("lead")
     return both.filter((F.col("a") != F.col("b")) & (~F.col("too") | ordered) & open_).select("a", "b").distinct()
 
 
@@ -258,7 +295,7 @@ def _rings(members: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
     rest = members.filter("NOT pivot").join(d, ["first", "id"])
     ring = F.floor((F.col("either") - F.col("common")) * 100 / (F.col("either") * (100 - percent)) + 1e-9).cast("int")
     near = F.array(F.struct(ring.alias("w"), F.lit(True).alias("own")), F.struct((ring + 1).alias("w"), F.lit(False).alias("own")))
-    return rest.select("region", "id", F.explode(near).alias("x")).select(F.xxhash64("region", "x.w").alias("region"), "id", "x.own")
+    return rest.select("region", "id", "index", F.explode(near).alias("x")).select(F.xxhash64("region", "x.w").alias("region"), "id", "index", "x.own")
 
 
 def _linked(measured: DataFrame, percent: int) -> DataFrame:
@@ -288,9 +325,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     links = links_of_ids.join(least, "id").filter("key <> a").select("a", F.col("key").alias("b"))
 
     rows = docs.select(C.name(text).cast("string").alias("t"))
-    dense = materialise(_regions(rows, _sketch(rows, n), n, percent), "regions")
-    shared = dense.groupBy("region").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("region")
-    live = materialise(_size_windows(dense.join(shared, "region").distinct(), percent), "live")
+    live = materialise(_size_windows(_shared_regions(_regions(rows, _sketch(rows), n, percent)), percent), "live")
     texts = materialise(_texts(rows, live.select("id").distinct(), n), "texts")
 
     measured = None
