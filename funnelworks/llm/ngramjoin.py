@@ -9,6 +9,11 @@ lie more than r apart as seen from a pivot are more than r apart. The join uses
   with Jaccard >= t share one of the first |x| - ceil(t |x|) + 1 shingles of both, and of the smaller one even of its first
   |x| - ceil(2 t / (1 + t) |x|) + 1, its index shingles. Each first shingle is a region, and a document lies in the
   regions of its own: the windows in which a partner may be. A region in which no member has an index shingle is dropped.
+* Common shingles, those of crowded regions, are put behind all others and the first shingles of the texts in such regions
+  are drawn anew: texts that share a passage but little else do not meet by it. Any order that all texts keep is exact.
+* A pair is measured only in the region of its first common shingle, as far as that can be told: behind it both sets have
+  to hold as many shingles as a link needs in common, their parity bits must not tell that more than a link allows differ, and the last few regions ahead of it must not name a common one. A
+  region whose members all lie in one earlier region is dropped.
 * In every region the member of the least rank with an index shingle is the pivot, since one of any pair that counts has one
   there. Later rounds add some more from outside of the region's largest component, since pairs within a component are settled: a group of near copies with a few strangers costs
   the strangers' distances only. Members are measured against their pivots, each pair once however many regions it
@@ -27,6 +32,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +42,7 @@ from pyspark.sql import functions as F
 
 from funnelworks.llm import columns as C
 from funnelworks.llm import wordscan
-from funnelworks.llm.decontaminate import bit_table, in_table
+from funnelworks.llm.decontaminate import BITS, bit_table, in_table
 from funnelworks.llm.tokens import in_chunks, raw
 from funnelworks.sources.storage import materialise
 
@@ -43,6 +50,11 @@ SKETCH_BITS = 20  # 2**20 counters, 4 MiB, are what executors get of the corpus
 # Expected pivots of a region by round; the last for all later ones. Few link most of a group of near copies, and
 # then as many strangers as the last number says are settled at once.
 PIVOTS = (1, 32, 512)
+CROWD = 16  # classes that make a region crowded and its shingle a common one
+BEFORE = 4  # earlier regions of a set that its row in a region names
+KEPT = ["region", "id", "size", "rest", "index", "before"]  # of a member of a region
+PARITY = 16  # longs of a set's parity bits
+TURNS = 1  # times that first shingles are drawn anew at most; it is only the order that they make better
 
 
 def _slots(words: np.ndarray, n: int) -> np.ndarray:
@@ -83,7 +95,7 @@ def class_key(shingles: np.ndarray) -> int:
 
 
 def _classes(docs: DataFrame, id_column: str, text: str, n: int) -> DataFrame:
-    """(id, key, n_shingles) per row."""
+    """(id, key, n_shingles, t) per row."""
     rows = docs.select(C.name(id_column).cast("bigint").alias("id"), C.name(text).cast("string").alias("t"))
 
     def batches(it: Iterator) -> Iterator:
@@ -92,29 +104,33 @@ def _classes(docs: DataFrame, id_column: str, text: str, n: int) -> DataFrame:
             for a, b in in_chunks(texts):
                 sets = shingle_sets(texts[a:b], n)
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(a, b - a), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
-                    ["id", "key", "n_shingles"])
+                    ids.slice(a, b - a), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column("t").slice(a, b - a)], ["id", "key", "n_shingles", "t"])
 
-    return rows.mapInArrow(batches, "id bigint, key bigint, n_shingles bigint")
+    return rows.mapInArrow(batches, "id bigint, key bigint, n_shingles bigint, t string")
 
 
-def _keyed(rows: DataFrame, n: int) -> DataFrame:
-    """(id: class key, t)."""
+def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id: class key, t): one text per class of ``ids``. A bit table of fixed size spares most others the shuffle."""
+    near = rows.select(F.col("key").alias("id"), "t").withColumn("bits", bit_table(ids.select(F.col("id").alias("h")))).filter(in_table(F.col("bits"), F.col("id")))
+    return near.select("id", "t").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
-    def batches(it: Iterator) -> Iterator:
-        for batch in it:
-            texts = raw(batch.column("t"))
-            for a, b in in_chunks(texts):
-                keys = [class_key(s) for s in shingle_sets(texts[a:b], n)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("t").slice(a, b - a)], ["id", "t"])
 
-    return rows.select("t").mapInArrow(batches, "id bigint, t string")
+def _with_parity(texts: DataFrame, n: int) -> DataFrame:
+    """(id, t, p0, p1, ...): whether an odd number of the set's shingles falls on each of some bits. As many bits as differ
+    between two sets, so many shingles at least are not common to them."""
+    names = [f"p{k}" for k in range(PARITY)]
 
+    def batches(it: Iterator) -> Iterator:
+        for batch in it:
+            t = raw(batch.column("t"))
+            for a, b in in_chunks(t):
+                odd = [np.bincount(_slots(x, 64 * PARITY), minlength=64 * PARITY) & 1 for x in shingle_sets(t[a:b], n)]
+                bits = np.packbits(np.array(odd, np.uint8).reshape(-1, 64 * PARITY), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("id").slice(a, b - a), batch.column("t").slice(a, b - a), *(pa.array(x) for x in bits.T.copy())], ["id", "t", *names])
 
-def _texts(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """One text per class of ``ids``. A bit table of fixed size spares most others the shuffle."""
-    near = _keyed(rows, n).withColumn("bits", bit_table(ids.select(F.col("id").alias("h")))).filter(in_table(F.col("bits"), F.col("id")))
-    return near.select("id", "t").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return texts.mapInArrow(batches, "id bigint, t string, " + ", ".join(f"{x} bigint" for x in names))
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -144,51 +160,110 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     return np.minimum(out.reshape(-1), 2**31 - 1).astype(np.int32)
 
 
-def prefix(shingles: np.ndarray, rarest: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The first |x| - ceil(t |x|) + 1 shingles in the fixed order, by rarest word and then by hash, and how many of them,
-    |x| - ceil(2 t / (1 + t) |x|) + 1, are index shingles."""
+def prefix(shingles: np.ndarray, rarest: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """The first |x| - ceil(t |x|) + 1 shingles in the fixed order, by whether they hit the bit table of common ones, rarest word
+    and hash, and how many of them, |x| - ceil(2 t / (1 + t) |x|) + 1, are index shingles."""
     size = len(shingles)
     keep = size - (-(-percent * size // 100)) + 1
-    return shingles[np.lexsort((shingles, rarest))[:keep]], size - (-(-2 * percent * size // (100 + percent))) + 1
+    order = [shingles, rarest]
+    if common is not None:
+        slot = _slots(shingles, 1 << BITS)
+        order.append(common[slot >> 6] >> (slot & 63) & 1)
+    return shingles[np.lexsort(order)[:keep]], size - (-(-2 * percent * size // (100 + percent))) + 1
 
 
-def _regions(rows: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(region, id: class key, size, index: whether it is an index shingle): a row for each region a text's set lies in.
+def _regions(rows: DataFrame, counts: np.ndarray, common: np.ndarray | None, n: int, percent: int) -> DataFrame:
+    """(region, id: class key, size, rest: how many shingles the set has from the region's on, index: whether that is an index
+    shingle): a row for each region a text's set lies in.
 
     A task names a class once, so copies are as many rows as tasks at most.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(counts)
+    shared = rows.sparkSession.sparkContext.broadcast((counts, common))
 
     def batches(it: Iterator) -> Iterator:
         met: set[int] = set()  # 64 bits a document of the partition
+        counts, common = shared.value
         for batch in it:
-            texts = raw(batch.column("t"))
+            texts, named = raw(batch.column("t")), batch.column("id").to_pylist()
             for a, b in in_chunks(texts):
-                first, keys, sizes, index = [], [], [], []
-                for run, rarest in shingles_of(texts[a:b], n, shared.value):
-                    key = class_key(run)
-                    if not len(run) or key in met:
+                new = [k for k in range(a, b) if not (named[k] in met or met.add(named[k]))]
+                first, keys, sizes, rest, index = [], [], [], [], []
+                for k, (run, rarest) in zip(new, shingles_of([texts[k] for k in new], n, counts)):
+                    if not len(run):
                         continue
-                    met.add(key)
-                    some, n_index = prefix(run, rarest, percent)
+                    some, n_index = prefix(run, rarest, percent, common)
                     first.append(some)
-                    keys.append(key)
+                    keys.append(named[k])
                     sizes.append(len(run))
+                    rest.append(len(run) - np.arange(len(some), dtype=np.int32))
                     index.append(np.arange(len(some)) < n_index)
                 if first:
                     many = [len(f) for f in first]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(keys, many)),
-                        pa.array(np.repeat(sizes, many).astype(np.int32)), pa.array(np.concatenate(index))], ["region", "id", "size", "index"])
+                        pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(keys, many)), pa.array(np.repeat(sizes, many).astype(np.int32)),
+                        pa.array(np.concatenate(rest).astype(np.int32)), pa.array(np.concatenate(index))], ["region", "id", "size", "rest", "index"])
 
-    return rows.select("t").mapInArrow(batches, "region bigint, id bigint, size int, index boolean")
+    return rows.select("id", "t").mapInArrow(batches, "region bigint, id bigint, size int, rest int, index boolean")
 
 
-def _shared_regions(rows: DataFrame) -> DataFrame:
-    """The rows of regions with two classes and an index shingle, from one shuffle; a region streams through its task."""
+def _crowded(rows: DataFrame) -> DataFrame:
+    """(h: region): those with more than ``CROWD`` classes, from one shuffle."""
     of_region = Window.partitionBy("region")
-    told = rows.withColumns({"lo": F.min("id").over(of_region), "hi": F.max("id").over(of_region), "some": F.max("index").over(of_region)})
-    return told.filter("lo < hi AND some").select("region", "id", "size", "index").distinct()
+    told = rows.select("region", "id").withColumns({"lo": F.min("id").over(of_region), "hi": F.max("id").over(of_region), "n": F.count("*").over(of_region)})
+    members = told.filter((F.col("lo") < F.col("hi")) & (F.col("n") > CROWD)).select("region", "id").distinct()
+    return members.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select(F.col("region").alias("h"))
+
+
+def _drawn_regions(rows: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
+    """``_regions`` of rows (key, n_shingles, t), with common shingles behind all others.
+
+    Only the texts with a first shingle that has become a common one draw theirs anew; all others keep them, since what
+    moves back in their order stood behind their first shingles already.
+    """
+    of_class = rows.filter("n_shingles > 0").select(F.col("key").alias("id"), "t")
+    regions, common = materialise(_regions(of_class, counts, None, n, percent), "regions"), None
+    for _ in range(TURNS):
+        crowded = _crowded(regions)
+        if common is not None:
+            crowded = crowded.withColumn("bits", bit_table(common)).filter(~in_table(F.col("bits"), F.col("h"))).select("h")
+        crowded = materialise(crowded, "crowded")
+        if crowded.isEmpty():
+            break
+        common = crowded if common is None else common.unionByName(crowded)
+        moved = regions.withColumn("bits", bit_table(crowded)).filter(in_table(F.col("bits"), F.col("region"))).select("id").distinct()
+        moved = materialise(moved, "moved")
+        table = np.array(rows.sparkSession.range(1).select(bit_table(common).alias("b")).first()["b"], np.int64)
+        again = materialise(_regions(_texts(rows, moved), counts, table, n, percent), "regions")
+        regions = regions.join(moved, "id", "left_anti").unionByName(again)
+    return regions
+
+
+def _shared_regions(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of regions with two classes and an index shingle, from one shuffle; a region streams through its task.
+
+    A set of size x and rest r has partners of sizes up to (1 + t) / t r - x in a region: members whose partners would have to
+    be smaller than all sets of the region are left out, and those that are larger than any member's partners may be.
+    """
+    of_region = Window.partitionBy("region")
+    most = F.col("rest").cast("bigint") * (100 + percent) - F.col("size").cast("bigint") * percent  # percent times the largest partner
+    told = rows.withColumn("most", most).withColumns({
+        "lo": F.min("id").over(of_region), "hi": F.max("id").over(of_region), "some": F.max("index").over(of_region),
+        "least": F.min("size").over(of_region), "top": F.max("most").over(of_region)})
+    kept = told.filter(F.col("some") & (F.col("lo") < F.col("hi")) & (F.col("most") >= F.col("least").cast("bigint") * percent) & (
+        F.col("size").cast("bigint") * percent <= F.col("top")))
+    return kept.select("region", "id", "size", "rest", "index").distinct()
+
+
+def _first_meetings(regions: DataFrame) -> DataFrame:
+    """The regions with ``before``, the last few regions ahead of this one that a set lies in; regions whose members all come
+    from one region are left out, as every pair of them has met there."""
+    order = Window.partitionBy("id").orderBy(F.col("rest").desc())
+    told = regions.withColumn("last", F.lag("region").over(order))
+    of_region = Window.partitionBy("region")
+    told = told.withColumns({"lo": F.min("last").over(of_region), "hi": F.max("last").over(of_region), "new": F.max(F.col("last").isNull()).over(of_region)})
+    kept = told.filter("new OR lo < hi").select("region", "id", "size", "rest", "index")
+    before = F.filter(F.array(*[F.lag("region", k + 1).over(order) for k in range(BEFORE)]), lambda x: x.isNotNull())
+    return kept.withColumn("before", before)
 
 
 def _distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -254,38 +329,54 @@ def _size_windows(regions: DataFrame, percent: int) -> DataFrame:
     they lie in one window or the next. Members of a window are replicated into the next."""
     window = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     near = F.array(F.struct(window.alias("w"), F.lit(True).alias("own")), F.struct((window + 1).alias("w"), F.lit(False).alias("own")))
-    return regions.select("region", "id", "index", F.explode(near).alias("x")).select(F.xxhash64("region", "x.w").alias("region"), "id", "index", "x.own")
+    return _windows_of(regions, near)
+
+
+def _windows_of(regions: DataFrame, near: Column) -> DataFrame:
+    return regions.select(*KEPT, F.explode(near).alias("x")).select(F.xxhash64("region", "x.w").alias("region"), *KEPT[1:], "x.own")
 
 
 def _open_regions(live: DataFrame, comps: DataFrame, pivots: int, turn: int) -> DataFrame:
-    """(region, id, index, c: component, first, pivot): members of the regions that may still hold an unknown link, with
+    """(region, id, size, rest, index, c: component, first, pivot): members of the regions that may still hold an unknown link, with
     two components or more, a member of its own and one with an index shingle."""
-    named = live.join(comps, "id", "left").select("region", "id", "own", "index", F.coalesce("component", "id").alias("c"))
+    named = live.join(comps, "id", "left").select(*KEPT, "own", F.coalesce("component", "id").alias("c"))
     parts = named.groupBy("region", "c").agg(
-        F.count("*").alias("n"), F.max("own").alias("own"), F.max("index").alias("index"),
+        F.count("*").alias("n"), F.max("own").alias("own"), F.max("index").alias("index"), F.sum("rest").alias("rest"),
         F.sum(F.xxhash64("id", "own", "index").cast("decimal(38,0)")).alias("who"),
         F.min(F.struct((~F.col("index")).alias("probe"), _rank(F.col("id"), turn).alias("rank"), F.col("id").alias("id"))).alias("f"))
     kept = parts.groupBy("region").agg(
         F.count("*").alias("parts"), F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("largest"), F.max("own").alias("some"),
-        F.max("index").alias("index"), F.sum("who").alias("who"), F.min("f").alias("f")).filter("parts > 1 AND some AND index")
-    # Near copies share many shingles: of regions with the same members in the same roles one is enough.
-    kept = kept.groupBy("m", "who").agg(F.min(F.struct("region", "f", "largest")).alias("r")).select(
+        F.max("index").alias("index"), F.sum("rest").alias("rest"), F.sum("who").alias("who"), F.min("f").alias("f")).filter("parts > 1 AND some AND index")
+    # Near copies share many shingles: of regions with the same members in the same roles the one of the first shingle is
+    # enough, behind which every member has most shingles.
+    kept = kept.groupBy("m", "who").agg(F.max(F.struct("rest", "region", "f", "largest")).alias("r")).select(
         "r.region", F.col("r.f.id").alias("first"), F.col("r.largest.c").alias("main"), (F.col("m") - F.col("r.largest.n")).alias("strangers"))
     rank = _rank(F.col("id"), turn)  # drawn anew each turn, or those left over would all rank high
     chosen = F.col("id") == F.col("first")
     if pivots > 1:
         chosen = chosen | ((F.col("c") != F.col("main")) & (rank * F.col("strangers") < pivots))
-    return named.join(kept, "region").select("region", "id", named["index"], "c", "first", chosen.alias("pivot"))
+    return named.join(kept, "region").select(*KEPT, "c", "first", chosen.alias("pivot"))
 
 
-def _pairs(members: DataFrame) -> DataFrame:
+def _pairs(members: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
     """(a: pivot, b: member), each pair once; of two pivots the one of the lower rank is a. A pair of one component is
-    measured only if a is the first pivot, whose distances make the rings; so is a pair without an index shingle."""
-    p = members.filter("pivot").select(
-        "region", F.col("id").alias("a"), F.col("c").alias("ac"), F.col("index").alias("ai"), (F.col("id") == F.col("first")).alias("lead"))
-    both = p.join(members.select("region", F.col("id").alias("b"), F.col("c").alias("bc"), F.col("index").alias("bi"), F.col("pivot").alias("too")), "region")
+    measured only if a is the first pivot, whose distances make the rings; so is a pair without an index shingle, one with
+    too few shingles from the region's on, which links by an earlier shingle or not at all, and one with too many parity
+    bits apart; and one that has met in an earlier region is left to that one."""
+    bits = [x for x in parity.columns if x != "id"]
+
+    def side(x: str) -> list[Column]:
+        return [F.col(c).alias(f"{x}{c}") for c in ("c", "index", "size", "rest", "before", *bits)]
+
+    known = members.join(parity, "id")
+    p = known.filter("pivot").select("region", F.col("id").alias("a"), *side("a"), (F.col("id") == F.col("first")).alias("lead"))
+    both = p.join(known.select("region", F.col("id").alias("b"), *side("b"), F.col("pivot").alias("too")), "region")
     ordered = F.struct(_rank(F.col("a")), F.col("a")) < F.struct(_rank(F.col("b")), F.col("b"))
-    open_ = ((F.col("ac") != F.col("bc")) & (F.col("ai") | F.col("bi"))) | F.col("lead")
+    sizes = F.col("asize").cast("bigint") + F.col("bsize")
+    enough = F.least("arest", "brest").cast("bigint") * (100 + percent) >= sizes * percent
+    apart = reduce(add, [F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in bits])
+    near = apart * (100 + percent) <= sizes * (100 - percent)
+    open_ = ((F.col("ac") != F.col("bc")) & (F.col("aindex") | F.col("bindex")) & enough & near & ~F.arrays_overlap("abefore", "bbefore")) | F.col("lead")
     return both.filter((F.col("a") != F.col("b")) & (~F.col("too") | ordered) & open_).select("a", "b").distinct()
 
 
@@ -295,7 +386,7 @@ def _rings(members: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
     rest = members.filter("NOT pivot").join(d, ["first", "id"])
     ring = F.floor((F.col("either") - F.col("common")) * 100 / (F.col("either") * (100 - percent)) + 1e-9).cast("int")
     near = F.array(F.struct(ring.alias("w"), F.lit(True).alias("own")), F.struct((ring + 1).alias("w"), F.lit(False).alias("own")))
-    return rest.select("region", "id", "index", F.explode(near).alias("x")).select(F.xxhash64("region", "x.w").alias("region"), "id", "index", "x.own")
+    return _windows_of(rest, near)
 
 
 def _linked(measured: DataFrame, percent: int) -> DataFrame:
@@ -318,15 +409,15 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     Empty and NULL texts have no shingles and link with nothing. Equal sets link. Rows of one id are
     one document and one component. Rows with a NULL id link like others but are not counted for the smallest id.
     """
-    per_row = materialise(_classes(docs, id_column, text, n), "classes")
+    rows = materialise(_classes(docs, id_column, text, n), "classes")
+    per_row = rows.select("id", "key", "n_shingles")
     named = per_row.filter("n_shingles > 0")
     links_of_ids = named.filter("id IS NOT NULL").select("id", "key").distinct()
     least = links_of_ids.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a < z")
     links = links_of_ids.join(least, "id").filter("key <> a").select("a", F.col("key").alias("b"))
 
-    rows = docs.select(C.name(text).cast("string").alias("t"))
-    live = materialise(_size_windows(_shared_regions(_regions(rows, _sketch(rows), n, percent)), percent), "live")
-    texts = materialise(_texts(rows, live.select("id").distinct(), n), "texts")
+    live = materialise(_size_windows(_first_meetings(_shared_regions(_drawn_regions(rows, _sketch(rows), n, percent), percent)), percent), "live")
+    texts = materialise(_with_parity(_texts(rows, live.select("id").distinct()), n), "texts")
 
     measured = None
     labels = links.select(F.col("a").alias("id"), F.col("a").alias("component")).filter("false")
@@ -334,7 +425,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         members = materialise(_open_regions(live, labels, PIVOTS[min(k, len(PIVOTS) - 1)], k), "members")
         if members.isEmpty():
             break
-        pairs = _pairs(members)
+        pairs = _pairs(members, texts.drop("t"), percent)
         if measured is not None:
             seen = measured.select("a", "b").unionByName(measured.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(seen, ["a", "b"], "left_anti")

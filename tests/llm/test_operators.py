@@ -348,6 +348,47 @@ def test_near_copies_among_strangers_with_few_pivots(spark, monkeypatch):
     assert {(r["id"], r["n_shingles"], r["component_id"]) for r in rows} == expected
 
 
+def test_strangers_that_share_a_passage_are_not_measured_pair_by_pair(spark, monkeypatch):
+    """Texts of 60 common and 12 own words have a Jaccard index of 0.7: no link, and no reason to measure all pairs."""
+    n = 60
+    passage = [f"w{k}" for k in range(60)]
+    texts = {k: " ".join([*passage, *(f"own{k}x{j}" for j in range(12))]) for k in range(n)}
+    measured, distances = [], ngramjoin._distances
+
+    def counted(pairs, *more):
+        measured.append(pairs.count())
+        return distances(pairs, *more)
+
+    monkeypatch.setattr(ngramjoin, "_distances", counted)
+    ship(spark)
+    rows = ngramjoin.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {(r["id"], r["component_id"]) for r in rows} == {(k, k) for k in texts}
+    assert sum(measured) < 2 * n
+
+
+@pytest.mark.parametrize("turns", [1, 3])
+def test_links_stay_whole_when_first_shingles_are_drawn_anew(spark, monkeypatch, turns):
+    """Groups of near copies of several sizes and lengths around one passage, at and about the threshold."""
+    draw = random.Random(11)
+    passage = [f"p{k}" for k in range(40)]
+    texts = {}
+    for g in range(4):
+        body = [f"g{g}w{k}" for k in range(30 + 40 * g)]
+        for _ in range(22):
+            words = list(body)
+            for at in draw.sample(range(len(words)), draw.randint(0, 2 + g)):
+                words[at] = f"x{draw.randint(0, 5)}"
+            texts[len(texts)] = " ".join([*words[:len(words) - draw.randint(0, 9)], *passage[:draw.choice([0, 40, 40])]])
+    expected = linked(texts)
+    assert len(set(Counter(c for _, _, c in expected).values())) > 3
+    monkeypatch.setattr(ngramjoin, "CROWD", 3)
+    monkeypatch.setattr(ngramjoin, "TURNS", turns)
+    monkeypatch.setattr(ngramjoin, "PIVOTS", (1, 3))
+    ship(spark)
+    rows = ngramjoin.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)).collect()
+    assert {(r["id"], r["n_shingles"], r["component_id"]) for r in rows} == expected
+
+
 def test_quality_verdicts(docs, texts):
     rows = quality.quality_rules(docs).select("row.doc_id", "n_words", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
     assert len(rows) == len(corpus())
