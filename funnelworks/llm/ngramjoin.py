@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from funnelworks.llm import columns as C
 from funnelworks.llm import wordscan
-from funnelworks.llm.decontaminate import BITS, bit_table, in_table
+from funnelworks.llm.decontaminate import bit_table, in_table
 from funnelworks.llm.tokens import in_chunks, raw
 from funnelworks.sources.storage import materialise
 
@@ -53,6 +53,7 @@ PIVOTS = (1, 32, 512)
 CROWD = 16  # classes that make a region crowded and its shingle a common one
 BEFORE = 4  # earlier regions of a set that its row in a region names
 KEPT = ["region", "id", "size", "rest", "index", "before"]  # of a member of a region
+COMMON = 1 << 20  # common shingles of a turn at most; executors get 8 bytes of each
 PARITY = 16  # longs of a set's parity bits
 TURNS = 1  # times that first shingles are drawn anew at most; it is only the order that they make better
 
@@ -161,14 +162,13 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def prefix(shingles: np.ndarray, rarest: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, int]:
-    """The first |x| - ceil(t |x|) + 1 shingles in the fixed order, by whether they hit the bit table of common ones, rarest word
-    and hash, and how many of them, |x| - ceil(2 t / (1 + t) |x|) + 1, are index shingles."""
+    """The first |x| - ceil(t |x|) + 1 shingles in the fixed order, by whether they are common ones (sorted), rarest word and
+    hash, and how many of them, |x| - ceil(2 t / (1 + t) |x|) + 1, are index shingles."""
     size = len(shingles)
     keep = size - (-(-percent * size // 100)) + 1
     order = [shingles, rarest]
     if common is not None:
-        slot = _slots(shingles, 1 << BITS)
-        order.append(common[slot >> 6] >> (slot & 63) & 1)
+        order.append(common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles)
     return shingles[np.lexsort(order)[:keep]], size - (-(-2 * percent * size // (100 + percent))) + 1
 
 
@@ -207,11 +207,12 @@ def _regions(rows: DataFrame, counts: np.ndarray, common: np.ndarray | None, n:
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
-    """(h: region): those with more than ``CROWD`` classes, from one shuffle."""
-    of_region = Window.partitionBy("region")
-    told = rows.select("region", "id").withColumns({"lo": F.min("id").over(of_region), "hi": F.max("id").over(of_region), "n": F.count("*").over(of_region)})
-    members = told.filter((F.col("lo") < F.col("hi")) & (F.col("n") > CROWD)).select("region", "id").distinct()
-    return members.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select(F.col("region").alias("h"))
+    """(region): those with more than ``CROWD`` classes, of very many the most crowded. Only regions with as many rows
+    are looked into, since a class may come from several tasks."""
+    many = rows.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("region")
+    classes = rows.join(materialise(many, "crowded"), "region", "left_semi").select("region", "id").distinct()
+    counted = classes.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
+    return counted.orderBy(F.col("n").desc(), "region").limit(COMMON).select("region")
 
 
 def _drawn_regions(rows: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -221,19 +222,15 @@ def _drawn_regions(rows: DataFrame, counts: np.ndarray, n: int, percent: int) ->
     moves back in their order stood behind their first shingles already.
     """
     of_class = rows.filter("n_shingles > 0").select(F.col("key").alias("id"), "t")
-    regions, common = materialise(_regions(of_class, counts, None, n, percent), "regions"), None
+    regions, common = materialise(_regions(of_class, counts, None, n, percent), "regions"), np.zeros(0, np.uint64)
     for _ in range(TURNS):
-        crowded = _crowded(regions)
-        if common is not None:
-            crowded = crowded.withColumn("bits", bit_table(common)).filter(~in_table(F.col("bits"), F.col("h"))).select("h")
-        crowded = materialise(crowded, "crowded")
-        if crowded.isEmpty():
+        crowded = materialise(_crowded(regions), "crowded")
+        new = np.setdiff1d(crowded.toArrow()["region"].to_numpy().view(np.uint64), common)  # at most COMMON
+        if not len(new):
             break
-        common = crowded if common is None else common.unionByName(crowded)
-        moved = regions.withColumn("bits", bit_table(crowded)).filter(in_table(F.col("bits"), F.col("region"))).select("id").distinct()
-        moved = materialise(moved, "moved")
-        table = np.array(rows.sparkSession.range(1).select(bit_table(common).alias("b")).first()["b"], np.int64)
-        again = materialise(_regions(_texts(rows, moved), counts, table, n, percent), "regions")
+        common = np.union1d(common, new)
+        moved = materialise(regions.join(crowded, "region", "left_semi").select("id").distinct(), "moved")
+        again = materialise(_regions(_texts(rows, moved), counts, common, n, percent), "regions")
         regions = regions.join(moved, "id", "left_anti").unionByName(again)
     return regions
 
@@ -409,7 +406,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     Empty and NULL texts have no shingles and link with nothing. Equal sets link. Rows of one id are
     one document and one component. Rows with a NULL id link like others but are not counted for the smallest id.
     """
-    rows = materialise(_classes(docs, id_column, text, n), "classes")
+    rows = materialise(_classes(docs, id_column, text, n), "classes", "zstd")
     per_row = rows.select("id", "key", "n_shingles")
     named = per_row.filter("n_shingles > 0")
     links_of_ids = named.filter("id IS NOT NULL").select("id", "key").distinct()
@@ -417,7 +414,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     links = links_of_ids.join(least, "id").filter("key <> a").select("a", F.col("key").alias("b"))
 
     live = materialise(_size_windows(_first_meetings(_shared_regions(_drawn_regions(rows, _sketch(rows), n, percent), percent)), percent), "live")
-    texts = materialise(_with_parity(_texts(rows, live.select("id").distinct()), n), "texts")
+    texts = materialise(_with_parity(_texts(rows, live.select("id").distinct()), n), "texts", "zstd")
 
     measured = None
     labels = links.select(F.col("a").alias("id"), F.col("a").alias("component")).filter("false")

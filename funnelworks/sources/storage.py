@@ -21,9 +21,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as a columnar table in the checkpoint folder and read it back."""
+def materialise(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` once as a columnar table in the checkpoint folder and read it back; ``compression``, if not the session's,
+    is for whole texts."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
