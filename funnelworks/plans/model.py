@@ -26,6 +26,7 @@ MAX_DEPTH, LEARNING_RATE, SEED = 6, 0.08, 42
 MAX_ITER, MAX_BINS, MIN_LEAF_ROWS = 100, 255, 20
 REFIT_TREES, REFIT_STEP = 20, 0.3  # of the median model
 MAX_LEVELS = 100_000  # of all categorical features: they come to the driver, one vector position each
+TASK_ROWS = 16_384  # of training rows: boosting runs two stages a level and tree, so smaller tasks are mostly overhead
 REPEATS = 5
 ZERO_PREDICTION = 1e-6
 GROUPING = ("channel", "campaign_id", "platform", "reg_within_14d")  # columns of scored rows
@@ -65,6 +66,15 @@ def fill_values(train: DataFrame, numeric: Sequence[str], categorical: Sequence[
     return fills, levels
 
 
+def in_full_tasks(train: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """``train`` in no more partitions than the cluster has cores, or than hold ``rows`` rows each.
+
+    Every task of every level and tree reports to the driver, so their number must not follow the files of the table.
+    """
+    full = -(-train.count() // rows)
+    return train.coalesce(max(1, min(full, train.sparkSession.sparkContext.defaultParallelism)))
+
+
 @dataclass(frozen=True)
 class LtvModel:
     numeric: list[str]
@@ -146,7 +156,7 @@ def fit_ltv(
             checkpointInterval=10, maxMemoryInMB=512,
         ),
     ]
-    prepared = _prepare(train, numeric, categorical, fills).withColumn("label", F.log1p(target))
+    prepared = _prepare(in_full_tasks(train), numeric, categorical, fills).withColumn("label", F.log1p(target))
     fitted = LtvModel(numeric, categorical, fills, Pipeline(stages=stages).fit(prepared))
     return fitted if loss == "squared" else ForestModel(median_forest(fitted.forest(), train, F.log1p(target)))
 

@@ -90,6 +90,21 @@ def test_importance_of_driver_noise_and_constant(spark, study):
     assert out["driver"]["importance_mean"] > out["kind"]["importance_mean"] > abs(out["noise"]["importance_mean"])
 
 
+def test_boosting_runs_in_no_more_tasks_than_rows_fill(spark, monkeypatch):
+    many = spark.range(1_000, numPartitions=37)
+    assert model.in_full_tasks(many).rdd.getNumPartitions() == 1
+    cores = spark.sparkContext.defaultParallelism
+    few = model.in_full_tasks(many, rows=10)
+    assert few.rdd.getNumPartitions() == cores and few.count() == 1_000
+    assert model.in_full_tasks(many.filter("id < 0")).count() == 0
+
+    seen = []
+    monkeypatch.setattr(model, "in_full_tasks", lambda train, real=model.in_full_tasks: seen.append(real(train)) or seen[-1])
+    train = materialise(invented(spark, 200, 1).repartition(16), "train")
+    model.fit_ltv(train, FEATURES, "y", max_iter=1)
+    assert [x.rdd.getNumPartitions() for x in seen] == [1] and seen[0].count() == 200
+
+
 def test_median_model_reaches_the_median_of_a_skewed_target(spark):
     """Six of ten labels are 0 whatever the features say, the others are large."""
     rng = random.Random(7)
