@@ -240,7 +240,8 @@ def permutation_importance(
     """Loss of R² (log scale) when one raw feature at a time is shuffled between test rows.
 
     ``test`` needs a dense ``row_index``. Every row computes which slots take its values and meets them in one join; the
-    variants (feature x repeat) are then unfolded, scored and summed up without another shuffle of rows.
+    variants (feature x repeat) are then unfolded, scored and summed up without another shuffle of rows. The join deals
+    rows out by slot: a broadcast would send them all through the driver and leave the scoring to the tasks that read them.
     Every feature uses the same permutations.
     """
     bounds = test.agg(F.min("row_index").alias("first"), F.count(F.lit(1)).alias("size")).first()
@@ -255,7 +256,7 @@ def permutation_importance(
         F.pmod((slot + F.lit(size - offset)) * F.lit(inverse).cast("decimal(18,0)"), F.lit(max(size, 1)).cast("decimal(18,0)")).cast("bigint").alias("_slot"),
     ) for k, (_, inverse, offset) in enumerate(permutations(size, repeats, seed))]
     donors = rows.select(F.explode(F.array(*taker)).alias("_to"), *[F.col(f).alias(f"_d_{f}") for f in features])
-    pairs = rows.join(donors.select("_to.*", *[f"_d_{f}" for f in features]), "_slot")
+    pairs = rows.hint("merge").join(donors.select("_to.*", *[f"_d_{f}" for f in features]), "_slot")
     unfolded = pairs.withColumn("_feature", F.explode(F.array(*[F.lit(f) for f in features])))
     variants = unfolded.select(
         "_feature", "_repeat", "_truth",

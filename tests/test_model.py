@@ -90,6 +90,13 @@ def test_importance_of_driver_noise_and_constant(spark, study):
     assert out["driver"]["importance_mean"] > out["kind"]["importance_mean"] > abs(out["noise"]["importance_mean"])
 
 
+def test_importance_is_scored_by_slot_and_sends_no_rows_to_the_driver(spark, study):
+    _, test, fitted = study
+    plan = model.permutation_importance(fitted, test, FEATURES, "y")._jdf.queryExecution().toString()
+    to_rows = [x for x in plan.splitlines() if "Join" in x and "_slot" in x]
+    assert to_rows and any("SortMergeJoin" in x for x in to_rows) and not any("BroadcastHashJoin" in x for x in to_rows)
+
+
 def test_boosting_runs_in_no_more_tasks_than_rows_fill(spark, monkeypatch):
     many = spark.range(1_000, numPartitions=37)
     assert model.in_full_tasks(many).rdd.getNumPartitions() == 1
