@@ -21,6 +21,7 @@ lie more than r apart as seen from a pivot are more than r apart. The join uses
 * A region is then cut into rings by the distance to its pivot, ring k holding k r <= d < (k + 1) r.
   Documents of neighbouring rings may still be partners, so each ring's members are
   replicated into the next ring; rings further apart are ruled out by the triangle inequality.
+  A pair of one ring meets there alone, not again where both are copies; the same holds for the windows of sizes.
 * Each ring is a region of the next round, without the pivot, whose pairs are all settled. Regions whose
   members are all in one component are settled too. Rounds go on until no region is left: the result is exact.
 
@@ -51,8 +52,9 @@ SKETCH_BITS = 20  # 2**20 counters, 4 MiB, are what executors get of the corpus
 # then as many strangers as the last number says are settled at once.
 PIVOTS = (1, 32, 512)
 CROWD = 16  # classes that make a region crowded and its shingle a common one
-BEFORE = 4  # earlier regions of a set that its row in a region names
-KEPT = ["region", "id", "size", "rest", "index", "before"]  # of a member of a region
+BEFORE = 32  # earlier regions of a set that its row in a region names
+KEPT = ["region", "id", "size", "rest", "index", "before", "copy"]  # of a member of a region
+LEVELS = 62  # cuts into windows and rings of which a member's row says whether it is a copy there
 COMMON = 1 << 20  # common shingles of a turn at most; executors get 8 bytes of each
 PARITY = 16  # longs of a set's parity bits
 TURNS = 1  # times that first shingles are drawn anew at most; it is only the order that they make better
@@ -259,15 +261,18 @@ def _first_meetings(regions: DataFrame) -> DataFrame:
     of_region = Window.partitionBy("region")
     told = told.withColumns({"lo": F.min("last").over(of_region), "hi": F.max("last").over(of_region), "new": F.max(F.col("last").isNull()).over(of_region)})
     kept = told.filter("new OR lo < hi").select("region", "id", "size", "rest", "index")
-    before = F.filter(F.array(*[F.lag("region", k + 1).over(order) for k in range(BEFORE)]), lambda x: x.isNotNull())
-    return kept.withColumn("before", before)
+    before = F.collect_list("region").over(order.rowsBetween(-BEFORE, -1))
+    return kept.withColumn("before", before).withColumn("copy", F.lit(0).cast("bigint"))
 
 
 def _distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """(a, b, common, either): sizes of intersection and union of the sets of two classes.
 
-    Rows come sorted by ``a``, the pivot where there is one, so that its set is built once in a row.
+    Rows come sorted by ``a``, the pivot where there is one, so that its set is built once in a row. A bit table of fixed size
+    spares most texts that stand in no pair the shuffle; ``pairs`` is a written table.
     """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("h"))
+    texts = texts.select("id", "t").withColumn("bits", bit_table(ids)).filter(in_table(F.col("bits"), F.col("id"))).drop("bits")
     left = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("bt")), "b")
     both = left.join(texts.select(F.col("id").alias("a"), F.col("t").alias("at")), "a").sortWithinPartitions("a")
 
@@ -325,25 +330,27 @@ def _size_windows(regions: DataFrame, percent: int) -> DataFrame:
     """Regions cut by set size, a distance to the empty set: sets of Jaccard >= t have sizes within a factor t, so
     they lie in one window or the next. Members of a window are replicated into the next."""
     window = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    near = F.array(F.struct(window.alias("w"), F.lit(True).alias("own")), F.struct((window + 1).alias("w"), F.lit(False).alias("own")))
-    return _windows_of(regions, near)
+    return _windows_of(regions, window, 0)
 
 
-def _windows_of(regions: DataFrame, near: Column) -> DataFrame:
-    return regions.select(*KEPT, F.explode(near).alias("x")).select(F.xxhash64("region", "x.w").alias("region"), *KEPT[1:], "x.own")
+def _windows_of(regions: DataFrame, window: Column, level: int) -> DataFrame:
+    """Members in their window and, as copies, in the next. Two that are copies of one level have met in the window before."""
+    copy = F.col("copy").bitwiseOR(F.lit(1 << level if level < LEVELS else 0).cast("bigint"))
+    near = F.array(F.struct(window.alias("w"), F.col("copy").alias("copy")), F.struct((window + 1).alias("w"), copy.alias("copy")))
+    return regions.select(*KEPT, F.explode(near).alias("x")).select(F.xxhash64("region", "x.w").alias("region"), *KEPT[1:-1], "x.copy")
 
 
 def _open_regions(live: DataFrame, comps: DataFrame, pivots: int, turn: int) -> DataFrame:
-    """(region, id, size, rest, index, c: component, first, pivot): members of the regions that may still hold an unknown link, with
-    two components or more, a member of its own and one with an index shingle."""
-    named = live.join(comps, "id", "left").select(*KEPT, "own", F.coalesce("component", "id").alias("c"))
+    """(region, id, size, rest, index, before, copy, c: component, first, pivot): members of the regions that may still hold an unknown link,
+    with two components or more, at every level a member that is no copy, and one with an index shingle."""
+    named = live.join(comps, "id", "left").select(*KEPT, F.coalesce("component", "id").alias("c"))
     parts = named.groupBy("region", "c").agg(
-        F.count("*").alias("n"), F.max("own").alias("own"), F.max("index").alias("index"), F.sum("rest").alias("rest"),
-        F.sum(F.xxhash64("id", "own", "index").cast("decimal(38,0)")).alias("who"),
+        F.count("*").alias("n"), F.bit_and("copy").alias("copy"), F.max("index").alias("index"), F.sum("rest").alias("rest"),
+        F.sum(F.xxhash64("id", "copy", "index").cast("decimal(38,0)")).alias("who"),
         F.min(F.struct((~F.col("index")).alias("probe"), _rank(F.col("id"), turn).alias("rank"), F.col("id").alias("id"))).alias("f"))
     kept = parts.groupBy("region").agg(
-        F.count("*").alias("parts"), F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("largest"), F.max("own").alias("some"),
-        F.max("index").alias("index"), F.sum("rest").alias("rest"), F.sum("who").alias("who"), F.min("f").alias("f")).filter("parts > 1 AND some AND index")
+        F.count("*").alias("parts"), F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("largest"), F.bit_and("copy").alias("copy"),
+        F.max("index").alias("index"), F.sum("rest").alias("rest"), F.sum("who").alias("who"), F.min("f").alias("f")).filter("parts > 1 AND copy = 0 AND index")
     # Near copies share many shingles: of regions with the same members in the same roles the one of the first shingle is
     # enough, behind which every member has most shingles.
     kept = kept.groupBy("m", "who").agg(F.max(F.struct("rest", "region", "f", "largest")).alias("r")).select(
@@ -357,13 +364,14 @@ def _open_regions(live: DataFrame, comps: DataFrame, pivots: int, turn: int) ->
 
 def _pairs(members: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
     """(a: pivot, b: member), each pair once; of two pivots the one of the lower rank is a. A pair of one component is
-    measured only if a is the first pivot, whose distances make the rings; so is a pair without an index shingle, one with
+    measured only if a is the first pivot, whose distances make the rings; so is a pair of copies of one level, which meets in
+    another window or ring, one without an index shingle, one with
     too few shingles from the region's on, which links by an earlier shingle or not at all, and one with too many parity
     bits apart; and one that has met in an earlier region is left to that one."""
     bits = [x for x in parity.columns if x != "id"]
 
     def side(x: str) -> list[Column]:
-        return [F.col(c).alias(f"{x}{c}") for c in ("c", "index", "size", "rest", "before", *bits)]
+        return [F.col(c).alias(f"{x}{c}") for c in ("c", "index", "size", "rest", "before", "copy", *bits)]
 
     known = members.join(parity, "id")
     p = known.filter("pivot").select("region", F.col("id").alias("a"), *side("a"), (F.col("id") == F.col("first")).alias("lead"))
@@ -373,17 +381,17 @@ def _pairs(members: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
     enough = F.least("arest", "brest").cast("bigint") * (100 + percent) >= sizes * percent
     apart = reduce(add, [F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in bits])
     near = apart * (100 + percent) <= sizes * (100 - percent)
-    open_ = ((F.col("ac") != F.col("bc")) & (F.col("aindex") | F.col("bindex")) & enough & near & ~F.arrays_overlap("abefore", "bbefore")) | F.col("lead")
+    once = F.col("acopy").bitwiseAND(F.col("bcopy")) == 0
+    open_ = ((F.col("ac") != F.col("bc")) & once & (F.col("aindex") | F.col("bindex")) & enough & near & ~F.arrays_overlap("abefore", "bbefore")) | F.col("lead")
     return both.filter((F.col("a") != F.col("b")) & (~F.col("too") | ordered) & open_).select("a", "b").distinct()
 
 
-def _rings(members: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
+def _rings(members: DataFrame, measured: DataFrame, percent: int, level: int) -> DataFrame:
     """Next regions: members by the ring of their distance to the region's first pivot, and in the next ring."""
     d = measured.unionByName(measured.select(F.col("b").alias("a"), F.col("a").alias("b"), "common", "either")).withColumnsRenamed({"a": "first", "b": "id"})
     rest = members.filter("NOT pivot").join(d, ["first", "id"])
     ring = F.floor((F.col("either") - F.col("common")) * 100 / (F.col("either") * (100 - percent)) + 1e-9).cast("int")
-    near = F.array(F.struct(ring.alias("w"), F.lit(True).alias("own")), F.struct((ring + 1).alias("w"), F.lit(False).alias("own")))
-    return _windows_of(rest, near)
+    return _windows_of(rest, ring, level)
 
 
 def _linked(measured: DataFrame, percent: int) -> DataFrame:
@@ -414,22 +422,22 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     links = links_of_ids.join(least, "id").filter("key <> a").select("a", F.col("key").alias("b"))
 
     live = materialise(_size_windows(_first_meetings(_shared_regions(_drawn_regions(rows, _sketch(rows), n, percent), percent)), percent), "live")
-    texts = materialise(_with_parity(_texts(rows, live.select("id").distinct()), n), "texts", "zstd")
-
-    measured = None
+    texts = measured = None
     labels = links.select(F.col("a").alias("id"), F.col("a").alias("component")).filter("false")
     for k in range(1 << 30):
         members = materialise(_open_regions(live, labels, PIVOTS[min(k, len(PIVOTS) - 1)], k), "members")
         if members.isEmpty():
             break
+        if texts is None:  # members of later regions are among those of the first
+            texts = materialise(_with_parity(_texts(rows, members.select("id").distinct()), n), "texts", "zstd")
         pairs = _pairs(members, texts.drop("t"), percent)
         if measured is not None:
             seen = measured.select("a", "b").unionByName(measured.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        new = materialise(_distances(pairs, texts, n), "distances")
+        new = materialise(_distances(materialise(pairs, "pairs"), texts, n), "distances")
         measured = new if measured is None else measured.unionByName(new)
         labels = materialise(_labels(_linked(measured, percent)), "labels")
-        live = materialise(_rings(members, measured, percent), "live")
+        live = materialise(_rings(members, measured, percent, k + 1), "live")
     comps = components(links if measured is None else links.unionByName(_linked(measured, percent)))
 
     node = F.when(F.col("n_shingles") > 0, F.coalesce("component", "key"))

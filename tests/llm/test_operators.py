@@ -366,6 +366,23 @@ def test_strangers_that_share_a_passage_are_not_measured_pair_by_pair(spark, mon
     assert sum(measured) < 2 * n
 
 
+def test_a_pair_meets_in_one_window_of_its_first_common_region(spark):
+    """Three near copies share ten regions, each of them with a stranger of its own, and every region has two windows."""
+    rows = [(k, i, 100, 100 - k, True) for i in (1, 2, 3) for k in range(10)] + [(k, 100 + k, 100, 100, True) for k in range(10)]
+    first = ngramjoin._first_meetings(spark.createDataFrame(rows, "region bigint, id bigint, size int, rest int, index boolean"))
+    live = ngramjoin._size_windows(first, 80).collect()
+    assert max(len(r["before"]) for r in live) == 9
+    groups = defaultdict(list)
+    for r in live:
+        groups[r["region"]].append(r)
+    met = Counter(
+        (a["id"], b["id"]) for g in groups.values() for a in g for b in g
+        if a["id"] < b["id"] and not a["copy"] & b["copy"] and not set(a["before"]) & set(b["before"]))
+    assert len(groups) == 20
+    assert {p: n for p, n in met.items() if p[1] < 100} == {(1, 2): 1, (1, 3): 1, (2, 3): 1}
+    assert all(met[i, 100 + k] == 1 for i in (1, 2, 3) for k in range(10))
+
+
 @pytest.mark.parametrize("turns", [1, 3])
 def test_links_stay_whole_when_first_shingles_are_drawn_anew(spark, monkeypatch, turns):
     """Groups of near copies of several sizes and lengths around one passage, at and about the threshold."""
