@@ -113,27 +113,56 @@ def _classes(docs: DataFrame, id_column: str, text: str, n: int) -> DataFrame:
     return rows.mapInArrow(batches, "id bigint, key bigint, n_shingles bigint, t string")
 
 
+def _near(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id: class key, t) of the rows of ``ids`` and a few more: a bit table of fixed size spares most others the shuffle."""
+    return _hits(rows.select(F.col("key").alias("id"), "t"), "id", ids)
+
+
 def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id: class key, t): one text per class of ``ids``. A bit table of fixed size spares most others the shuffle."""
-    near = rows.select(F.col("key").alias("id"), "t").withColumn("bits", bit_table(ids.select(F.col("id").alias("h")))).filter(in_table(F.col("bits"), F.col("id")))
-    return near.select("id", "t").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    """(id: class key, z, size): one text per class of ``ids`` and of a few others, packed by itself, since text that moves
+    in rows of many kinds is packed badly. A task names a class once."""
+    def batches(it: Iterator) -> Iterator:
+        met: set[int] = set()  # 64 bits a document of the partition
+        for batch in it:
+            texts, named = raw(batch.column("t")), batch.column("id").to_pylist()
+            for a, b in in_chunks(texts):
+                new = [k for k in range(a, b) if not (named[k] in met or met.add(named[k]))]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([named[k] for k in new], pa.int64()), pa.array([pa.compress(texts[k], "zstd", asbytes=True) for k in new], pa.binary()),
+                    pa.array([len(texts[k]) for k in new], pa.int32())], ["id", "z", "size"])
 
+    return _near(rows, ids).mapInArrow(batches, "id bigint, z binary, size int").dropDuplicates(["id"])
 
-def _with_parity(texts: DataFrame, n: int) -> DataFrame:
-    """(id, t, p0, p1, ...): whether an odd number of the set's shingles falls on each of some bits. As many bits as differ
-    between two sets, so many shingles at least are not common to them."""
+
+def _unpacked(z: pa.Array, size: pa.Array, a: int, b: int) -> list[bytes]:
+    return [pa.decompress(z[k].as_buffer(), size[k].as_py(), "zstd", asbytes=True) for k in range(a, b)]
+
+
+def _pieces(size: pa.Array) -> Iterator[tuple[int, int]]:
+    """Slices of a batch of packed texts of some 1 MB."""
+    ends = np.cumsum(size.to_numpy()) >> 20
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(size)]
+    return ((a, b) for a, b in zip(cuts, cuts[1:]) if a < b)
+
+
+def _parity(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id: class key, p0, p1, ...) of ``ids``, a written table: whether an odd number of the set's shingles falls on each of some
+    bits. As many bits as differ between two sets, so many shingles at least are not common to them."""
     names = [f"p{k}" for k in range(PARITY)]
 
     def batches(it: Iterator) -> Iterator:
+        met: set[int] = set()  # 64 bits a document of the partition
         for batch in it:
-            t = raw(batch.column("t"))
+            t, named = raw(batch.column("t")), batch.column("id").to_pylist()
             for a, b in in_chunks(t):
-                odd = [np.bincount(_slots(x, 64 * PARITY), minlength=64 * PARITY) & 1 for x in shingle_sets(t[a:b], n)]
+                new = [k for k in range(a, b) if not (named[k] in met or met.add(named[k]))]
+                odd = [np.bincount(_slots(x, 64 * PARITY), minlength=64 * PARITY) & 1 for x in shingle_sets([t[k] for k in new], n)]
                 bits = np.packbits(np.array(odd, np.uint8).reshape(-1, 64 * PARITY), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("id").slice(a, b - a), batch.column("t").slice(a, b - a), *(pa.array(x) for x in bits.T.copy())], ["id", "t", *names])
+                    pa.array([named[k] for k in new], pa.int64()), *(pa.array(x) for x in bits.T.copy())], ["id", *names])
 
-    return texts.mapInArrow(batches, "id bigint, t string, " + ", ".join(f"{x} bigint" for x in names))
+    told = _near(rows, ids).mapInArrow(batches, "id bigint, " + ", ".join(f"{x} bigint" for x in names))
+    return told.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -208,32 +237,64 @@ def _regions(rows: DataFrame, counts: np.ndarray, common: np.ndarray | None, n:
     return rows.select("id", "t").mapInArrow(batches, "region bigint, id bigint, size int, rest int, index boolean")
 
 
+def _hits(rows: DataFrame, column: str, some: DataFrame, hit: bool = True) -> DataFrame:
+    """``rows`` with a ``column`` that a bit table of ``some``, of a fixed size, has, or those it has not."""
+    test = in_table(F.col("bits"), F.col(column))
+    return rows.withColumn("bits", bit_table(some.select(F.col(column).alias("h")))).filter(test if hit else ~test).drop("bits")
+
+
+def _held(rows: DataFrame, column: str, some: DataFrame) -> DataFrame:
+    """``rows`` with a ``column`` in ``some``, a written table; few others are shuffled."""
+    return _hits(rows, column, some).join(some, column, "left_semi")
+
+
 def _crowded(rows: DataFrame) -> DataFrame:
     """(region): those with more than ``CROWD`` classes, of very many the most crowded. Only regions with as many rows
     are looked into, since a class may come from several tasks."""
     many = rows.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("region")
-    classes = rows.join(materialise(many, "crowded"), "region", "left_semi").select("region", "id").distinct()
+    classes = _held(rows, "region", materialise(many, "crowded")).select("region", "id").distinct()
     counted = classes.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD)
     return counted.orderBy(F.col("n").desc(), "region").limit(COMMON).select("region")
 
 
+def _often(texts: DataFrame, counts: np.ndarray, n: int) -> DataFrame:
+    """(region): the shingles of more than ``CROWD`` of ``texts``, packed ones, one a class, of very many the most frequent. A shingle
+    with a word that the corpus holds no more often is not counted."""
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def batches(it: Iterator) -> Iterator:
+        for batch in it:
+            z, size = batch.column("z"), batch.column("size")
+            for a, b in _pieces(size):
+                sets = [run[rarest > CROWD] for run, rarest in shingles_of(_unpacked(z, size, a, b), n, shared.value)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["region"])
+
+    held = texts.select("z", "size").mapInArrow(batches, "region bigint").groupBy("region").agg(F.count("*").alias("n"))
+    return held.filter(F.col("n") > CROWD).orderBy(F.col("n").desc(), "region").limit(COMMON).select("region")
+
+
 def _drawn_regions(rows: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
     """``_regions`` of rows (key, n_shingles, t), with common shingles behind all others.
 
     Only the texts with a first shingle that has become a common one draw theirs anew; all others keep them, since what
-    moves back in their order stood behind their first shingles already.
+    moves back in their order stood behind their first shingles already, and may draw the same ones again. Texts whose first shingles are crowded ones to a
+    quarter or more tell the common shingles behind these, too: then a text's own come ahead of all of a
+    shared passage, and how much is left from its first shingle on tells whether two may link.
     """
-    of_class = rows.filter("n_shingles > 0").select(F.col("key").alias("id"), "t")
-    regions, common = materialise(_regions(of_class, counts, None, n, percent), "regions"), np.zeros(0, np.uint64)
+    of_class = rows.filter("n_shingles > 0")
+    regions, common = materialise(_regions(of_class.select(F.col("key").alias("id"), "t"), counts, None, n, percent), "regions"), np.zeros(0, np.uint64)
     for _ in range(TURNS):
         crowded = materialise(_crowded(regions), "crowded")
         new = np.setdiff1d(crowded.toArrow()["region"].to_numpy().view(np.uint64), common)  # at most COMMON
         if not len(new):
             break
-        common = np.union1d(common, new)
-        moved = materialise(regions.join(crowded, "region", "left_semi").select("id").distinct(), "moved")
-        again = materialise(_regions(_texts(rows, moved), counts, common, n, percent), "regions")
-        regions = regions.join(moved, "id", "left_anti").unionByName(again)
+        alike = _held(regions, "region", crowded).groupBy("id").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+        alike = materialise(alike.filter(F.col("n") * 400 >= F.col("size") * (100 - percent)).select("id"), "alike")
+        often = materialise(_often(_texts(of_class, alike), counts, n), "often").unionByName(crowded).distinct()
+        common = np.union1d(common, often.toArrow()["region"].to_numpy().view(np.uint64))  # at most twice COMMON
+        moved = materialise(_held(regions, "region", often).select("id").distinct(), "moved")
+        again = materialise(_regions(_near(of_class, moved), counts, common, n, percent), "regions")
+        regions = _hits(regions, "id", moved, False).unionByName(again)
     return regions
 
 
@@ -245,6 +306,10 @@ def _shared_regions(rows: DataFrame, percent: int) -> DataFrame:
     """
     of_region = Window.partitionBy("region")
     most = F.col("rest").cast("bigint") * (100 + percent) - F.col("size").cast("bigint") * percent  # percent times the largest partner
+    size, rest = F.col("size").cast("bigint"), F.col("rest").cast("bigint")
+    packed = F.shiftleft(size, 32).bitwiseOR(F.shiftleft(rest, 1)).bitwiseOR(F.col("index").cast("bigint"))  # one number to shuffle
+    of_key = rows.select("region", "id", packed.alias("x")).repartition("region")
+    rows = of_key.select("region", "id", F.shiftright("x", 32).cast("int").alias("size"), (F.shiftright("x", 1) % (1 << 31)).cast("int").alias("rest"), (F.col("x") % 2 == 1).alias("index"))
     told = rows.withColumn("most", most).withColumns({
         "lo": F.min("id").over(of_region), "hi": F.max("id").over(of_region), "some": F.max("index").over(of_region),
         "least": F.min("size").over(of_region), "top": F.max("most").over(of_region)})
@@ -265,26 +330,25 @@ def _first_meetings(regions: DataFrame) -> DataFrame:
     return kept.withColumn("before", before).withColumn("copy", F.lit(0).cast("bigint"))
 
 
-def _distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+def _distances(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """(a, b, common, either): sizes of intersection and union of the sets of two classes.
 
-    Rows come sorted by ``a``, the pivot where there is one, so that its set is built once in a row. A bit table of fixed size
-    spares most texts that stand in no pair the shuffle; ``pairs`` is a written table.
+    Rows come sorted by ``a``, the pivot where there is one, so that its set is built once in a row. Only texts that stand in a
+    pair are shuffled, and few others; ``pairs`` is a written table.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("h"))
-    texts = texts.select("id", "t").withColumn("bits", bit_table(ids)).filter(in_table(F.col("bits"), F.col("id"))).drop("bits")
-    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("bt")), "b")
-    both = left.join(texts.select(F.col("id").alias("a"), F.col("t").alias("at")), "a").sortWithinPartitions("a")
+    texts = _texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("z").alias("bz"), F.col("size").alias("bsize")), "b")
+    both = left.join(texts.select(F.col("id").alias("a"), F.col("z").alias("az"), F.col("size").alias("asize")), "a").sortWithinPartitions("a")
 
     def batches(it: Iterator) -> Iterator:
         known, of_a = None, np.zeros(0, np.uint64)
         for batch in it:
-            a, texts, a_texts = batch.column("a").to_pylist(), raw(batch.column("bt")), batch.column("at")
-            for s, e in in_chunks(texts):
+            a, (az, asize, bz, bsize) = batch.column("a").to_pylist(), (batch.column(x) for x in ("az", "asize", "bz", "bsize"))
+            for s, e in _pieces(bsize):
                 common, either = [], []
-                for k, of_b in zip(range(s, e), shingle_sets(texts[s:e], n)):
+                for k, of_b in zip(range(s, e), shingle_sets(_unpacked(bz, bsize, s, e), n)):
                     if a[k] != known:
-                        known, of_a = a[k], shingle_sets([a_texts[k].as_py().encode()], n)[0]
+                        known, of_a = a[k], shingle_sets(_unpacked(az, asize, k, k + 1), n)[0]
                     same = len(np.intersect1d(of_b, of_a, assume_unique=True))
                     common.append(same)
                     either.append(len(of_a) + len(of_b) - same)
@@ -292,7 +356,7 @@ def _distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                     batch.column("a").slice(s, e - s), batch.column("b").slice(s, e - s),
                     pa.array(common, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "common", "either"])
 
-    return both.select("a", "b", "bt", "at").mapInArrow(batches, "a bigint, b bigint, common bigint, either bigint")
+    return both.select("a", "b", "az", "asize", "bz", "bsize").mapInArrow(batches, "a bigint, b bigint, common bigint, either bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -341,55 +405,80 @@ def _windows_of(regions: DataFrame, window: Column, level: int) -> DataFrame:
 
 
 def _open_regions(live: DataFrame, comps: DataFrame, pivots: int, turn: int) -> DataFrame:
-    """(region, id, size, rest, index, before, copy, c: component, first, pivot): members of the regions that may still hold an unknown link,
-    with two components or more, at every level a member that is no copy, and one with an index shingle."""
+    """(region, id, size, rest, index, before, copy, c: component, first, top: largest size, pivot): members of the regions that may still
+    hold an unknown link, with two components or more, at every level a member that is no copy, and one with an index shingle."""
     named = live.join(comps, "id", "left").select(*KEPT, F.coalesce("component", "id").alias("c"))
     parts = named.groupBy("region", "c").agg(
-        F.count("*").alias("n"), F.bit_and("copy").alias("copy"), F.max("index").alias("index"), F.sum("rest").alias("rest"),
+        F.count("*").alias("n"), F.bit_and("copy").alias("copy"), F.max("index").alias("index"), F.sum("rest").alias("rest"), F.max("size").alias("top"),
         F.sum(F.xxhash64("id", "copy", "index").cast("decimal(38,0)")).alias("who"),
         F.min(F.struct((~F.col("index")).alias("probe"), _rank(F.col("id"), turn).alias("rank"), F.col("id").alias("id"))).alias("f"))
     kept = parts.groupBy("region").agg(
         F.count("*").alias("parts"), F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("largest"), F.bit_and("copy").alias("copy"),
-        F.max("index").alias("index"), F.sum("rest").alias("rest"), F.sum("who").alias("who"), F.min("f").alias("f")).filter("parts > 1 AND copy = 0 AND index")
+        F.max("index").alias("index"), F.sum("rest").alias("rest"), F.max("top").alias("top"), F.sum("who").alias("who"), F.min("f").alias("f")).filter("parts > 1 AND copy = 0 AND index")
     # Near copies share many shingles: of regions with the same members in the same roles the one of the first shingle is
     # enough, behind which every member has most shingles.
-    kept = kept.groupBy("m", "who").agg(F.max(F.struct("rest", "region", "f", "largest")).alias("r")).select(
-        "r.region", F.col("r.f.id").alias("first"), F.col("r.largest.c").alias("main"), (F.col("m") - F.col("r.largest.n")).alias("strangers"))
+    kept = kept.groupBy("m", "who").agg(F.max(F.struct("rest", "region", "f", "largest", "top")).alias("r")).select(
+        "r.region", F.col("r.f.id").alias("first"), F.col("r.largest.c").alias("main"), (F.col("m") - F.col("r.largest.n")).alias("strangers"), "r.top")
+    kept = materialise(kept, "open")
     rank = _rank(F.col("id"), turn)  # drawn anew each turn, or those left over would all rank high
     chosen = F.col("id") == F.col("first")
     if pivots > 1:
         chosen = chosen | ((F.col("c") != F.col("main")) & (rank * F.col("strangers") < pivots))
-    return named.join(kept, "region").select(*KEPT, "c", "first", chosen.alias("pivot"))
+    return _hits(named, "region", kept).join(kept, "region").select(*KEPT, "c", "first", "top", chosen.alias("pivot"))
+
+
+def _apart(sizes: Column, percent: int) -> Column:
+    """100 + percent times as many shingles as two linked sets of these sizes in all may not have in common."""
+    return sizes * (100 - percent)
+
 
+def _meetings(members: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
+    """(region, a: pivot, b: member, open: whether to be measured, lead: whether a is the first pivot, apart: differing parity bits,
+    and of b with the first pivot what makes a row of the next region): pairs to be measured, and those of first pivots.
 
-def _pairs(members: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
-    """(a: pivot, b: member), each pair once; of two pivots the one of the lower rank is a. A pair of one component is
-    measured only if a is the first pivot, whose distances make the rings; so is a pair of copies of one level, which meets in
-    another window or ring, one without an index shingle, one with
+    A pair is open in one of its regions at most: of two pivots the one of the lower rank is a. Not open are a pair of one component, a pair of
+    copies of one level, which meets in another window or ring, one without an index shingle, one with
     too few shingles from the region's on, which links by an earlier shingle or not at all, and one with too many parity
-    bits apart; and one that has met in an earlier region is left to that one."""
+    bits apart; and one that has met in an earlier region is left to that one. Where parity bits make no rings, first pivots are
+    measured with all members."""
     bits = [x for x in parity.columns if x != "id"]
 
     def side(x: str) -> list[Column]:
         return [F.col(c).alias(f"{x}{c}") for c in ("c", "index", "size", "rest", "before", "copy", *bits)]
 
     known = members.join(parity, "id")
-    p = known.filter("pivot").select("region", F.col("id").alias("a"), *side("a"), (F.col("id") == F.col("first")).alias("lead"))
+    p = known.filter("pivot").select("region", "top", F.col("id").alias("a"), *side("a"), (F.col("id") == F.col("first")).alias("lead"), _told(percent).alias("told"))
     both = p.join(known.select("region", F.col("id").alias("b"), *side("b"), F.col("pivot").alias("too")), "region")
     ordered = F.struct(_rank(F.col("a")), F.col("a")) < F.struct(_rank(F.col("b")), F.col("b"))
     sizes = F.col("asize").cast("bigint") + F.col("bsize")
     enough = F.least("arest", "brest").cast("bigint") * (100 + percent) >= sizes * percent
     apart = reduce(add, [F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in bits])
-    near = apart * (100 + percent) <= sizes * (100 - percent)
+    near = apart * (100 + percent) <= _apart(sizes, percent)
     once = F.col("acopy").bitwiseAND(F.col("bcopy")) == 0
-    open_ = ((F.col("ac") != F.col("bc")) & once & (F.col("aindex") | F.col("bindex")) & enough & near & ~F.arrays_overlap("abefore", "bbefore")) | F.col("lead")
-    return both.filter((F.col("a") != F.col("b")) & (~F.col("too") | ordered) & open_).select("a", "b").distinct()
+    open_ = (F.col("ac") != F.col("bc")) & once & (F.col("aindex") | F.col("bindex")) & enough & near & ~F.arrays_overlap("abefore", "bbefore")
+    met = both.filter((F.col("a") != F.col("b")) & (~F.col("too") | ordered) & (open_ | F.col("lead")))
+    goes_on = F.col("lead") & F.col("told") & ~F.col("too")
+    return met.select(
+        "region", "a", "b", (open_ | ~F.col("told")).alias("open"), goes_on.alias("lead"), apart.alias("apart"),
+        *(F.when(goes_on, F.col(f"b{c}")).alias(c) for c in KEPT[2:]), "top")
+
+
+def _told(percent: int) -> Column:
+    """Whether parity bits tell two strangers of the region's largest size from a linked pair: some half of all bits differ then."""
+    return _apart(F.col("top").cast("bigint") * 2, percent) < 28 * PARITY * (100 + percent)
+
+
+def _rings(met: DataFrame, percent: int, level: int) -> DataFrame:
+    """Next regions: members by the ring of their distance to the region's first pivot in parity bits, and in the next ring. That
+    is a metric too, and two linked sets lie no further apart in it than a linked pair of the region's largest size may."""
+    ring = F.floor(F.col("apart") * (100 + percent) / _apart(F.col("top").cast("bigint") * 2, percent) + 1e-9).cast("int")
+    return _windows_of(met.filter("lead").withColumn("id", F.col("b")), ring, level)
 
 
-def _rings(members: DataFrame, measured: DataFrame, percent: int, level: int) -> DataFrame:
-    """Next regions: members by the ring of their distance to the region's first pivot, and in the next ring."""
+def _measured_rings(members: DataFrame, measured: DataFrame, percent: int, level: int) -> DataFrame:
+    """The same by the measured distance, for regions of sets so large that parity bits say little."""
     d = measured.unionByName(measured.select(F.col("b").alias("a"), F.col("a").alias("b"), "common", "either")).withColumnsRenamed({"a": "first", "b": "id"})
-    rest = members.filter("NOT pivot").join(d, ["first", "id"])
+    rest = members.filter(~F.col("pivot") & ~_told(percent)).join(d, ["first", "id"])
     ring = F.floor((F.col("either") - F.col("common")) * 100 / (F.col("either") * (100 - percent)) + 1e-9).cast("int")
     return _windows_of(rest, ring, level)
 
@@ -422,22 +511,23 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     links = links_of_ids.join(least, "id").filter("key <> a").select("a", F.col("key").alias("b"))
 
     live = materialise(_size_windows(_first_meetings(_shared_regions(_drawn_regions(rows, _sketch(rows), n, percent), percent)), percent), "live")
-    texts = measured = None
+    parity = measured = None
     labels = links.select(F.col("a").alias("id"), F.col("a").alias("component")).filter("false")
     for k in range(1 << 30):
         members = materialise(_open_regions(live, labels, PIVOTS[min(k, len(PIVOTS) - 1)], k), "members")
         if members.isEmpty():
             break
-        if texts is None:  # members of later regions are among those of the first
-            texts = materialise(_with_parity(_texts(rows, members.select("id").distinct()), n), "texts", "zstd")
-        pairs = _pairs(members, texts.drop("t"), percent)
+        if parity is None:  # members of later regions are among those of the first
+            parity = materialise(_parity(rows, members.select("id").distinct(), n), "parity")
+        met = materialise(_meetings(members, parity, percent), "met")
+        pairs = met.filter("open").select("a", "b").distinct()
         if measured is not None:
             seen = measured.select("a", "b").unionByName(measured.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        new = materialise(_distances(materialise(pairs, "pairs"), texts, n), "distances")
+        new = materialise(_distances(materialise(pairs, "pairs"), rows, n), "distances")
         measured = new if measured is None else measured.unionByName(new)
         labels = materialise(_labels(_linked(measured, percent)), "labels")
-        live = materialise(_rings(members, measured, percent, k + 1), "live")
+        live = materialise(_rings(met, percent, k + 1).unionByName(_measured_rings(members, measured, percent, k + 1)), "live")
     comps = components(links if measured is None else links.unionByName(_linked(measured, percent)))
 
     node = F.when(F.col("n_shingles") > 0, F.coalesce("component", "key"))

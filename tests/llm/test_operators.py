@@ -366,6 +366,42 @@ def test_strangers_that_share_a_passage_are_not_measured_pair_by_pair(spark, mon
     assert sum(measured) < 2 * n
 
 
+def test_strangers_just_below_the_threshold_are_not_measured_pair_by_pair(spark, monkeypatch):
+    """Texts of one passage and an own shuffling of some of its words: none of their words is rare, and 0.796 is no link."""
+    draw = random.Random(12)
+    n, passage = 60, [f"w{k}" for k in range(160)]
+    texts = {k: " ".join([*passage, *draw.sample(passage, 20)]) for k in range(n)}
+    measured, distances = [], ngramjoin._distances
+
+    def counted(pairs, *more):
+        measured.append(pairs.count())
+        return distances(pairs, *more)
+
+    monkeypatch.setattr(ngramjoin, "_distances", counted)
+    ship(spark)
+    rows = ngramjoin.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {(r["id"], r["n_shingles"], r["component_id"]) for r in rows} == linked(texts)
+    assert sum(measured) < 2 * n
+
+
+def test_links_stay_whole_where_parity_bits_tell_little(spark, monkeypatch):
+    """With 64 bits, regions of large sets are cut by measured distances and others by parity bits."""
+    draw = random.Random(13)
+    texts = {}
+    for size in (40, 90, 130, 260):
+        base = [f"b{size}w{k}" for k in range(size)]
+        for _ in range(20):
+            words = list(base)
+            for at in draw.sample(range(size), draw.randint(0, size // 14)):
+                words[at] = f"x{draw.randint(0, 30)}"
+            texts[len(texts)] = " ".join(words)
+    monkeypatch.setattr(ngramjoin, "PARITY", 1)
+    monkeypatch.setattr(ngramjoin, "PIVOTS", (1, 3))
+    ship(spark)
+    rows = ngramjoin.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(2)).collect()
+    assert {(r["id"], r["n_shingles"], r["component_id"]) for r in rows} == linked(texts)
+
+
 def test_a_pair_meets_in_one_window_of_its_first_common_region(spark):
     """Three near copies share ten regions, each of them with a stranger of its own, and every region has two windows."""
     rows = [(k, i, 100, 100 - k, True) for i in (1, 2, 3) for k in range(10)] + [(k, 100 + k, 100, 100, True) for k in range(10)]
