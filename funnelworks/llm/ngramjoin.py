@@ -10,22 +10,24 @@ lie more than r apart as seen from a pivot are more than r apart. The join uses
   |x| - ceil(2 t / (1 + t) |x|) + 1, its index shingles. Each first shingle is a region, and a document lies in the
   regions of its own: the windows in which a partner may be. A region in which no member has an index shingle is dropped.
 * Common shingles, those of crowded regions, are put behind all others and the first shingles of the texts in such regions
-  are drawn anew: texts that share a passage but little else do not meet by it. Any order that all texts keep is exact.
+  are drawn anew: texts that share a passage but little else do not meet by it. Where a text's first shingles are mostly crowded, the
+  shared ones behind them count as common too. Any order that all texts keep is exact.
 * A pair is measured only in the region of its first common shingle, as far as that can be told: behind it both sets have
   to hold as many shingles as a link needs in common, their parity bits must not tell that more than a link allows differ, and the last few regions ahead of it must not name a common one. A
   region whose members all lie in one earlier region is dropped.
 * In every region the member of the least rank with an index shingle is the pivot, since one of any pair that counts has one
   there. Later rounds add some more from outside of the region's largest component, since pairs within a component are settled: a group of near copies with a few strangers costs
-  the strangers' distances only. Members are measured against their pivots, each pair once however many regions it
+  the strangers' distances only. Members near enough to their pivots are measured against them, each pair once however many regions it
   shares; those within r link to it.
-* A region is then cut into rings by the distance to its pivot, ring k holding k r <= d < (k + 1) r.
+* A region is then cut into rings by the distance to its first pivot, ring k holding k r <= d < (k + 1) r. Differing parity bits are
+  a distance, too, of which no text need be fetched; where sets are so large that these say little, all members are measured.
   Documents of neighbouring rings may still be partners, so each ring's members are
   replicated into the next ring; rings further apart are ruled out by the triangle inequality.
   A pair of one ring meets there alone, not again where both are copies; the same holds for the windows of sizes.
 * Each ring is a region of the next round, without the pivot, whose pairs are all settled. Regions whose
   members are all in one component are settled too. Rounds go on until no region is left: the result is exact.
 
-No round emits all pairs within a group: a region of n members costs n distances a pivot, and the number of pivots
+No round emits all pairs within a group: a region of n members costs n distances a pivot at most, and the number of pivots
 a round is fixed; a group of near copies falls into one component in the first rounds.
 """
 
